@@ -103,3 +103,164 @@ Q_SQL = {
 
 def oracle_queries() -> dict[str, str]:
     return {k: with_graph(v) for k, v in Q_SQL.items()}
+
+
+def _ranked(inner: str, part: str, order: str, k: int, cols: str) -> str:
+    return (f"SELECT {cols} FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {part} ORDER BY {order}) AS INTEGER) AS pos "
+            f"FROM ({inner}) x) y WHERE pos <= {k}")
+
+
+DICT_SQL = """
+SELECT DISTINCT category, value FROM (
+  SELECT 'City' AS category, name AS value FROM city
+  UNION ALL SELECT 'Country', name FROM country
+  UNION ALL SELECT 'Hotel', name FROM hotel
+  UNION ALL SELECT 'Traveller Type', type FROM traveller
+  UNION ALL SELECT 'Gender', gender FROM traveller
+  UNION ALL SELECT 'Age Group', age FROM traveller) d
+WHERE value IS NOT NULL AND value <> ''"""
+
+LINK_SQL = f"""
+SELECT question_id, category, value FROM (
+  SELECT q.question_id, d.category, d.value,
+         row_number() OVER (PARTITION BY q.question_id, d.category ORDER BY length(d.value) DESC, d.value ASC) AS rk
+  FROM questions q JOIN ({DICT_SQL}) d ON contains(lower(q.user_query), lower(d.value))
+  WHERE d.category <> 'Age Group' AND length(lower(d.value)) > 0 AND q.user_query IS NOT NULL) z
+WHERE rk = 1"""
+
+
+def _age_sql():
+    from .functions.text import AGE_PATTERN
+    pat = AGE_PATTERN
+    lc = "lower(user_query)"
+    hit = f"regexp_extract({lc}, '{pat}', 0) <> ''"
+    lo = f"CASE WHEN {hit} THEN TRY_CAST(regexp_extract({lc}, '{pat}', 1) AS BIGINT) END"
+    hi = f"CASE WHEN {hit} THEN TRY_CAST(regexp_extract({lc}, '{pat}', 2) AS BIGINT) END"
+    return lo, hi
+
+
+def _understand_sql() -> str:
+    from .functions.text import sql_age_groups, sql_sort_intent
+    lo, hi = _age_sql()
+    return f"""
+SELECT q.question_id, q.user_query,
+       max(CASE WHEN l.category = 'City' THEN l.value END) AS city,
+       max(CASE WHEN l.category = 'Country' THEN l.value END) AS country,
+       max(CASE WHEN l.category = 'Hotel' THEN l.value END) AS hotel,
+       max(CASE WHEN l.category = 'Traveller Type' THEN l.value END) AS traveller_type,
+       max(CASE WHEN l.category = 'Gender' THEN l.value END) AS gender,
+       any_value(a.age_min) AS age_min, any_value(a.age_max) AS age_max,
+       any_value(CASE WHEN len(a.groups) > 0 THEN a.groups END) AS age_groups,
+       any_value({sql_sort_intent('lower(q.user_query)')}) AS sort_by,
+       any_value(contains(lower(q.user_query), 'country') OR contains(lower(q.user_query), 'countries')) AS country_mode
+FROM questions q
+LEFT JOIN ({LINK_SQL}) l ON q.question_id = l.question_id
+LEFT JOIN (SELECT question_id, age_min, age_max, {sql_age_groups('age_min', 'age_max')} AS groups
+           FROM (SELECT question_id, {lo} AS age_min, {hi} AS age_max FROM questions) r) a ON q.question_id = a.question_id
+GROUP BY q.question_id, q.user_query"""
+
+
+def _list_repr(x: str) -> str:
+    return f"'[' || array_to_string(list_transform({x}, lambda g: '''' || g || ''''), ', ') || ']'"
+
+
+A_ = sql_avg
+GRAPH_SQL = {
+    "nodes_country": "SELECT name FROM country",
+    "nodes_city": "SELECT name FROM city",
+    "nodes_hotel": "SELECT * FROM hotel",
+    "nodes_traveller": "SELECT * FROM traveller",
+    "nodes_review": "SELECT * FROM review",
+    "edge_city_country": "SELECT * FROM city_in_country",
+    "edge_hotel_city": "SELECT * FROM hotel_in_city",
+    "edge_from_country": "SELECT * FROM from_country",
+    "edge_wrote": "SELECT * FROM wrote",
+    "edge_reviewed": "SELECT * FROM reviewed",
+    "edge_stayed_at": "SELECT * FROM stayed_at",
+    "edge_needs_visa": "SELECT * FROM needs_visa",
+    "hotel_avg_score": "SELECT hotel_id, average_reviews_score FROM hotel",
+    "check_unique": "SELECT CAST(NULL AS VARCHAR) AS label, CAST(NULL AS VARCHAR) AS key, CAST(NULL AS BIGINT) AS n WHERE false",
+    "src_hotels": "SELECT * FROM hotels",
+    "src_users": "SELECT * FROM users",
+    "src_reviews": "SELECT * FROM reviews",
+    "src_visa": "SELECT * FROM visa",
+    "entity_dict": DICT_SQL,
+    "entity_link": LINK_SQL,
+    "age_range": "SELECT question_id, age_min, age_max FROM (SELECT question_id, {lo} AS age_min, {hi} AS age_max FROM questions) r WHERE age_min IS NOT NULL",
+    "age_groups": "SELECT question_id, {repr} AS age_groups FROM (SELECT question_id, {groups} AS g FROM (SELECT question_id, {lo} AS age_min, {hi} AS age_max FROM questions) r WHERE age_min IS NOT NULL) s WHERE len(g) > 0",
+    "sort_intent": "SELECT question_id, sort_by FROM (SELECT question_id, {sort} AS sort_by FROM questions) s WHERE sort_by IS NOT NULL",
+    "route": "SELECT question_id, city, country, hotel, traveller_type, gender, CASE WHEN age_groups IS NOT NULL THEN {urepr} END AS age_groups, sort_by, country_mode FROM ({understand}) u",
+}
+
+
+def _graph_sql() -> dict[str, str]:
+    from .functions.text import sql_age_groups, sql_sort_intent
+    lo, hi = _age_sql()
+    fmt = dict(lo=lo, hi=hi, groups=sql_age_groups("age_min", "age_max"), repr=_list_repr("g"),
+               sort=sql_sort_intent("lower(user_query)"), urepr=_list_repr("age_groups"), understand=_understand_sql())
+    return {k: (v.format(**fmt) if "{" in v else v) for k, v in GRAPH_SQL.items()}
+
+
+_NAME_ORDER = "{s} DESC NULLS LAST, {l} ASC NULLS LAST"
+
+
+def _retrieval_sql() -> dict[str, str]:
+    from .plans.retrieval import DIMENSIONS
+    out = {
+        "r1_hotels_by_city": _ranked(
+            "SELECT lower(hc.city) AS city_key, h.hotel_id, h.name AS Hotel, h.average_reviews_score AS Score "
+            "FROM hotel_in_city hc JOIN hotel h ON hc.hotel_id = h.hotel_id",
+            "city_key", "Score DESC NULLS LAST, Hotel ASC NULLS LAST, hotel_id ASC", 5, "city_key, pos, Hotel, Score"),
+        "r2_hotels_by_country": _ranked(
+            "SELECT lower(p.country) AS country_key, h.hotel_id, h.name AS Hotel, h.average_reviews_score AS Score "
+            "FROM hotel_place p JOIN hotel h ON p.hotel_id = h.hotel_id",
+            "country_key", "Score DESC NULLS LAST, Hotel ASC NULLS LAST, hotel_id ASC", 5, "country_key, pos, Hotel, Score"),
+        "r3_hotels_by_type": _ranked(
+            f"SELECT lower(trh.type) AS type_key, h.name AS hotelName, {A_('trh.score_overall')} AS avgRating "
+            "FROM trh JOIN hotel h ON trh.hotel_id = h.hotel_id WHERE trh.type IS NOT NULL GROUP BY lower(trh.type), h.name",
+            "type_key", "avgRating DESC NULLS LAST, hotelName ASC NULLS LAST", 3, "type_key, pos, hotelName, avgRating"),
+        "r4_countries_by_type": _ranked(
+            f"SELECT lower(trh.type) AS type_key, p.country AS Country, {A_('trh.score_overall')} AS avgRating "
+            "FROM trh JOIN hotel_place p ON trh.hotel_id = p.hotel_id WHERE trh.type IS NOT NULL "
+            "GROUP BY lower(trh.type), p.country",
+            "type_key", "avgRating DESC NULLS LAST, Country ASC NULLS LAST", 3, "type_key, pos, Country, avgRating"),
+        "r5_countries_by_gender": _ranked(
+            "SELECT lower(trh.gender) AS gender_key, p.country AS Country, CAST(count(*) AS BIGINT) AS Visits "
+            "FROM trh JOIN hotel_place p ON trh.hotel_id = p.hotel_id WHERE trh.gender IS NOT NULL "
+            "GROUP BY lower(trh.gender), p.country",
+            "gender_key", "Visits DESC NULLS LAST, Country ASC NULLS LAST", 3, "gender_key, pos, Country, Visits"),
+    }
+    reqs = (f"SELECT DISTINCT {_list_repr('age_groups')} AS groups_key, unnest(age_groups) AS age "
+            f"FROM ({_understand_sql()}) u WHERE age_groups IS NOT NULL")
+    out["r6_countries_by_age"] = _ranked(
+        f"SELECT rq.groups_key, p.country AS Country, CAST(count(*) AS BIGINT) AS Visits "
+        f"FROM trh JOIN ({reqs}) rq ON trh.age = rq.age JOIN hotel_place p ON trh.hotel_id = p.hotel_id "
+        "GROUP BY rq.groups_key, p.country",
+        "groups_key", "Visits DESC NULLS LAST, Country ASC NULLS LAST", 3, "groups_key, pos, Country, Visits")
+    out["r7_hotels_by_age"] = _ranked(
+        f"SELECT rq.groups_key, h.name AS Hotel, {A_('trh.score_overall')} AS avgRating "
+        f"FROM trh JOIN ({reqs}) rq ON trh.age = rq.age JOIN hotel h ON trh.hotel_id = h.hotel_id "
+        "GROUP BY rq.groups_key, h.name",
+        "groups_key", "avgRating DESC NULLS LAST, Hotel ASC NULLS LAST", 3, "groups_key, pos, Hotel, avgRating")
+    for num, dim in zip((8, 9, 10, 11), ("Cleanliness", "Value", "Location", "Comfort")):
+        col = DIMENSIONS[dim][0]
+        name = dim.lower()
+        scopes = {
+            "global": ("CAST(NULL AS VARCHAR)", ""),
+            "city": ("lower(hc.city)", "JOIN hotel_in_city hc ON hr.hotel_id = hc.hotel_id"),
+            "country": ("lower(p.country)", "JOIN hotel_place p ON hr.hotel_id = p.hotel_id"),
+        }
+        for scope, (key, join) in scopes.items():
+            inner = (f"SELECT {key} AS scope_key, h.name AS Hotel, {A_('hr.' + col)} AS AvgScore "
+                     f"FROM hr JOIN hotel h ON hr.hotel_id = h.hotel_id {join} WHERE hr.{col} IS NOT NULL "
+                     f"GROUP BY {key}, h.name")
+            out[f"r{num}_{name}_{scope}"] = _ranked(inner, "scope_key", "AvgScore DESC NULLS LAST, Hotel ASC NULLS LAST",
+                                                   5, "scope_key, pos, Hotel, AvgScore")
+    return out
+
+
+def all_oracles() -> dict[str, str]:
+    out = {k: with_graph(v) for k, v in Q_SQL.items()}
+    out.update({k: with_graph(v) for k, v in _graph_sql().items()})
+    out.update({k: with_graph(v) for k, v in _retrieval_sql().items()})
+    return out

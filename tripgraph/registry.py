@@ -6,10 +6,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import oracles
-from .plans import analytics
-from .plans.catalog import graph_for
+from .functions.text import py_list_repr
+from .operators.graph import check_unique
+from .operators.linking import entity_dictionary, link_entities
+from .plans import analytics, questions as qs, retrieval as rt
+from .plans.catalog import graph_for, questions, source
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,19 +22,79 @@ def _on_graph(fn) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(graph_for(spark, sf_dir))
 
-    run.__name__ = fn.__name__
+    run.__name__ = getattr(fn, "__name__", "query")
     return run
 
 
+def _on_questions(fn) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(graph_for(spark, sf_dir), questions(spark, sf_dir))
+
+    return run
+
+
+def _source(name: str) -> Query:
+    return lambda spark, sf_dir: source(spark, sf_dir, name)
+
+
+def _table(name: str, cols: list[str] | None = None) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = getattr(graph_for(spark, sf_dir), name)
+        return df.select(*cols) if cols else df
+
+    return run
+
+
+def _route(g, q) -> DataFrame:
+    u = qs.understand(g, q)
+    return u.select(
+        "question_id", "city", "country", "hotel", "traveller_type", "gender",
+        F.when(F.col("age_groups").isNotNull(), py_list_repr("age_groups")).alias("age_groups"),
+        "sort_by", "country_mode",
+    )
+
+
+def _age_requests(g, q) -> DataFrame:
+    return qs.age_group_requests(qs.understand(g, q))
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
-    for name in (
-        "q1_visa_free_travellers", "q1_by_home_country", "q2_top_business_hotels", "q3_couples_per_hotel",
-        "q4_least_clean", "q5_best_location_women", "q6_improvement_rule",
-    ):
+    for name in ("hotels", "users", "reviews", "visa"):
+        q[f"src_{name}"] = _source(name)
+    for label in ("country", "city", "hotel", "traveller", "review"):
+        q[f"nodes_{label}"] = _table(label)
+    for edge, table in (("city_country", "city_in_country"), ("hotel_city", "hotel_in_city"),
+                        ("from_country", "from_country"), ("wrote", "wrote"), ("reviewed", "reviewed"),
+                        ("stayed_at", "stayed_at"), ("needs_visa", "needs_visa")):
+        q[f"edge_{edge}"] = _table(table)
+    q["hotel_avg_score"] = _table("hotel", ["hotel_id", "average_reviews_score"])
+    q["check_unique"] = _on_graph(check_unique)
+
+    for name in ("q1_visa_free_travellers", "q1_by_home_country", "q2_top_business_hotels", "q3_couples_per_hotel",
+                 "q4_least_clean", "q5_best_location_women", "q6_improvement_rule"):
         q[name] = _on_graph(getattr(analytics, name))
+
+    q["entity_dict"] = _on_graph(entity_dictionary)
+    q["entity_link"] = _on_questions(lambda g, qq: link_entities(qq, entity_dictionary(g)))
+    q["age_range"] = lambda spark, d: qs.age_ranges(questions(spark, d))
+    q["age_groups"] = lambda spark, d: qs.question_age_groups(questions(spark, d)).select(
+        "question_id", py_list_repr("age_groups").alias("age_groups"))
+    q["sort_intent"] = lambda spark, d: qs.sort_intents(questions(spark, d))
+    q["route"] = _on_questions(_route)
+
+    q["r1_hotels_by_city"] = _on_graph(rt.hotels_by_city_all)
+    q["r2_hotels_by_country"] = _on_graph(rt.hotels_by_country_all)
+    q["r3_hotels_by_type"] = _on_graph(rt.hotels_by_type_all)
+    q["r4_countries_by_type"] = _on_graph(rt.countries_by_type_all)
+    q["r5_countries_by_gender"] = _on_graph(rt.countries_by_gender_all)
+    q["r6_countries_by_age"] = _on_questions(lambda g, qq: rt.countries_by_age_all(g, _age_requests(g, qq)))
+    q["r7_hotels_by_age"] = _on_questions(lambda g, qq: rt.hotels_by_age_all(g, _age_requests(g, qq)))
+    for num, dim in zip((8, 9, 10, 11), ("Cleanliness", "Value", "Location", "Comfort")):
+        for scope in ("global", "city", "country"):
+            q[f"r{num}_{dim.lower()}_{scope}"] = _on_graph(lambda g, _d=dim, _s=scope: rt.best_hotels_all(g, _d, _s))
     return q
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_queries()
+    return oracles.all_oracles()
