@@ -61,6 +61,16 @@ def age_bounds(text_lc: Column) -> tuple[Column, Column]:
     return lo, hi
 
 
+def written(df, name: str):
+    """Write ``df`` to the shared checkpoint folder and read it back (cuts lineage
+    for a table that several later plans read)."""
+    from ..session import scratch_path
+
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def age_groups(lo: Column, hi: Column) -> Column:
     """Labels of the groups that overlap [lo, hi], in table order; empty array when none."""
     labels = [

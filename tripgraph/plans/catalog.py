@@ -38,3 +38,36 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture_table(spark, sf_dir, "questions")
+
+
+_INDEXES: dict = {}
+
+
+def text_index_for(spark: SparkSession, sf_dir: str):
+    """Review-chunk and feature-document index of a folder, built once per session."""
+    from .context import build_text_index
+
+    key = _key(spark, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = build_text_index(spark, source(spark, sf_dir, "reviews"), source(spark, sf_dir, "hotels"))
+    return _INDEXES[key]
+
+
+def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    from ..sources.fixtures import read_driver_table
+
+    return read_driver_table(spark, sf_dir, name)
+
+
+_UNDERSTOOD: dict = {}
+
+
+def understood_for(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The understood questions of a folder, written once (every section reads it)."""
+    from ..functions.text import written
+    from .questions import understand
+
+    key = _key(spark, sf_dir)
+    if key not in _UNDERSTOOD:
+        _UNDERSTOOD[key] = written(understand(graph_for(spark, sf_dir), questions(spark, sf_dir)), "understood")
+    return _UNDERSTOOD[key]

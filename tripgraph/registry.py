@@ -13,7 +13,10 @@ from .functions.text import py_list_repr
 from .operators.graph import check_unique
 from .operators.linking import entity_dictionary, link_entities
 from .plans import analytics, questions as qs, retrieval as rt
-from .plans.catalog import graph_for, questions, source
+from .plans import context as cx, text as tx
+from .plans.catalog import driver_table, graph_for, questions, source, text_index_for, understood_for
+from .operators import chunking, vectors
+from .functions.agg import round_dec
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,8 +48,8 @@ def _table(name: str, cols: list[str] | None = None) -> Query:
     return run
 
 
-def _route(g, q) -> DataFrame:
-    u = qs.understand(g, q)
+def _route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = understood_for(spark, sf_dir)
     return u.select(
         "question_id", "city", "country", "hotel", "traveller_type", "gender",
         F.when(F.col("age_groups").isNotNull(), py_list_repr("age_groups")).alias("age_groups"),
@@ -54,8 +57,11 @@ def _route(g, q) -> DataFrame:
     )
 
 
-def _age_requests(g, q) -> DataFrame:
-    return qs.age_group_requests(qs.understand(g, q))
+def _on_understood(fn) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(graph_for(spark, sf_dir), understood_for(spark, sf_dir))
+
+    return run
 
 
 def queries() -> dict[str, Query]:
@@ -81,20 +87,123 @@ def queries() -> dict[str, Query]:
     q["age_groups"] = lambda spark, d: qs.question_age_groups(questions(spark, d)).select(
         "question_id", py_list_repr("age_groups").alias("age_groups"))
     q["sort_intent"] = lambda spark, d: qs.sort_intents(questions(spark, d))
-    q["route"] = _on_questions(_route)
+    q["route"] = _route
 
     q["r1_hotels_by_city"] = _on_graph(rt.hotels_by_city_all)
     q["r2_hotels_by_country"] = _on_graph(rt.hotels_by_country_all)
     q["r3_hotels_by_type"] = _on_graph(rt.hotels_by_type_all)
     q["r4_countries_by_type"] = _on_graph(rt.countries_by_type_all)
     q["r5_countries_by_gender"] = _on_graph(rt.countries_by_gender_all)
-    q["r6_countries_by_age"] = _on_questions(lambda g, qq: rt.countries_by_age_all(g, _age_requests(g, qq)))
-    q["r7_hotels_by_age"] = _on_questions(lambda g, qq: rt.hotels_by_age_all(g, _age_requests(g, qq)))
+    q["r6_countries_by_age"] = _on_understood(lambda g, u: rt.countries_by_age_all(g, qs.age_group_requests(u)))
+    q["r7_hotels_by_age"] = _on_understood(lambda g, u: rt.hotels_by_age_all(g, qs.age_group_requests(u)))
     for num, dim in zip((8, 9, 10, 11), ("Cleanliness", "Value", "Location", "Comfort")):
         for scope in ("global", "city", "country"):
             q[f"r{num}_{dim.lower()}_{scope}"] = _on_graph(lambda g, _d=dim, _s=scope: rt.best_hotels_all(g, _d, _s))
+
+    # Explanation edges, per parameter value and per question.
+    q["z1_city_edges"] = _on_graph(cx.explain_city)
+    q["z2_country_edges"] = _on_graph(cx.explain_country)
+    q["z3_type_edges"] = _on_graph(cx.explain_type)
+    q["z4_gender_edges"] = _on_graph(cx.explain_gender)
+    q["z5_age_edges"] = _on_graph(cx.explain_age)
+    q["z6_city_top_edges"] = _on_graph(cx.explain_city_top)
+    q["z7_country_top_edges"] = _on_graph(cx.explain_country_top)
+    q["z8_global_sort_edges"] = _on_graph(cx.explain_global_sort)
+    q["z10_country_fallback_edges"] = _on_graph(lambda g: cx.explain_country_top(g, "LOCATED_IN"))
+    q["z_explain_edges"] = _on_understood(cx.explain_edges)
+
+    # Text and vectors.
+    q["review_docs"] = lambda spark, d: tx.review_docs(source(spark, d, "reviews"), source(spark, d, "hotels"))
+    q["feature_text"] = lambda spark, d: tx.feature_docs(source(spark, d, "reviews"), source(spark, d, "hotels"))
+    q["doc_sample"] = lambda spark, d: tx.doc_sample(
+        tx.review_docs(source(spark, d, "reviews"), source(spark, d, "hotels")), 1000)
+    q["chunk_fixed"] = lambda spark, d: chunking.chunk_fixed(driver_table(spark, d, "documents"))
+    q["chunk_recursive"] = lambda spark, d: chunking.chunk_recursive(driver_table(spark, d, "documents"))
+    q["tfidf_weights"] = _tfidf_weights
+    q["knn_l2"] = lambda spark, d: _knn(spark, d, 3, "l2")
+    q["knn_cosine"] = lambda spark, d: _knn(spark, d, 10, "cosine")
+    q["knn_dedup"] = _knn_dedup
+    q["vec_scan"] = _vec_scan
+    q["text_topk"] = lambda spark, d: cx.text_neighbours(text_index_for(spark, d), questions(spark, d))
+    q["feature_topk"] = lambda spark, d: cx.feature_neighbours(text_index_for(spark, d), questions(spark, d))
+
+    # Context and prompts: graph-only mode (oracle-checked) and hybrid mode.
+    q["context_sections"] = lambda spark, d: _sections(spark, d, cx.BASELINE)
+    q["context_full"] = lambda spark, d: _context(spark, d, cx.BASELINE)
+    q["prompts"] = lambda spark, d: _prompts(spark, d, cx.BASELINE)
+    q["query_log"] = _on_understood(lambda g, u: cx.query_log(u))
+    q["context_full_hybrid"] = lambda spark, d: _context(spark, d, cx.HYBRID)
+    q["prompts_hybrid"] = lambda spark, d: _prompts(spark, d, cx.HYBRID)
     return q
 
 
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return driver_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+
+
+def _knn(spark: SparkSession, sf_dir: str, k: int, metric: str) -> DataFrame:
+    e = _embeddings(spark, sf_dir)
+    out = vectors.knn_dense(e, e, k, metric)
+    return out.select("query_id", "pos", "neighbor_id", round_dec("score", 6).alias("score"))
+
+
+def _knn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _embeddings(spark, sf_dir)
+    nn = vectors.knn_dense(e, e, 10, "cosine")
+    keys = driver_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("neighbor_id"), F.col("label").alias("key"))
+    return vectors.dedup_by_key(nn, keys).select("query_id", "pos", "neighbor_id", "key")
+
+
+def _tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = driver_table(spark, sf_dir, "documents")
+    w = vectors.tfidf(docs, "doc_id", "text", vectors.fit_idf(docs, "doc_id", "text"))
+    return w.select(F.col("id").alias("doc_id"), "token", round_dec("weight", 6).alias("weight"))
+
+
+def _vec_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .session import scratch_path
+
+    path = scratch_path(spark, "vectors")
+    emb = driver_table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("doc_id"), F.col("label").cast("bigint").alias("hotel_id"), "embedding")
+    tx.write_vectors(emb, path, "E64")
+    tx.write_vectors(emb.limit(0), path, "Other")
+    out = tx.read_vectors(spark, path, "E64 (dense)")
+    return out.select("doc_id", "hotel_id", F.size("embedding").alias("dims"))
+
+
+def _answer_parts(spark: SparkSession, sf_dir: str, mode: str):
+    g = graph_for(spark, sf_dir)
+    qq = questions(spark, sf_dir)
+    u = understood_for(spark, sf_dir)
+    heads, lines = [], []
+    if mode in cx.GRAPH_MODES:
+        h, l_ = cx.graph_lines(g, u)
+        heads.append(h)
+        lines.append(l_)
+    if mode in cx.VECTOR_MODES:
+        h, l_ = cx.vector_lines(text_index_for(spark, sf_dir), qq)
+        heads.append(h)
+        lines.append(l_)
+    hh, ll = heads[0], lines[0]
+    for h, l_ in zip(heads[1:], lines[1:]):
+        hh, ll = hh.unionByName(h), ll.unionByName(l_)
+    return u, qq, cx.sections(hh, ll)
+
+
+def _sections(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    return _answer_parts(spark, sf_dir, mode)[2]
+
+
+def _context(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    _, qq, secs = _answer_parts(spark, sf_dir, mode)
+    return cx.full_context(qq, secs)
+
+
+def _prompts(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    u, qq, secs = _answer_parts(spark, sf_dir, mode)
+    return cx.prompts(u, cx.full_context(qq, secs), mode)
+
+
 def oracle_sql() -> dict[str, str]:
     return oracles.all_oracles()
