@@ -263,4 +263,239 @@ def all_oracles() -> dict[str, str]:
     out = {k: with_graph(v) for k, v in Q_SQL.items()}
     out.update({k: with_graph(v) for k, v in _graph_sql().items()})
     out.update({k: with_graph(v) for k, v in _retrieval_sql().items()})
+    out.update({k: with_graph(v) for k, v in _z_sql().items()})
+    out["z_explain_edges"] = with_graph(_explain_edges_sql())
+    out.update({k: with_graph(v) for k, v in _text_sql().items()})
+    out.update({k: with_graph(v) for k, v in _context_sql().items()})
     return out
+
+
+# ----------------------------------------------------------------------------- explanation edges
+def _edges_sql(body: str, key: str) -> str:
+    """``body`` selects (key, source, rel, target); keep 5 distinct edges per key."""
+    return (f"SELECT {key}, source, rel, target, pos FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {key} "
+            f"ORDER BY source ASC NULLS LAST, target ASC NULLS LAST, rel ASC) AS INTEGER) AS pos "
+            f"FROM (SELECT DISTINCT * FROM ({body}) b) e) x WHERE pos <= 5")
+
+
+def _z_sql() -> dict[str, str]:
+    hn = "JOIN hotel h ON {t}.hotel_id = h.hotel_id"
+    z = {
+        "z1_city_edges": _edges_sql(
+            "SELECT lower(hc.city) AS city_key, h.name AS source, 'LOCATED_IN' AS rel, hc.city AS target "
+            f"FROM hotel_in_city hc {hn.format(t='hc')}", "city_key"),
+        "z2_country_edges": _edges_sql(
+            "SELECT lower(p.country) AS country_key, h.name AS source, 'LOCATED_IN' AS rel, p.country AS target "
+            f"FROM hotel_place p {hn.format(t='p')}", "country_key"),
+        "z3_type_edges": _edges_sql(
+            "SELECT lower(trh.type) AS type_key, trh.type || ' Traveller' AS source, 'LIKES' AS rel, h.name AS target "
+            f"FROM trh {hn.format(t='trh')} WHERE trh.type IS NOT NULL", "type_key"),
+        "z4_gender_edges": _edges_sql(
+            "SELECT lower(trh.gender) AS gender_key, trh.gender || ' Traveller' AS source, 'VISITED' AS rel, p.country AS target "
+            "FROM trh JOIN hotel_place p ON trh.hotel_id = p.hotel_id WHERE trh.gender IS NOT NULL", "gender_key"),
+        "z5_age_edges": _edges_sql(
+            "SELECT trh.age AS age, 'Age Group ' || trh.age AS source, 'RATED_HIGHLY' AS rel, h.name AS target "
+            f"FROM trh {hn.format(t='trh')} WHERE trh.age IS NOT NULL", "age"),
+        "z6_city_top_edges": _edges_sql(
+            "SELECT lower(hc.city) AS city_key, hc.city AS source, 'CONTAINS_TOP_HOTEL' AS rel, h.name AS target "
+            f"FROM hotel_in_city hc {hn.format(t='hc')}", "city_key"),
+        "z7_country_top_edges": _edges_sql(
+            "SELECT lower(p.country) AS country_key, p.country AS source, 'CONTAINS_TOP_HOTEL' AS rel, h.name AS target "
+            f"FROM hotel_place p {hn.format(t='p')}", "country_key"),
+        "z10_country_fallback_edges": _edges_sql(
+            "SELECT lower(p.country) AS country_key, p.country AS source, 'LOCATED_IN' AS rel, h.name AS target "
+            f"FROM hotel_place p {hn.format(t='p')}", "country_key"),
+    }
+    r = _retrieval_sql()
+    z["z8_global_sort_edges"] = " UNION ALL ".join(
+        f"SELECT '{dim}' AS sort_by, pos, 'Global Top' AS source, 'BEST_{dim.upper()}' AS rel, Hotel AS target "
+        f"FROM ({r[key]}) g{i}"
+        for i, (dim, key) in enumerate([("Cleanliness", "r8_cleanliness_global"), ("Value", "r9_value_global"),
+                                        ("Location", "r10_location_global"), ("Comfort", "r11_comfort_global")]))
+    return z
+
+
+def _explain_edges_sql() -> str:
+    z = _z_sql()
+    reqs = (f"SELECT DISTINCT {_list_repr('age_groups')} AS groups_key, unnest(age_groups) AS age "
+            f"FROM ({_understand_sql()}) u0 WHERE age_groups IS NOT NULL")
+    return f"""
+WITH u AS ({_understand_sql()}),
+r1k AS (SELECT DISTINCT lower(city) AS k FROM hotel_in_city),
+r2k AS (SELECT DISTINCT lower(country) AS k FROM hotel_place),
+r3k AS (SELECT DISTINCT lower(type) AS k FROM trh WHERE type IS NOT NULL),
+r5k AS (SELECT DISTINCT lower(trh.gender) AS k FROM trh JOIN hotel_place p ON trh.hotel_id = p.hotel_id WHERE trh.gender IS NOT NULL),
+r7k AS (SELECT DISTINCT rq.groups_key AS k FROM ({reqs}) rq JOIN trh ON trh.age = rq.age),
+z1 AS ({z['z1_city_edges']}), z2 AS ({z['z2_country_edges']}), z3 AS ({z['z3_type_edges']}),
+z4 AS ({z['z4_gender_edges']}), z5 AS ({z['z5_age_edges']}), z8 AS ({z['z8_global_sort_edges']}),
+e AS (
+  SELECT u.question_id, 1 AS section, z1.pos, z1.source, z1.rel, z1.target FROM u JOIN z1 ON lower(u.city) = z1.city_key
+    WHERE lower(u.city) IN (SELECT k FROM r1k)
+  UNION ALL SELECT u.question_id, 2, z2.pos, z2.source, z2.rel, z2.target FROM u JOIN z2 ON lower(u.country) = z2.country_key
+    WHERE lower(u.country) IN (SELECT k FROM r2k)
+  UNION ALL SELECT u.question_id, 3, z3.pos, z3.source, z3.rel, z3.target FROM u JOIN z3 ON lower(u.traveller_type) = z3.type_key
+    WHERE NOT u.country_mode AND lower(u.traveller_type) IN (SELECT k FROM r3k)
+  UNION ALL SELECT u.question_id, 4, z4.pos, z4.source, z4.rel, z4.target FROM u JOIN z4 ON lower(u.gender) = z4.gender_key
+    WHERE lower(u.gender) IN (SELECT k FROM r5k)
+  UNION ALL SELECT u.question_id, 5, z5.pos, z5.source, z5.rel, z5.target FROM u JOIN z5 ON u.age_groups[1] = z5.age
+    WHERE NOT u.country_mode AND u.age_groups IS NOT NULL AND {_list_repr('u.age_groups')} IN (SELECT k FROM r7k)),
+s AS (SELECT * FROM u WHERE sort_by IS NOT NULL AND question_id NOT IN (SELECT question_id FROM e)),
+f AS (
+  SELECT s.question_id, 6 AS section, z1.pos, z1.source, z1.rel, z1.target FROM s JOIN z1 ON lower(s.city) = z1.city_key
+    WHERE s.city IS NOT NULL
+  UNION ALL SELECT s.question_id, 6, z2.pos, z2.source, z2.rel, z2.target FROM s JOIN z2 ON lower(s.country) = z2.country_key
+    WHERE s.city IS NULL AND s.country IS NOT NULL
+  UNION ALL SELECT s.question_id, 6, z8.pos, z8.source, z8.rel, z8.target FROM s JOIN z8 ON s.sort_by = z8.sort_by
+    WHERE s.city IS NULL AND s.country IS NULL),
+a AS (SELECT * FROM e UNION ALL SELECT * FROM f),
+fe AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, source, target ORDER BY section, pos) AS r FROM a) x WHERE r = 1)
+SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY section, pos) AS INTEGER) AS seq, source, rel, target
+FROM fe"""
+
+
+# ----------------------------------------------------------------------------- text and vectors
+def _text_sql() -> dict[str, str]:
+    from .operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE
+    from .operators.vectors import TOKEN_SPLIT
+    from .plans.text import FEATURE_FIELDS
+    feat = " || ', ' || ".join(
+        f"'{label}: ' || CAST(COALESCE(r.{col}, 0.0) AS VARCHAR)" for label, col in FEATURE_FIELDS)
+    step = CHUNK_SIZE - CHUNK_OVERLAP
+    e = "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+    cos = (f"{e}, nn AS (SELECT * FROM (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, b.label AS key, "
+           "list_cosine_similarity(a.v, b.v) AS score FROM e a, e b) d "
+           "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id ASC) <= 10)")
+    return {
+        "review_docs": "SELECT r.review_id, r.hotel_id, 'Hotel: ' || COALESCE(CAST(h.hotel_name AS VARCHAR), 'nan') || "
+                       "'. Review: ' || COALESCE(CAST(r.review_text AS VARCHAR), 'nan') AS text "
+                       "FROM reviews r LEFT JOIN hotels h ON r.hotel_id = h.hotel_id",
+        "feature_text": "SELECT r.review_id, r.hotel_id, 'Hotel: ' || COALESCE(h.hotel_name, 'Unknown Hotel') || ' (ID: ' || "
+                        f"CAST(r.hotel_id AS VARCHAR) || '). ' || {feat} || '.' AS text "
+                        "FROM reviews r LEFT JOIN hotels h ON r.hotel_id = h.hotel_id",
+        "chunk_fixed": f"SELECT doc_id, chunk_no, text FROM (SELECT doc_id, CAST((s - 1) // {step} + 1 AS INTEGER) AS chunk_no, "
+                       f"substring(text, s, {CHUNK_SIZE}) AS text FROM (SELECT doc_id, text, "
+                       f"unnest(range(1, greatest(length(text) - {CHUNK_OVERLAP}, 1) + 1, {step})) AS s "
+                       "FROM documents WHERE text IS NOT NULL) x) y WHERE text <> ''",
+        "tfidf_weights": f"""
+WITH tok AS (SELECT doc_id AS id, unnest(regexp_split_to_array(lower(text), '{TOKEN_SPLIT}')) AS token FROM documents),
+tc AS (SELECT id, token, count(*) AS tf FROM tok WHERE token <> '' GROUP BY id, token),
+n AS (SELECT count(*) AS n_docs FROM documents),
+idf AS (SELECT token, ln((any_value(n_docs) + 1) / (count(*) + 1)) + 1 AS idf FROM tc, n GROUP BY token),
+w AS (SELECT tc.id, tc.token, tc.tf * idf.idf AS w FROM tc JOIN idf ON tc.token = idf.token),
+nm AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY id)
+SELECT w.id AS doc_id, w.token, {R('w.w / nm.norm', 6)} AS weight FROM w JOIN nm ON w.id = nm.id""",
+        "knn_l2": f"{e} SELECT query_id, pos, neighbor_id, {R('score', 6)} AS score FROM (SELECT *, "
+                  "CAST(row_number() OVER (PARTITION BY query_id ORDER BY score ASC, neighbor_id ASC) AS INTEGER) AS pos "
+                  "FROM (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, list_distance(a.v, b.v) AS score "
+                  "FROM e a, e b) d) x WHERE pos <= 3",
+        "knn_cosine": f"{e} SELECT query_id, pos, neighbor_id, {R('score', 6)} AS score FROM (SELECT *, "
+                      "CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id ASC) AS INTEGER) AS pos "
+                      "FROM (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, list_cosine_similarity(a.v, b.v) AS score "
+                      "FROM e a, e b) d) x WHERE pos <= 10",
+        "knn_dedup": f"{cos}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id ASC) AS p FROM nn), "
+                     "k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY p) = 1 OR key IS NULL) "
+                     "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY p) AS INTEGER) AS pos, neighbor_id, key FROM k",
+        "vec_scan": "SELECT vec_id AS doc_id, CAST(label AS BIGINT) AS hotel_id, CAST(len(embedding) AS INTEGER) AS dims FROM embeddings",
+    }
+
+
+# ----------------------------------------------------------------------------- context (graph-only mode)
+def _context_sql() -> dict[str, str]:
+    from .plans import context as cx
+    from .plans.retrieval import DIMENSIONS
+    r = _retrieval_sql()
+    num = "COALESCE(CAST({x} AS VARCHAR), 'None')"
+    r2 = lambda x: num.format(x=R(x, 2))
+    reqs = (f"SELECT DISTINCT {_list_repr('age_groups')} AS groups_key, unnest(age_groups) AS age "
+            f"FROM ({_understand_sql()}) u0 WHERE age_groups IS NOT NULL")
+    r6 = r["r6_countries_by_age"]
+    r7 = r["r7_hotels_by_age"]
+    label = "CASE u.sort_by " + " ".join(f"WHEN '{d}' THEN '{v[1]}'" for d, v in DIMENSIONS.items()) + " END"
+    best_parts = []
+    for num_, dim in zip((8, 9, 10, 11), DIMENSIONS):
+        display = DIMENSIONS[dim][2]
+        for scope in ("global", "city", "country"):
+            best_parts.append(
+                f"SELECT '{dim}' AS sort_by, '{scope}' AS scope, COALESCE(scope_key, '') AS scope_key, pos, "
+                f"'Hotel: ' || Hotel || ' ({display}: ' || {r2('AvgScore')} || ')' AS line "
+                f"FROM ({r[f'r{num_}_{dim.lower()}_{scope}']}) b{num_}{scope}")
+    msg = "CASE u.sort_by " + " ".join(
+        f"WHEN '{d}' THEN replace('{v[3]}', '{{scope}}', CASE WHEN u.city IS NOT NULL THEN 'in ' || u.city "
+        "WHEN u.country IS NOT NULL THEN 'in ' || u.country ELSE 'Globally' END)"
+        for d, v in DIMENSIONS.items()) + " END"
+    lst = _list_repr("u.age_groups")
+    base = f"""
+WITH u AS ({_understand_sql()}),
+r1 AS ({r['r1_hotels_by_city']}), r2 AS ({r['r2_hotels_by_country']}), r3 AS ({r['r3_hotels_by_type']}),
+r4 AS ({r['r4_countries_by_type']}), r5 AS ({r['r5_countries_by_gender']}), r6 AS ({r6}), r7 AS ({r7}),
+best AS ({' UNION ALL '.join(best_parts)}),
+su AS (SELECT u.*, CASE WHEN city IS NOT NULL THEN 'city' WHEN country IS NOT NULL THEN 'country' ELSE 'global' END AS scope,
+              COALESCE(lower(city), lower(country), '') AS scope_key FROM u WHERE sort_by IS NOT NULL),
+found AS (SELECT su.question_id, 6 AS seq, best.pos, best.line FROM su JOIN best
+          ON su.sort_by = best.sort_by AND su.scope = best.scope AND su.scope_key = best.scope_key),
+lines AS (
+  SELECT u.question_id, 1 AS seq, r1.pos, 'Hotel: ' || r1.Hotel || ' (Rating: ' || {num.format(x='r1.Score')} || ')' AS line
+    FROM u JOIN r1 ON lower(u.city) = r1.city_key
+  UNION ALL SELECT u.question_id, 2, r2.pos, 'Hotel: ' || r2.Hotel || ' (Rating: ' || {num.format(x='r2.Score')} || ')'
+    FROM u JOIN r2 ON lower(u.country) = r2.country_key
+  UNION ALL SELECT u.question_id, 3, r4.pos, 'Country: ' || r4.Country || ' (Avg Rating: ' || {r2('r4.avgRating')} || ')'
+    FROM u JOIN r4 ON lower(u.traveller_type) = r4.type_key WHERE u.country_mode
+  UNION ALL SELECT u.question_id, 3, r3.pos, 'Hotel: ' || r3.hotelName || ' (Avg Rating: ' || {r2('r3.avgRating')} || ')'
+    FROM u JOIN r3 ON lower(u.traveller_type) = r3.type_key WHERE NOT u.country_mode
+  UNION ALL SELECT u.question_id, 4, r5.pos, 'Country: ' || r5.Country || ' (' || CAST(r5.Visits AS VARCHAR) || ' visits)'
+    FROM u JOIN r5 ON lower(u.gender) = r5.gender_key
+  UNION ALL SELECT u.question_id, 5, r6.pos, 'Country: ' || r6.Country || ' (' || CAST(r6.Visits AS VARCHAR) || ' visits)'
+    FROM u JOIN r6 ON {lst} = r6.groups_key WHERE u.country_mode AND u.age_groups IS NOT NULL
+  UNION ALL SELECT u.question_id, 5, r7.pos, 'Hotel: ' || r7.Hotel || ' (Avg Rating: ' || {r2('r7.avgRating')} || ')'
+    FROM u JOIN r7 ON {lst} = r7.groups_key WHERE NOT u.country_mode AND u.age_groups IS NOT NULL
+  UNION ALL SELECT * FROM found
+  UNION ALL SELECT u.question_id, 6, 1, {msg} FROM su u WHERE u.question_id NOT IN (SELECT question_id FROM found)),
+heads AS (
+  SELECT question_id, 1 AS seq, 'Top Hotels in ' || city || ' (from KG):' AS header FROM u WHERE city IS NOT NULL
+  UNION ALL SELECT question_id, 2, 'Top Hotels in ' || country || ' (from KG):' FROM u WHERE country IS NOT NULL
+  UNION ALL SELECT question_id, 3, CASE WHEN country_mode THEN 'Top Rated Countries for ''' || traveller_type || ''':'
+                                        ELSE 'Top Hotels for ''' || traveller_type || ''':' END FROM u WHERE traveller_type IS NOT NULL
+  UNION ALL SELECT question_id, 4, 'Popular for ' || gender || ':' FROM u WHERE gender IS NOT NULL
+  UNION ALL SELECT question_id, 5, CASE WHEN country_mode THEN 'Popular Countries for Ages ' ELSE 'Top Rated Hotels for Ages ' END
+                                   || {lst} || ':' FROM u WHERE age_groups IS NOT NULL
+  UNION ALL SELECT question_id, 6, {label} || ' Hotels (' || COALESCE(city, country, 'Global') || '):' FROM u WHERE sort_by IS NOT NULL),
+body AS (SELECT question_id, seq, string_agg(line, chr(10) ORDER BY pos) AS body FROM lines GROUP BY question_id, seq),
+secs AS (SELECT h.question_id, h.seq, h.header || chr(10) || COALESCE(b.body, '') AS section
+         FROM heads h LEFT JOIN body b ON h.question_id = b.question_id AND h.seq = b.seq
+         WHERE b.body IS NOT NULL OR h.seq = 6),
+ctx AS (SELECT q.question_id, COALESCE(NULLIF(string_agg(s.section, chr(10) || chr(10) ORDER BY s.seq), ''), '{cx.NO_CONTEXT}') AS context
+        FROM questions q LEFT JOIN secs s ON q.question_id = s.question_id GROUP BY q.question_id)
+"""
+    ind = "    "
+    ents = ("COALESCE(NULLIF(concat_ws(', ', "
+            "CASE WHEN city IS NOT NULL THEN 'City: ' || city END, "
+            "CASE WHEN country IS NOT NULL THEN 'Country: ' || country END, "
+            "CASE WHEN hotel IS NOT NULL THEN 'Hotel: ' || hotel END, "
+            "CASE WHEN traveller_type IS NOT NULL THEN 'Traveller Type: ' || traveller_type END, "
+            "CASE WHEN gender IS NOT NULL THEN 'Gender: ' || gender END, "
+            f"CASE WHEN age_groups IS NOT NULL THEN 'Target Age Groups: ' || {lst} END, "
+            "CASE WHEN sort_by IS NOT NULL THEN 'Sort By: ' || sort_by END), ''), 'None')")
+    nl = "chr(10)"
+    prompt = (f"{nl} || '{ind}You are a Hotel Recommender.' || {nl} || '{ind}RETRIEVAL MODE: {cx.BASELINE}' || {nl} || "
+              f"'{ind}DETECTED ENTITIES: ' || {ents} || {nl} || '{ind}CONTEXT:' || {nl} || '{ind}' || ctx.context || {nl} || "
+              f"'{ind}USER QUESTION: ' || COALESCE(u.user_query, '') || {nl} || '{ind}Answer:' || {nl} || '{ind}'")
+    loc = "COALESCE(city, country, 'Global')"
+    qlog = f"""
+WITH u AS ({_understand_sql()})
+SELECT question_id, 1 AS seq, 'City Search (' || city || ')' AS intent, 'hotels_by_city' AS query_name FROM u WHERE city IS NOT NULL
+UNION ALL SELECT question_id, 2, 'Country Search (' || country || ')', 'hotels_by_country' FROM u WHERE country IS NOT NULL
+UNION ALL SELECT question_id, 3, CASE WHEN country_mode THEN 'Country by Traveller Type (' ELSE 'Hotel by Traveller Type (' END
+                 || traveller_type || ')', CASE WHEN country_mode THEN 'best_countries_by_traveller_type' ELSE 'hotels_by_traveller_type' END
+          FROM u WHERE traveller_type IS NOT NULL
+UNION ALL SELECT question_id, 4, 'Gender Demographics (' || gender || ')', 'top_countries_by_gender' FROM u WHERE gender IS NOT NULL
+UNION ALL SELECT question_id, 5, CASE WHEN country_mode THEN 'Country by Age Group (' ELSE 'Hotel by Age Group (' END
+                 || {lst} || ')', CASE WHEN country_mode THEN 'top_countries_by_age_groups' ELSE 'top_hotels_by_age_groups' END
+          FROM u WHERE age_groups IS NOT NULL
+UNION ALL SELECT question_id, 6, 'Sort by ' || {label} || ' (' || {loc} || ')', 'best_hotels_by_' || lower(sort_by)
+          FROM u WHERE sort_by IS NOT NULL"""
+    return {
+        "context_sections": base + "SELECT question_id, seq, section FROM secs",
+        "context_full": base + "SELECT question_id, context FROM ctx",
+        "prompts": base + f"SELECT u.question_id, {prompt} AS prompt FROM u JOIN ctx ON u.question_id = ctx.question_id",
+        "query_log": qlog,
+    }
