@@ -71,3 +71,18 @@ def understood_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _UNDERSTOOD:
         _UNDERSTOOD[key] = written(understand(graph_for(spark, sf_dir), questions(spark, sf_dir)), "understood")
     return _UNDERSTOOD[key]
+
+
+_RINDEX: dict = {}
+
+
+def retrieval_index_for(spark: SparkSession, sf_dir: str):
+    """All per-value retrieval answers of a folder's graph, written once."""
+    from ..operators.graph import writing_stage
+    from ..session import scratch_path
+    from .retrieval import retrieval_index
+
+    key = _key(spark, sf_dir)
+    if key not in _RINDEX:
+        _RINDEX[key] = retrieval_index(graph_for(spark, sf_dir), writing_stage(spark, scratch_path(spark, "retrieval")))
+    return _RINDEX[key]

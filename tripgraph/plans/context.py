@@ -18,12 +18,11 @@ from pyspark.sql import functions as F
 from ..functions.agg import round_dec
 from ..functions.text import py_list_repr
 from ..operators.chunking import chunk_fixed
-from ..operators.graph import Graph
+from ..operators.graph import Graph, writing_stage
 from ..operators.patterns import top_k_per
 from ..operators.vectors import dedup_by_key, fit_idf, knn_sparse, sparse_rows, tfidf
 from ..session import scratch_path
 from . import retrieval as rt
-from .questions import age_group_requests
 from .text import feature_docs, review_docs
 
 # Retrieval modes.
@@ -55,11 +54,12 @@ def _lines(rows: DataFrame, seq: int, line: Column) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- graph sections
-def graph_lines(g: Graph, u: DataFrame) -> tuple[DataFrame, DataFrame]:
+def graph_lines(g: Graph, u: DataFrame, idx: rt.RetrievalIndex | None = None) -> tuple[DataFrame, DataFrame]:
     """(headers, lines) of the graph sections of every question.
 
     headers: (question_id, seq, header, always) -- ``always`` marks sections
     printed even without lines; lines: (question_id, seq, pos, line)."""
+    idx = idx or rt.retrieval_index(g)
     heads, lines = [], []
     # Entity columns get a q_ prefix: names are case-insensitive, and the
     # retrieval tables carry Country / Hotel columns of their own.
@@ -68,22 +68,22 @@ def graph_lines(g: Graph, u: DataFrame) -> tuple[DataFrame, DataFrame]:
                  "age_groups", "sort_by", "country_mode")
 
     city = u.where(F.col("q_city").isNotNull())
-    r1 = rt.hotels_by_city_all(g)
+    r1 = idx.r1
     heads.append(city.select("question_id", F.lit(1).alias("seq"),
                              F.concat(F.lit("Top Hotels in "), F.col("q_city"), F.lit(" (from KG):")).alias("header")))
     lines.append(_lines(city.join(r1, F.lower(city["q_city"]) == r1["city_key"]), 1,
                         F.concat(F.lit("Hotel: "), F.col("Hotel"), F.lit(" (Rating: "), _num(F.col("Score")), F.lit(")"))))
 
     country = u.where(F.col("q_country").isNotNull())
-    r2 = rt.hotels_by_country_all(g)
+    r2 = idx.r2
     heads.append(country.select("question_id", F.lit(2).alias("seq"),
                                 F.concat(F.lit("Top Hotels in "), F.col("q_country"), F.lit(" (from KG):")).alias("header")))
     lines.append(_lines(country.join(r2, F.lower(country["q_country"]) == r2["country_key"]), 2,
                         F.concat(F.lit("Hotel: "), F.col("Hotel"), F.lit(" (Rating: "), _num(F.col("Score")), F.lit(")"))))
 
     typed = u.where(F.col("q_type").isNotNull())
-    r4 = rt.countries_by_type_all(g)
-    r3 = rt.hotels_by_type_all(g)
+    r4 = idx.r4
+    r3 = idx.r3
     t_c = typed.where("country_mode")
     t_h = typed.where("NOT country_mode")
     heads.append(t_c.select("question_id", F.lit(3).alias("seq"),
@@ -96,16 +96,15 @@ def graph_lines(g: Graph, u: DataFrame) -> tuple[DataFrame, DataFrame]:
                         F.concat(F.lit("Hotel: "), F.col("hotelName"), F.lit(" (Avg Rating: "), _r2("avgRating"), F.lit(")"))))
 
     gender = u.where(F.col("q_gender").isNotNull())
-    r5 = rt.countries_by_gender_all(g)
+    r5 = idx.r5
     heads.append(gender.select("question_id", F.lit(4).alias("seq"),
                                F.concat(F.lit("Popular for "), F.col("q_gender"), F.lit(":")).alias("header")))
     lines.append(_lines(gender.join(r5, F.lower(gender["q_gender"]) == r5["gender_key"]), 4,
                         F.concat(F.lit("Country: "), F.col("Country"), F.lit(" ("), _num(F.col("Visits")), F.lit(" visits)"))))
 
     aged = u.where(F.col("age_groups").isNotNull()).withColumn("groups_key", py_list_repr("age_groups"))
-    requests = age_group_requests(aged)
-    r6 = rt.countries_by_age_all(g, requests)
-    r7 = rt.hotels_by_age_all(g, requests)
+    r6 = idx.r6
+    r7 = idx.r7
     a_c = aged.where("country_mode")
     a_h = aged.where("NOT country_mode")
     heads.append(a_c.select("question_id", F.lit(5).alias("seq"),
@@ -125,13 +124,10 @@ def graph_lines(g: Graph, u: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce(F.lower("q_city"), F.lower("q_country"), F.lit("")).alias("scope_key"),
         F.coalesce("q_city", "q_country", F.lit("Global")).alias("location_str"),
     )
-    best = None
-    for dim, (_, label, display, message) in rt.DIMENSIONS.items():
-        for scope in ("global", "city", "country"):
-            t = rt.best_hotels_all(g, dim, scope).select(
-                F.lit(dim).alias("sort_by"), F.lit(scope).alias("scope"), F.coalesce("scope_key", F.lit("")).alias("scope_key"),
-                "pos", F.concat(F.lit("Hotel: "), F.col("Hotel"), F.lit(f" ({display}: "), _r2("AvgScore"), F.lit(")")).alias("line"))
-            best = t if best is None else best.unionByName(t)
+    display_of = F.create_map(*[x for dim, v in rt.DIMENSIONS.items() for x in (F.lit(dim), F.lit(v[2]))])
+    best = idx.best.select("sort_by", "scope", "scope_key", "pos", F.concat(
+        F.lit("Hotel: "), F.col("Hotel"), F.lit(" ("), display_of[F.col("sort_by")], F.lit(": "), _r2("AvgScore"), F.lit(")")
+    ).alias("line"))
     label_of = F.create_map(*[x for dim, v in rt.DIMENSIONS.items() for x in (F.lit(dim), F.lit(v[1]))])
     heads.append(sorted_q.select("question_id", F.lit(6).alias("seq"), F.concat(
         label_of[F.col("sort_by")], F.lit(" Hotels ("), F.col("location_str"), F.lit("):")).alias("header")))
@@ -169,23 +165,23 @@ class TextIndex:
 def build_text_index(spark: SparkSession, reviews: DataFrame, hotels: DataFrame) -> TextIndex:
     """Chunk and encode review documents and feature documents once, written to
     the shared checkpoint folder (ids are assigned on the written rows)."""
-    base = scratch_path(spark, "text_index")
-
-    def write(name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{base}/{name}")
-        return spark.read.parquet(f"{base}/{name}")
-
-    rdocs = review_docs(reviews, hotels).withColumn("_rid", F.monotonically_increasing_id())
+    stage = writing_stage(spark, scratch_path(spark, "text_index"))
+    # Review documents are short, so chunk ids derive from the review's position
+    # in a written table; ids are assigned once, on written rows.
+    rdocs = stage({"_review_docs": review_docs(reviews, hotels).withColumn("_rid", F.monotonically_increasing_id())})["_review_docs"]
     chunks = chunk_fixed(rdocs.select(F.col("_rid").alias("doc_id"), "text"))
-    text_docs = write("text_docs", chunks.join(rdocs.select(F.col("_rid").alias("doc_id"), "review_id", "hotel_id"), "doc_id")
-                      .withColumn("id", F.monotonically_increasing_id()))
-    text_idf = write("text_idf", fit_idf(text_docs, "id", "text"))
-    text_rows = write("text_rows", sparse_rows(tfidf(text_docs, "id", "text", text_idf)))
-
-    fdocs = write("feature_docs", feature_docs(reviews, hotels).withColumn("id", F.monotonically_increasing_id()))
-    feature_idf = write("feature_idf", fit_idf(fdocs, "id", "text"))
-    feature_rows = write("feature_rows", sparse_rows(tfidf(fdocs, "id", "text", feature_idf)))
-    return TextIndex(text_idf, text_rows, text_docs, feature_idf, feature_rows, fdocs)
+    w1 = stage({
+        "text_docs": chunks.join(rdocs.select(F.col("_rid").alias("doc_id"), "review_id", "hotel_id"), "doc_id")
+        .withColumn("id", F.monotonically_increasing_id()),
+        "feature_docs": feature_docs(reviews, hotels).withColumn("id", F.monotonically_increasing_id()),
+    })
+    w2 = stage({"text_idf": fit_idf(w1["text_docs"], "id", "text"), "feature_idf": fit_idf(w1["feature_docs"], "id", "text")})
+    w3 = stage({
+        "text_rows": sparse_rows(tfidf(w1["text_docs"], "id", "text", w2["text_idf"])),
+        "feature_rows": sparse_rows(tfidf(w1["feature_docs"], "id", "text", w2["feature_idf"])),
+    })
+    return TextIndex(w2["text_idf"], w3["text_rows"], w1["text_docs"], w2["feature_idf"], w3["feature_rows"],
+                     w1["feature_docs"])
 
 
 def _encode_questions(questions: DataFrame, idf: DataFrame) -> DataFrame:
@@ -357,9 +353,13 @@ def explain_country_top(g: Graph, rel: str = "CONTAINS_TOP_HOTEL") -> DataFrame:
     return _edges(rows, "country_key", F.col("country"), F.lit(rel), F.col("name"))
 
 
-def explain_global_sort(g: Graph) -> DataFrame:
+def explain_global_sort(g: Graph, idx: rt.RetrievalIndex | None = None) -> DataFrame:
     """Z8: 'Global Top' BEST_<DIM> hotel, the 5 best hotels by the mean review
     score of each sort dimension (the intent of the global sort edges)."""
+    if idx is not None:
+        return idx.best.where((F.col("scope") == "global") & (F.col("pos") <= EDGE_K)).select(
+            "sort_by", "pos", F.lit("Global Top").alias("source"),
+            F.concat(F.lit("BEST_"), F.upper("sort_by")).alias("rel"), F.col("Hotel").alias("target"))
     parts = [
         rt.best_hotels_all(g, dim, "global", EDGE_K).select(
             F.lit(dim).alias("sort_by"), "pos", F.lit("Global Top").alias("source"),
@@ -369,17 +369,17 @@ def explain_global_sort(g: Graph) -> DataFrame:
     return _union(parts)
 
 
-def explain_edges(g: Graph, u: DataFrame, mode: str = HYBRID) -> DataFrame:
+def explain_edges(g: Graph, u: DataFrame, mode: str = HYBRID, idx: rt.RetrievalIndex | None = None) -> DataFrame:
     """(question_id, seq, source, rel, target): the edges shown for each answer,
     in section order, first edge per (source, target) kept."""
     if mode not in GRAPH_MODES:
         return u.sparkSession.createDataFrame([], "question_id bigint, seq int, source string, rel string, target string")
-    r1k = rt.hotels_by_city_all(g).select("city_key").distinct()
-    r2k = rt.hotels_by_country_all(g).select("country_key").distinct()
-    r3k = rt.hotels_by_type_all(g).select("type_key").distinct()
-    r5k = rt.countries_by_gender_all(g).select("gender_key").distinct()
-    requests = age_group_requests(u)
-    r7k = rt.hotels_by_age_all(g, requests).select("groups_key").distinct()
+    idx = idx or rt.retrieval_index(g)
+    r1k = idx.r1.select("city_key").distinct()
+    r2k = idx.r2.select("country_key").distinct()
+    r3k = idx.r3.select("type_key").distinct()
+    r5k = idx.r5.select("gender_key").distinct()
+    r7k = idx.r7.select("groups_key").distinct()
 
     def pick(q: DataFrame, edges: DataFrame, left: Column, key: str, section: int) -> DataFrame:
         j = q.join(edges, left == edges[key])
@@ -409,7 +409,7 @@ def explain_edges(g: Graph, u: DataFrame, mode: str = HYBRID) -> DataFrame:
     fallback = [
         pick(sc, explain_city(g), F.lower(sc["city"]), "city_key", 6),
         pick(sn, explain_country(g), F.lower(sn["country"]), "country_key", 6),
-        sg.join(explain_global_sort(g), "sort_by").select("question_id", F.lit(6).alias("section"), "pos", "source", "rel", "target"),
+        sg.join(explain_global_sort(g, idx), "sort_by").select("question_id", F.lit(6).alias("section"), "pos", "source", "rel", "target"),
     ]
     alle = _union([earlier] + fallback)
     first = top_k_per(alle, ["question_id", "source", "target"], [F.asc("section"), F.asc("pos")], 1, "_r")

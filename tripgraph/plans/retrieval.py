@@ -15,6 +15,8 @@ Ranking: score descending with NULL last, then name, then id.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -188,3 +190,55 @@ def best_hotels_global(g: Graph, dim: str, k: int = HOTELS_K) -> DataFrame:
     per = merge_by(with_hotel_name(hotel_states(g, [metric]), g), ["name"], [metric]).where(F.col(f"{metric}_n") > 0)
     out = per.select(F.col("name").alias("Hotel"), avg_of(metric).alias("AvgScore"))
     return top_k(out, [_desc("AvgScore"), F.asc_nulls_last("Hotel")], k)
+
+
+# ---------------------------------------------------------------- materialised index
+def all_age_lists() -> list[list[str]]:
+    """Every list an age range can map to: the contiguous runs of the fixed
+    group table (15 for 5 groups)."""
+    from ..functions.text import AGE_GROUPS
+
+    labels = [g[0] for g in AGE_GROUPS]
+    return [labels[i:j] for i in range(len(labels)) for j in range(i + 1, len(labels) + 1)]
+
+
+def list_key(groups: list[str]) -> str:
+    return "[" + ", ".join(f"'{g}'" for g in groups) + "]"
+
+
+def all_age_requests(spark) -> DataFrame:
+    rows = [(list_key(lst), a) for lst in all_age_lists() for a in lst]
+    return spark.createDataFrame(rows, "groups_key string, age string")
+
+
+@dataclass
+class RetrievalIndex:
+    """Every retrieval answer for every parameter value, written once per graph.
+    A batch of questions joins these small tables (at most k rows per value)."""
+    r1: DataFrame    # city_key, pos, Hotel, Score
+    r2: DataFrame    # country_key, pos, Hotel, Score
+    r3: DataFrame    # type_key, pos, hotelName, avgRating
+    r4: DataFrame    # type_key, pos, Country, avgRating
+    r5: DataFrame    # gender_key, pos, Country, Visits
+    r6: DataFrame    # groups_key, pos, Country, Visits   (all 15 age lists)
+    r7: DataFrame    # groups_key, pos, Hotel, avgRating
+    best: DataFrame  # sort_by, scope, scope_key ('' when global), pos, Hotel, AvgScore
+
+
+def retrieval_index(g: Graph, stage=None) -> RetrievalIndex:
+    requests = all_age_requests(g.hotel.sparkSession)
+    best = None
+    for dim in DIMENSIONS:
+        for scope in ("global", "city", "country"):
+            t = best_hotels_all(g, dim, scope).select(
+                F.lit(dim).alias("sort_by"), F.lit(scope).alias("scope"),
+                F.coalesce("scope_key", F.lit("")).alias("scope_key"), "pos", "Hotel", "AvgScore")
+            best = t if best is None else best.unionByName(t)
+    tables = {
+        "r1": hotels_by_city_all(g), "r2": hotels_by_country_all(g), "r3": hotels_by_type_all(g),
+        "r4": countries_by_type_all(g), "r5": countries_by_gender_all(g),
+        "r6": countries_by_age_all(g, requests), "r7": hotels_by_age_all(g, requests), "best": best,
+    }
+    if stage is not None:
+        tables = stage(tables)
+    return RetrievalIndex(**tables)

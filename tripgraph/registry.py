@@ -14,7 +14,8 @@ from .operators.graph import check_unique
 from .operators.linking import entity_dictionary, link_entities
 from .plans import analytics, questions as qs, retrieval as rt
 from .plans import context as cx, text as tx
-from .plans.catalog import driver_table, graph_for, questions, source, text_index_for, understood_for
+from .plans.catalog import (driver_table, graph_for, questions, retrieval_index_for, source, text_index_for,
+                            understood_for)
 from .operators import chunking, vectors
 from .functions.agg import round_dec
 
@@ -110,7 +111,8 @@ def queries() -> dict[str, Query]:
     q["z7_country_top_edges"] = _on_graph(cx.explain_country_top)
     q["z8_global_sort_edges"] = _on_graph(cx.explain_global_sort)
     q["z10_country_fallback_edges"] = _on_graph(lambda g: cx.explain_country_top(g, "LOCATED_IN"))
-    q["z_explain_edges"] = _on_understood(cx.explain_edges)
+    q["z_explain_edges"] = lambda spark, d: cx.explain_edges(
+        graph_for(spark, d), understood_for(spark, d), idx=retrieval_index_for(spark, d))
 
     # Text and vectors.
     q["review_docs"] = lambda spark, d: tx.review_docs(source(spark, d, "reviews"), source(spark, d, "hotels"))
@@ -178,7 +180,7 @@ def _answer_parts(spark: SparkSession, sf_dir: str, mode: str):
     u = understood_for(spark, sf_dir)
     heads, lines = [], []
     if mode in cx.GRAPH_MODES:
-        h, l_ = cx.graph_lines(g, u)
+        h, l_ = cx.graph_lines(g, u, retrieval_index_for(spark, sf_dir))
         heads.append(h)
         lines.append(l_)
     if mode in cx.VECTOR_MODES:
