@@ -72,12 +72,13 @@ def written(df, name: str):
 
 
 def age_groups(lo: Column, hi: Column) -> Column:
-    """Labels of the groups that overlap [lo, hi], in table order; empty array when none."""
+    """Labels of the groups that overlap [lo, hi], in table order; empty array
+    when none; NULL without a range (greatest/least would skip a NULL bound)."""
     labels = [
         F.when(F.greatest(lo, F.lit(g_lo)) <= F.least(hi, F.lit(g_hi)), F.lit(label))
         for label, g_lo, g_hi in AGE_GROUPS
     ]
-    return F.filter(F.array(*labels), lambda x: x.isNotNull())
+    return F.when(lo.isNotNull() & hi.isNotNull(), F.filter(F.array(*labels), lambda x: x.isNotNull()))
 
 
 def py_list_repr(arr: Column) -> Column:
@@ -98,4 +99,4 @@ def sql_age_groups(lo: str, hi: str) -> str:
     arms = ", ".join(
         f"CASE WHEN greatest({lo}, {g_lo}) <= least({hi}, {g_hi}) THEN '{label}' END" for label, g_lo, g_hi in AGE_GROUPS
     )
-    return f"list_filter([{arms}], lambda x: x IS NOT NULL)"
+    return f"CASE WHEN {lo} IS NOT NULL AND {hi} IS NOT NULL THEN list_filter([{arms}], lambda x: x IS NOT NULL) END"
