@@ -30,10 +30,29 @@ def questions(spark, texts):
     return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], QUESTIONS)
 
 
+_SMALL = {}
+
+
 def small_graph(spark):
-    """Three hotels in two cities; 'Twin' city exists in two countries."""
+    """Four hotels in two cities; 'Twin' city exists in two countries.
+    Built once per session into written tables (like the real catalog)."""
+    key = id(spark.sparkContext._jsc)
+    if key not in _SMALL:
+        from tripgraph.operators.graph import build_graph, writing_stage
+        from tripgraph.session import scratch_path
+
+        _SMALL[key] = build_graph(*_small_sources(spark), stage=writing_stage(spark, scratch_path(spark, "small")))
+    return _SMALL[key]
+
+
+def lazy_small_graph(spark):
     from tripgraph.operators.graph import build_graph
 
+    return build_graph(*_small_sources(spark))
+
+
+def _small_sources(spark):
+
     h = hotels(spark, [
         (1, "Alpha", "Paris", "France", 9.0, 9.0, 9.0),
         (2, "Beta", "Twin", "France", 8.0, 8.0, 8.0),
@@ -59,4 +78,4 @@ def small_graph(spark):
         ("Spain", "Italy", "yes", "Tourist Visa"),        # lower-case: not a visa edge
         ("Italy", "Spain", "True", "Tourist Visa"),
     ])
-    return build_graph(h, u, r, v)
+    return h, u, r, v

@@ -14,8 +14,11 @@ SMOKE = "/root/testdata/sf0.001"
 
 def test_entry_runs(spark):
     df = E.entry(spark)
-    assert df.columns == ["hotelName", "avgRating"]
-    assert len(df.collect()) == 3
+    assert df.columns == ["question_id", "prompt"]
+    rows = df.collect()
+    n_customers = spark.read.parquet(f"{SMOKE}/customer.parquet").count()
+    assert len(rows) == n_customers
+    assert all(r["prompt"].startswith("\n    You are a Hotel Recommender.") for r in rows)
 
 
 def test_oracles_cover_queries():

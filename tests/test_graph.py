@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from fixtures import hotels, reviews, small_graph, users, visa
+from fixtures import hotels, lazy_small_graph, reviews, small_graph, users, visa
 from tripgraph.operators.graph import build_graph, check_unique, last_wins
 
 
@@ -48,7 +48,7 @@ def test_nan_scores_are_null(spark):
 
 def test_build_is_idempotent_and_order_free(spark):
     g1 = small_graph(spark)
-    g2 = small_graph(spark)
+    g2 = lazy_small_graph(spark)
     for name in ("hotel", "stayed_at", "segment_stats", "hotel_stats"):
         a, b = getattr(g1, name), getattr(g2, name)
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect()))

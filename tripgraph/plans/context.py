@@ -196,21 +196,42 @@ def _encode_questions(questions: DataFrame, idf: DataFrame) -> DataFrame:
     )
 
 
+def _distinct_texts(questions: DataFrame) -> DataFrame:
+    """(question_id, user_query) of one representative per distinct text, written
+    so the ids are stable: neighbours depend only on the text."""
+    from ..functions.text import written
+
+    texts = questions.select(F.coalesce("user_query", F.lit("")).alias("user_query")).distinct()
+    return written(texts.withColumn("question_id", F.monotonically_increasing_id()), "question_texts")
+
+
+def _per_question(questions: DataFrame, texts: DataFrame, per_text: DataFrame) -> DataFrame:
+    """Spread per-text rows (question_id = text id) back to every question."""
+    ids = texts.select(F.col("question_id").alias("_tid"), "user_query")
+    back = per_text.withColumnRenamed("question_id", "_tid").join(ids, "_tid")
+    q = questions.select("question_id", F.coalesce("user_query", F.lit("")).alias("user_query"))
+    return q.join(back, "user_query").drop("user_query", "_tid")
+
+
 def text_neighbours(index: TextIndex, questions: DataFrame, k: int = TEXT_K) -> DataFrame:
     """(question_id, pos, text): the k most similar review chunks."""
-    nn = knn_sparse(_encode_questions(questions, index.text_idf), index.text_rows, k)
-    return nn.join(index.text_docs.select(F.col("id").alias("neighbor_id"), "text"), "neighbor_id").select(
+    texts = _distinct_texts(questions)
+    nn = knn_sparse(_encode_questions(texts, index.text_idf), index.text_rows, k)
+    per_text = nn.join(index.text_docs.select(F.col("id").alias("neighbor_id"), "text"), "neighbor_id").select(
         F.col("query_id").alias("question_id"), "pos", "text")
+    return _per_question(questions, texts, per_text)
 
 
 def feature_neighbours(index: TextIndex, questions: DataFrame, k: int = FEATURE_K) -> DataFrame:
     """(question_id, pos, text): the k most similar feature documents, then the
     best one per hotel id (documents without an id are all kept)."""
-    nn = knn_sparse(_encode_questions(questions, index.feature_idf), index.feature_rows, k)
+    texts = _distinct_texts(questions)
+    nn = knn_sparse(_encode_questions(texts, index.feature_idf), index.feature_rows, k)
     keys = index.feature_docs.select(F.col("id").alias("neighbor_id"), F.col("hotel_id").cast("string").alias("key"))
     dd = dedup_by_key(nn, keys)
-    return dd.join(index.feature_docs.select(F.col("id").alias("neighbor_id"), "text"), "neighbor_id").select(
+    per_text = dd.join(index.feature_docs.select(F.col("id").alias("neighbor_id"), "text"), "neighbor_id").select(
         F.col("query_id").alias("question_id"), "pos", "text")
+    return _per_question(questions, texts, per_text)
 
 
 def vector_lines(index: TextIndex, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
