@@ -80,3 +80,16 @@ def test_dedup_keeps_best_per_key_and_keyless(spark):
     keys = spark.createDataFrame([(10, "h1"), (11, "h1"), (12, None), (13, "h2")], "neighbor_id bigint, key string")
     got = [(r["pos"], r["neighbor_id"]) for r in dedup_by_key(knn, keys).orderBy("pos").collect()]
     assert got == [(1, 10), (2, 12), (3, 13)]
+
+
+def test_fused_tfidf_rows_equal_two_step(spark):
+    from tripgraph.operators.vectors import tfidf_rows
+    docs = spark.createDataFrame([(1, "a b b c"), (2, "b c"), (3, "c c c d"), (4, None)], "id bigint, text string")
+    idf = fit_idf(docs, "id", "text")
+    a = {r["id"]: dict(zip(r["tokens"], r["weights"])) for r in sparse_rows(tfidf(docs, "id", "text", idf)).collect()}
+    b = {r["id"]: dict(zip(r["tokens"], r["weights"])) for r in tfidf_rows(docs, "id", "text", idf).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k].keys() == b[k].keys()
+        for t in a[k]:
+            assert abs(a[k][t] - b[k][t]) < 1e-12

@@ -71,6 +71,19 @@ def sparse_rows(weights: DataFrame) -> DataFrame:
     ).select("id", F.col("tw.token").alias("tokens"), F.col("tw.weight").alias("weights"))
 
 
+def tfidf_rows(df: DataFrame, id_col: str, text_col: str, idf: DataFrame, idf_max_rows: int = 500_000) -> DataFrame:
+    """TF-IDF straight into sparse rows: the L2 norm is computed in the same
+    per-document aggregate that collects the terms (no separate norm join).
+    The idf table is broadcast when a size check allows."""
+    from ..functions.broadcast import checked_broadcast
+
+    w = term_counts(df, id_col, text_col).join(checked_broadcast(idf.select("token", "idf"), idf_max_rows), "token")
+    w = w.select("id", "token", (F.col("tf") * F.col("idf")).alias("w"))
+    agg = w.groupBy("id").agg(F.collect_list(F.struct("token", "w")).alias("tw"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return agg.select("id", F.col("tw.token").alias("tokens"),
+                      F.transform(F.col("tw.w"), lambda x: x / F.col("norm")).alias("weights"))
+
+
 # ----------------------------------------------------------------------------- top-k kernels
 def _select_top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Exact per-row top-k of ``scores`` (rows = queries); ties -> smaller id.

@@ -20,7 +20,7 @@ from ..functions.text import py_list_repr
 from ..operators.chunking import chunk_fixed
 from ..operators.graph import Graph, writing_stage
 from ..operators.patterns import top_k_per
-from ..operators.vectors import dedup_by_key, fit_idf, knn_sparse, sparse_rows, tfidf
+from ..operators.vectors import dedup_by_key, fit_idf, knn_sparse, tfidf_rows
 from ..session import scratch_path
 from . import retrieval as rt
 from .text import feature_docs, review_docs
@@ -166,19 +166,17 @@ def build_text_index(spark: SparkSession, reviews: DataFrame, hotels: DataFrame)
     """Chunk and encode review documents and feature documents once, written to
     the shared checkpoint folder (ids are assigned on the written rows)."""
     stage = writing_stage(spark, scratch_path(spark, "text_index"))
-    # Review documents are short, so chunk ids derive from the review's position
-    # in a written table; ids are assigned once, on written rows.
-    rdocs = stage({"_review_docs": review_docs(reviews, hotels).withColumn("_rid", F.monotonically_increasing_id())})["_review_docs"]
-    chunks = chunk_fixed(rdocs.select(F.col("_rid").alias("doc_id"), "text"))
+    # Chunk ids are assigned once, on written rows.
+    chunks = chunk_fixed(review_docs(reviews, hotels), id_col="review_id", keep=["hotel_id"]).withColumnRenamed(
+        "doc_id", "review_id")
     w1 = stage({
-        "text_docs": chunks.join(rdocs.select(F.col("_rid").alias("doc_id"), "review_id", "hotel_id"), "doc_id")
-        .withColumn("id", F.monotonically_increasing_id()),
+        "text_docs": chunks.withColumn("id", F.monotonically_increasing_id()),
         "feature_docs": feature_docs(reviews, hotels).withColumn("id", F.monotonically_increasing_id()),
     })
     w2 = stage({"text_idf": fit_idf(w1["text_docs"], "id", "text"), "feature_idf": fit_idf(w1["feature_docs"], "id", "text")})
     w3 = stage({
-        "text_rows": sparse_rows(tfidf(w1["text_docs"], "id", "text", w2["text_idf"])),
-        "feature_rows": sparse_rows(tfidf(w1["feature_docs"], "id", "text", w2["feature_idf"])),
+        "text_rows": tfidf_rows(w1["text_docs"], "id", "text", w2["text_idf"]),
+        "feature_rows": tfidf_rows(w1["feature_docs"], "id", "text", w2["feature_idf"]),
     })
     return TextIndex(w2["text_idf"], w3["text_rows"], w1["text_docs"], w2["feature_idf"], w3["feature_rows"],
                      w1["feature_docs"])
@@ -188,7 +186,7 @@ def _encode_questions(questions: DataFrame, idf: DataFrame) -> DataFrame:
     """Every question gets a vector; one sharing no token with the corpus is
     all zeros, so its neighbours are the k smallest ids (a retriever always
     returns k documents)."""
-    enc = sparse_rows(tfidf(questions, "question_id", "user_query", idf))
+    enc = tfidf_rows(questions, "question_id", "user_query", idf)
     return questions.select(F.col("question_id").alias("id")).join(enc, "id", "left").select(
         "id",
         F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"),
