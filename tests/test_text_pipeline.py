@@ -28,3 +28,12 @@ def test_text_neighbours_match_brute_force(spark):
         # the returned documents carry the three best scores (ties may pick either document)
         assert [round(score_of_text[t], 9) for t in got_texts] == [round(x, 9) for x in best]
     assert set(got) == {r["question_id"] for r in q.collect()}
+
+
+def test_vector_only_mode_has_only_vector_sections(spark):
+    import __spark_entry__ as E
+
+    rows = E.queries()["context_full_vector"](spark, SMOKE).collect()
+    assert rows and all(r["context"].startswith("Relevant Text Reviews:\n") for r in rows)
+    assert all("\n\nRelevant Hotel Feature Profiles:\n" in r["context"] for r in rows)
+    assert not any("(from KG)" in r["context"] for r in rows)

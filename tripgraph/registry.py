@@ -136,6 +136,7 @@ def queries() -> dict[str, Query]:
     q["query_log"] = _on_understood(lambda g, u: cx.query_log(u))
     q["context_full_hybrid"] = lambda spark, d: _context(spark, d, cx.HYBRID)
     q["prompts_hybrid"] = lambda spark, d: _prompts(spark, d, cx.HYBRID)
+    q["context_full_vector"] = lambda spark, d: _context(spark, d, cx.VECTOR)
     return q
 
 
