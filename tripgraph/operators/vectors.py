@@ -48,11 +48,10 @@ def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def fit_idf(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(token, df, idf) over the corpus."""
     tc = term_counts(corpus, id_col, text_col)
-    n_docs = corpus.select(F.count(F.lit(1)).alias("n_docs"))
+    n_docs = corpus.count()  # one scalar
     return (
         tc.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-        .crossJoin(F.broadcast(n_docs))  # one row
-        .select("token", "df", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+        .select("token", "df", (F.log(F.lit(n_docs + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     )
 
 

@@ -158,9 +158,12 @@ def _knn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, token, weight) of every document: the per-document sparse rows
+    (norm computed in the same aggregate) flattened back to long form."""
     docs = driver_table(spark, sf_dir, "documents")
-    w = vectors.tfidf(docs, "doc_id", "text", vectors.fit_idf(docs, "doc_id", "text"))
-    return w.select(F.col("id").alias("doc_id"), "token", round_dec("weight", 6).alias("weight"))
+    rows = vectors.tfidf_rows(docs, "doc_id", "text", vectors.fit_idf(docs, "doc_id", "text"))
+    return rows.select(F.col("id").alias("doc_id"), F.inline(F.arrays_zip("tokens", "weights"))).select(
+        "doc_id", F.col("tokens").alias("token"), round_dec("weights", 6).alias("weight"))
 
 
 def _vec_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,7 +60,7 @@ SELECT a.n_name AS from_country, b.n_name AS to_country,
        CASE WHEN (a.n_nationkey * 7 + b.n_nationkey * 3) % 10 < 3 THEN 'Yes' ELSE 'No' END AS requires_visa,
        CASE WHEN (a.n_nationkey * 7 + b.n_nationkey * 3) % 10 = 0 THEN 'Tourist Visa'
             WHEN (a.n_nationkey * 7 + b.n_nationkey * 3) % 10 < 3 THEN 'Tourist Visa / eVisa' ELSE 'Visa-Free / eVisa' END AS visa_type
-FROM {nation} a CROSS JOIN {nation} b WHERE a.n_nationkey <> b.n_nationkey AND b.n_nationkey < 20
+FROM {nation} a JOIN {nation} b ON a.n_nationkey <> b.n_nationkey AND b.n_nationkey < 20
 """
 
 # One question per customer, so the question batch grows with the data.
