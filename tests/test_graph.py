@@ -59,3 +59,13 @@ def test_segment_states_merge_exactly(spark):
     g = small_graph(spark)
     tot = g.segment_stats.agg(F.sum("paths"), F.sum("score_overall_sum"), F.sum("score_overall_n")).first()
     assert tuple(tot) == (4, 30, 4)
+
+
+def test_merge_summary(spark):
+    from fixtures import _small_sources
+    from tripgraph.operators.graph import merge_summary
+
+    h, u, r, v = _small_sources(spark)
+    got = {row["label"]: (row["input_rows"], row["vertices"])
+           for row in merge_summary(small_graph(spark), {"hotels": h, "users": u, "reviews": r}).collect()}
+    assert got == {"Hotel": (4, 4), "Traveller": (3, 3), "Review": (6, 4), "City": (4, 2)}

@@ -224,6 +224,31 @@ def build_and_write(spark: SparkSession, sources: dict[str, DataFrame], path: st
                        stage=writing_stage(spark, path))
 
 
+def merge_summary(graph: Graph, sources: dict[str, DataFrame]) -> DataFrame:
+    """(label, input_rows, vertices): how many source rows each MERGE collapsed
+    into how many vertices (input rows with a NULL key create nothing)."""
+    spec = [
+        ("Hotel", sources["hotels"], "hotel_id", graph.hotel),
+        ("Traveller", sources["users"], "user_id", graph.traveller),
+        ("Review", sources["reviews"], "review_id", graph.review),
+        ("City", sources["hotels"], "city", graph.city),
+    ]
+    out = None
+    for label, src, key, vertices in spec:
+        n_in = src.where(F.col(key).isNotNull()).select(F.count(F.lit(1)).alias("input_rows"))
+        n_out = vertices.select(F.count(F.lit(1)).alias("vertices"))
+        row = _one_row(label, n_in, n_out)
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _one_row(label: str, n_in: DataFrame, n_out: DataFrame) -> DataFrame:
+    """Put two one-row counts side by side (equi-join on a constant key)."""
+    a = n_in.withColumn("_k", F.lit(1))
+    b = n_out.withColumn("_k", F.lit(1))
+    return a.join(b, "_k").select(F.lit(label).alias("label"), "input_rows", "vertices")
+
+
 def check_unique(graph: Graph) -> DataFrame:
     """Uniqueness constraints as a quality job: (label, key, n) for every
     vertex key that occurs more than once. Empty when the graph is sound."""

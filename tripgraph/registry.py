@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .functions.text import py_list_repr
-from .operators.graph import check_unique
+from .operators.graph import check_unique, merge_summary
 from .operators.linking import entity_dictionary, link_entities
 from .plans import analytics, questions as qs, retrieval as rt
 from .plans import context as cx, text as tx
@@ -77,6 +77,8 @@ def queries() -> dict[str, Query]:
         q[f"edge_{edge}"] = _table(table)
     q["hotel_avg_score"] = _table("hotel", ["hotel_id", "average_reviews_score"])
     q["check_unique"] = _on_graph(check_unique)
+    q["merge_nodes"] = lambda spark, d: merge_summary(
+        graph_for(spark, d), {n: source(spark, d, n) for n in ("hotels", "users", "reviews")})
 
     for name in ("q1_visa_free_travellers", "q1_by_home_country", "q2_top_business_hotels", "q3_couples_per_hotel",
                  "q4_least_clean", "q5_best_location_women", "q6_improvement_rule"):
@@ -103,6 +105,7 @@ def queries() -> dict[str, Query]:
 
     # Explanation edges, per parameter value and per question.
     q["z1_city_edges"] = _on_graph(cx.explain_city)
+    q["z9_city_fallback_edges"] = _on_graph(cx.explain_city)  # the fallback asks the same pattern
     q["z2_country_edges"] = _on_graph(cx.explain_country)
     q["z3_type_edges"] = _on_graph(cx.explain_type)
     q["z4_gender_edges"] = _on_graph(cx.explain_gender)
