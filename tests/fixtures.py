@@ -36,7 +36,7 @@ _SMALL = {}
 def small_graph(spark):
     """Four hotels in two cities; 'Twin' city exists in two countries.
     Built once per session into written tables (like the real catalog)."""
-    key = id(spark.sparkContext._jsc)
+    key = spark.sparkContext.applicationId
     if key not in _SMALL:
         from tripgraph.operators.graph import build_graph, writing_stage
         from tripgraph.session import scratch_path

@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.graph import Graph, build_and_write, build_graph
 from ..sources.fixtures import fixture_table, fixture_tables
 
-_GRAPHS: dict[tuple[int, str], Graph] = {}
+_GRAPHS: dict[tuple[str, str], Graph] = {}
 
 
-def _key(spark: SparkSession, sf_dir: str) -> tuple[int, str]:
-    return (id(spark.sparkContext._jsc), sf_dir.rstrip("/"))
+def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
 
 
 def graph_for(spark: SparkSession, sf_dir: str) -> Graph:
