@@ -45,12 +45,25 @@ def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return tokens(df, id_col, text_col).groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def doc_tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, toks ARRAY<STRING>): one row per document, empty tokens removed."""
+    return df.select(
+        F.col(id_col).alias("id"),
+        F.filter(F.split(F.lower(F.col(text_col)), TOKEN_SPLIT), lambda t: t != "").alias("toks"),
+    )
+
+
 def fit_idf(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(token, df, idf) over the corpus."""
-    tc = term_counts(corpus, id_col, text_col)
+    """(token, df, idf) over the corpus (``id_col`` is a document key).
+
+    Document frequency counts each document's *distinct* tokens, so the only
+    shuffle is a partial aggregate keyed by token (at most vocabulary x
+    partitions rows), never the (document, token) pairs."""
     n_docs = corpus.count()  # one scalar
     return (
-        tc.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+        doc_tokens(corpus, id_col, text_col)
+        .select(F.explode(F.array_distinct("toks")).alias("token"))
+        .groupBy("token").agg(F.count(F.lit(1)).alias("df"))
         .select("token", "df", (F.log(F.lit(n_docs + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     )
 
@@ -73,11 +86,20 @@ def sparse_rows(weights: DataFrame) -> DataFrame:
 def tfidf_rows(df: DataFrame, id_col: str, text_col: str, idf: DataFrame, idf_max_rows: int = 500_000) -> DataFrame:
     """TF-IDF straight into sparse rows: the L2 norm is computed in the same
     per-document aggregate that collects the terms (no separate norm join).
-    The idf table is broadcast when a size check allows."""
-    from ..functions.broadcast import checked_broadcast
 
-    w = term_counts(df, id_col, text_col).join(checked_broadcast(idf.select("token", "idf"), idf_max_rows), "token")
-    w = w.select("id", "token", (F.col("tf") * F.col("idf")).alias("w"))
+    When a size check allows the idf table to be broadcast, the documents are
+    shuffled once by id; term counts, the idf lookup and the per-document
+    collect then all run inside that partitioning (no further exchange).
+    Beyond the bound the idf join shuffles on token and the collect on id."""
+    from ..functions.broadcast import is_small
+
+    side = idf.select("token", "idf")
+    if is_small(side, idf_max_rows):
+        # Shuffle the raw text, so tokenising runs after the exchange, in parallel.
+        df, side = df.repartition(F.col(id_col)), F.broadcast(side)
+    docs = doc_tokens(df, id_col, text_col)
+    tc = docs.select("id", F.explode("toks").alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    w = tc.join(side, "token").select("id", "token", (F.col("tf") * F.col("idf")).alias("w"))
     agg = w.groupBy("id").agg(F.collect_list(F.struct("token", "w")).alias("tw"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return agg.select("id", F.col("tw.token").alias("tokens"),
                       F.transform(F.col("tw.w"), lambda x: x / F.col("norm")).alias("weights"))
