@@ -149,15 +149,18 @@ def build_graph(hotels: DataFrame, users: DataFrame, reviews: DataFrame, visa: D
         "hotel_in_city": hotel_in_city,
         "from_country": distinct_pairs(users, "user_id", "country"),
         "hotel_place": hotel_in_city.join(city_in_country, "city").select("hotel_id", "city", "country"),
+        # A review is loaded only when both endpoints exist (MATCH drops the rest).
+        # A vertex exists exactly when its source has a row with a non-NULL key,
+        # so the semi joins read the source keys and run in this wave.
+        "_live_reviews": (
+            reviews.where(F.col("review_id").isNotNull())
+            .join(users.where(F.col("user_id").isNotNull()).select("user_id"), "user_id", "left_semi")
+            .join(hotels.where(F.col("hotel_id").isNotNull()).select("hotel_id"), "hotel_id", "left_semi")
+        ),
     })
+    live = w1.pop("_live_reviews")
 
-    # Wave 2: a review is loaded only when both endpoints exist (MATCH drops the rest).
-    live = (
-        reviews.where(F.col("review_id").isNotNull())
-        .join(w1["traveller"].select("user_id"), "user_id", "left_semi")
-        .join(w1["hotel"].select("hotel_id"), "hotel_id", "left_semi")
-    )
-    live = stage({"_live_reviews": live})["_live_reviews"]
+    # Wave 2: the review vertex and its edges.
     w2 = stage({
         "review": last_wins(
             live.withColumnsRenamed({"review_date": "date", "review_text": "text"}),
