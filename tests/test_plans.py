@@ -49,3 +49,22 @@ def test_filter_pushed_to_parquet(spark, tmp_path):
     p = plan(spark.read.parquet(path).where("k = 3").select("id"))
     assert "PushedFilters: [IsNotNull(k), EqualTo(k,3)]" in p
     assert "ReadSchema: struct<id:bigint,k:bigint>" in p      # pad is pruned
+
+
+def test_tfidf_shuffles_documents_once(spark):
+    """idf: partial aggregate keyed by token only; weights: one shuffle of the
+    documents by id, then term counts, the broadcast idf lookup and the
+    per-document collect without another exchange."""
+    from tripgraph.operators import vectors as V
+
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, "")], "doc_id bigint, text string")
+    idf = V.fit_idf(docs, "doc_id", "text")
+    p_idf = plan(idf, "simple")
+    assert p_idf.count("Exchange hashpartitioning") == 1
+    assert "Exchange hashpartitioning(token" in p_idf
+    p = plan(V.tfidf_rows(docs, "doc_id", "text", idf), "simple")
+    shuffles = [ln for ln in p.splitlines() if "Exchange hashpartitioning" in ln]
+    # The documents by id (REPARTITION_BY_COL) and the idf aggregate by token.
+    assert len(shuffles) == 2, shuffles
+    assert any("REPARTITION_BY_COL" in ln and "doc_id" in ln for ln in shuffles)
+    assert "BroadcastHashJoin" in p

@@ -63,5 +63,7 @@ def link_entities(questions: DataFrame, dictionary: DataFrame, text_col: str = "
     best = top_k_per(cand, ["q_lc", "category"], [F.desc("v_len"), F.asc("value")], 1, "_rk").select(
         "q_lc", "category", "value")
     # Back to questions; a text shared by a third of all questions is a hot key
-    # on the question side only (AQE splits it) -- or the link table is broadcast.
-    return q.join(checked_broadcast(best), "q_lc").select("question_id", "category", "value")
+    # on the question side only (AQE splits it). ``best`` is not counted up front
+    # (that would run the whole linking twice): AQE turns the join into a
+    # broadcast from the measured size of its shuffle, when that is small.
+    return q.join(best, "q_lc").select("question_id", "category", "value")

@@ -211,19 +211,20 @@ def _per_question(questions: DataFrame, texts: DataFrame, per_text: DataFrame) -
     return q.join(back, "user_query").drop("user_query", "_tid")
 
 
-def text_neighbours(index: TextIndex, questions: DataFrame, k: int = TEXT_K) -> DataFrame:
+def text_neighbours(index: TextIndex, questions: DataFrame, k: int = TEXT_K, texts: DataFrame | None = None) -> DataFrame:
     """(question_id, pos, text): the k most similar review chunks."""
-    texts = _distinct_texts(questions)
+    texts = _distinct_texts(questions) if texts is None else texts
     nn = knn_sparse(_encode_questions(texts, index.text_idf), index.text_rows, k)
     per_text = nn.join(index.text_docs.select(F.col("id").alias("neighbor_id"), "text"), "neighbor_id").select(
         F.col("query_id").alias("question_id"), "pos", "text")
     return _per_question(questions, texts, per_text)
 
 
-def feature_neighbours(index: TextIndex, questions: DataFrame, k: int = FEATURE_K) -> DataFrame:
+def feature_neighbours(index: TextIndex, questions: DataFrame, k: int = FEATURE_K,
+                       texts: DataFrame | None = None) -> DataFrame:
     """(question_id, pos, text): the k most similar feature documents, then the
     best one per hotel id (documents without an id are all kept)."""
-    texts = _distinct_texts(questions)
+    texts = _distinct_texts(questions) if texts is None else texts
     nn = knn_sparse(_encode_questions(texts, index.feature_idf), index.feature_rows, k)
     keys = index.feature_docs.select(F.col("id").alias("neighbor_id"), F.col("hotel_id").cast("string").alias("key"))
     dd = dedup_by_key(nn, keys)
@@ -236,9 +237,11 @@ def vector_lines(index: TextIndex, questions: DataFrame) -> tuple[DataFrame, Dat
     heads = questions.select("question_id", F.lit(7).alias("seq"), F.lit(TEXT_HEADER).alias("header"), F.lit(True).alias("always"))
     heads = heads.unionByName(
         questions.select("question_id", F.lit(8).alias("seq"), F.lit(FEATURE_HEADER).alias("header"), F.lit(True).alias("always")))
-    lines = text_neighbours(index, questions).select("question_id", F.lit(7).alias("seq"), "pos", F.col("text").alias("line"))
+    texts = _distinct_texts(questions)  # written once, shared by both searches
+    lines = text_neighbours(index, questions, texts=texts).select(
+        "question_id", F.lit(7).alias("seq"), "pos", F.col("text").alias("line"))
     lines = lines.unionByName(
-        feature_neighbours(index, questions).select("question_id", F.lit(8).alias("seq"), "pos", F.col("text").alias("line")))
+        feature_neighbours(index, questions, texts=texts).select("question_id", F.lit(8).alias("seq"), "pos", F.col("text").alias("line")))
     return heads, lines
 
 
