@@ -93,3 +93,28 @@ def test_fused_tfidf_rows_equal_two_step(spark):
         assert a[k].keys() == b[k].keys()
         for t in a[k]:
             assert abs(a[k][t] - b[k][t]) < 1e-12
+
+
+def test_tfidf_values_by_hand_and_unbroadcast_path(spark):
+    """Hand-computed weights; the shuffle-join path (idf beyond the broadcast
+    bound) gives the same rows as the broadcast path."""
+    import math
+
+    from tripgraph.operators.vectors import tfidf_rows
+    docs = spark.createDataFrame([(1, "A a b"), (2, "b, c!"), (3, None)], "id bigint, text string")
+    idf = {r["token"]: (r["df"], r["idf"]) for r in fit_idf(docs, "id", "text").collect()}
+    # Three documents (the NULL text counts), document frequencies a:1 b:2 c:1.
+    assert {t: d for t, (d, _) in idf.items()} == {"a": 1, "b": 2, "c": 1}
+    assert abs(idf["b"][1] - (math.log(4 / 3) + 1)) < 1e-12
+    i_a, i_b = math.log(4 / 2) + 1, math.log(4 / 3) + 1
+    norm = math.hypot(2 * i_a, i_b)
+    idf_df = fit_idf(docs, "id", "text")
+    fast = {r["id"]: dict(zip(r["tokens"], r["weights"])) for r in tfidf_rows(docs, "id", "text", idf_df).collect()}
+    slow = {r["id"]: dict(zip(r["tokens"], r["weights"]))
+            for r in tfidf_rows(docs, "id", "text", idf_df, idf_max_rows=0).collect()}
+    assert fast.keys() == slow.keys() == {1, 2}
+    assert abs(fast[1]["a"] - 2 * i_a / norm) < 1e-12 and abs(fast[1]["b"] - i_b / norm) < 1e-12
+    for k in fast:
+        assert fast[k].keys() == slow[k].keys()
+        for t in fast[k]:
+            assert abs(fast[k][t] - slow[k][t]) < 1e-12
