@@ -13,6 +13,7 @@ from ..operators.graph import Graph, build_and_write, build_graph
 from ..sources.fixtures import fixture_table, fixture_tables
 
 _GRAPHS: dict[tuple[str, str], Graph] = {}
+GRAPH_SOURCES = ("hotels", "users", "reviews", "visa")
 
 
 def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
@@ -22,7 +23,7 @@ def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
 def graph_for(spark: SparkSession, sf_dir: str) -> Graph:
     key = _key(spark, sf_dir)
     if key not in _GRAPHS:
-        _GRAPHS[key] = build_and_write(spark, fixture_tables(spark, sf_dir))
+        _GRAPHS[key] = build_and_write(spark, {t: fixture_table(spark, sf_dir, t) for t in GRAPH_SOURCES})
     return _GRAPHS[key]
 
 
