@@ -163,8 +163,13 @@ def _knn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, token, weight) of every document: the per-document sparse rows
     (norm computed in the same aggregate) flattened back to long form."""
+    from .functions.text import written
+
     docs = driver_table(spark, sf_dir, "documents")
-    rows = vectors.tfidf_rows(docs, "doc_id", "text", vectors.fit_idf(docs, "doc_id", "text"))
+    # The idf is written first: the broadcast size check then counts a parquet
+    # table instead of running the idf pass twice.
+    idf = written(vectors.fit_idf(docs, "doc_id", "text"), "documents_idf")
+    rows = vectors.tfidf_rows(docs, "doc_id", "text", idf)
     return rows.select(F.col("id").alias("doc_id"), F.inline(F.arrays_zip("tokens", "weights"))).select(
         "doc_id", F.col("tokens").alias("token"), round_dec("weights", 6).alias("weight"))
 
