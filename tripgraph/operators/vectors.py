@@ -185,15 +185,20 @@ def _sparse_scorer(vocab: dict, q_mat: np.ndarray):
     return score
 
 
-def _blocks(queries: DataFrame, block_rows: int) -> int:
-    n = queries.count()
-    return max(1, math.ceil(n / block_rows))
-
-
-def _block(queries: DataFrame, b: int, n_blocks: int) -> DataFrame:
-    if n_blocks == 1:
-        return queries
-    return queries.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b)
+def _query_blocks(queries: DataFrame, cols: list[str], block_rows: int):
+    """The query table as collected hash blocks of at most about ``block_rows``
+    rows, one block at a time. A table that fits one block is collected in one
+    pass (no separate count); a larger one is counted and cut by a hash of id."""
+    first = queries.select(*cols).limit(block_rows + 1).collect()
+    if len(first) <= block_rows:
+        yield first
+        return
+    n_blocks = max(1, math.ceil(queries.count() / block_rows))
+    for b in range(n_blocks):
+        rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).select(*cols).collect()
+        if len(rows) > 2 * block_rows:
+            raise RuntimeError(f"query block {b} holds {len(rows)} rows; raise the block count")
+        yield rows
 
 
 def knn_dense(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2",
@@ -203,12 +208,8 @@ def knn_dense(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2",
     Returns (query_id, pos, neighbor_id, score): score is the cosine similarity,
     or the L2 distance for ``l2``; ``pos`` 1..k, best first, ties by smaller id."""
     spark = queries.sparkSession
-    n_blocks = _blocks(queries, block_rows)
     parts = []
-    for b in range(n_blocks):
-        rows = _block(queries, b, n_blocks).select("id", "vec").collect()  # one checked block
-        if len(rows) > 2 * block_rows:
-            raise RuntimeError(f"query block {b} holds {len(rows)} rows; raise the block count")
+    for rows in _query_blocks(queries, ["id", "vec"], block_rows):  # one checked block at a time
         if not rows:
             continue
         q_ids = np.array([r[0] for r in rows], dtype=np.int64)
@@ -227,12 +228,8 @@ def knn_sparse(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int =
     """Exact kNN on sparse unit vectors (dot product = cosine).
     ``queries`` / ``corpus``: (id, tokens ARRAY<STRING>, weights ARRAY<DOUBLE>)."""
     spark = queries.sparkSession
-    n_blocks = _blocks(queries, block_rows)
     parts = []
-    for b in range(n_blocks):
-        rows = _block(queries, b, n_blocks).select("id", "tokens", "weights").collect()
-        if len(rows) > 2 * block_rows:
-            raise RuntimeError(f"query block {b} holds {len(rows)} rows; raise the block count")
+    for rows in _query_blocks(queries, ["id", "tokens", "weights"], block_rows):
         if not rows:
             continue
         vocab: dict[str, int] = {}
