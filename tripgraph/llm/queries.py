@@ -8,12 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, winnowing
+from . import minhash, quality_rff, toxicity_zstd, winnowing
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_zstd.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op6_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rff.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), per_cent=85)
 

@@ -39,8 +39,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words of a batch: ``hash`` per word, ``first[i]:first[i + 1]`` the words
-    of text i."""
+    """Words of a batch: ``hash``, ``start`` and ``end`` (byte places) per word,
+    ``first[i]:first[i + 1]`` the words of text i."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray):
         data = LOWER[data]
@@ -52,6 +52,7 @@ class Words:
         after[offsets[1:][offsets[1:] > 0] - 1] = False
         start = np.flatnonzero(inside & ~before)
         end = np.flatnonzero(inside & ~after) + 1
+        self.start, self.end = start, end
         self.first = np.searchsorted(start, offsets)
         up, down = _powers(len(data) + 1)
         total = np.zeros(len(data) + 1, np.uint64)
