@@ -8,12 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, quality_rff, toxicity_zstd, winnowing
+from . import html_density, minhash, quality_rff, toxicity_zstd, warc_chunks, winnowing
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_chunks.archive_round_trip(read_table(spark, sf_dir, "pages"))
+
+
+def op3_html_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op4_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_zstd.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
