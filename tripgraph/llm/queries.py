@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_density, minhash, quality_rff, toxicity_zstd, warc_chunks, winnowing
+from . import embed_graph, html_density, minhash, quality_rff, sp_trie, token_count, toxicity_zstd, warc_chunks, winnowing
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,14 @@ def op4_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_zstd.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and whether they decode to its text: the digest
+    of the decoded text beside that of the text itself."""
+    docs = read_table(spark, sf_dir, "documents")
+    return sp_trie.encode_documents(docs).select(
+        "doc_id", "ids", F.size("ids").cast("bigint").alias("n_pieces"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rff.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -34,6 +42,14 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), per_cent=85)
 
 
+def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(read_table(spark, sf_dir, "documents"))
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_graph.near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = winnowing.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     names = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
