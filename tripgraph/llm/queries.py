@@ -8,12 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_graph, html_density, minhash, quality_rff, sp_trie, token_count, toxicity_zstd, warc_chunks, winnowing
+from . import embed_graph, html_density, minhash, quality_rff, secret_forest, sp_trie, token_count, toxicity_zstd, warc_chunks, winnowing
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document; the value itself only as a digest."""
+    found = secret_forest.scan(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "finding_no", "start", F.length("value").cast("bigint").alias("n_chars"),
+                        F.sha2("value", 256).alias("value_sha256"), "score", "secret")
+
+
 def op2_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_chunks.archive_round_trip(read_table(spark, sf_dir, "pages"))
 
