@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripgraph.functions.broadcast import checked_broadcast
 from tripgraph.llm import minhash, quality_rff, secret_forest, sp_trie, winnowing
-from tripgraph.llm.common import read_table, written
+from tripgraph.llm.common import packed, read_table, unpacked, written
 
 # Similarity from which documents count as copies of each other, in per cent.
 NEAR = 85
@@ -38,21 +39,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     per_id = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     # Only ids that go or repeat are named, so most rows pass without a match.
     named = written(per_id.where("NOT kept OR n > 1"), "named_duplicates")
-    gone = minhash.checked_broadcast(named.select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept")), minhash.BROADCAST_IDS)
-    marked = docs.join(gone, F.col("doc_id").cast("bigint") == F.col("__id"), "left")
-    once = marked.where("__id IS NULL").select(*docs.columns)
-    again = marked.where("__kept").dropDuplicates(["__id"]).select(*docs.columns)
-    return once.unionByName(again)
+    gone = checked_broadcast(named.select(F.col("doc_id").alias("id"), F.col("kept").alias("stays")), minhash.BROADCAST_IDS)
+    rows = docs.select(packed(docs).alias("row"), F.col("doc_id").cast("bigint").alias("own"))
+    marked = rows.join(gone, F.col("own") == F.col("id"), "left")
+    once = marked.where("id IS NULL")
+    again = marked.where("stays").dropDuplicates(["own"])
+    return once.unionByName(again).select(*unpacked(docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a word inside a benchmark passage. Rows with a null id are
-    judged by their text like others."""
-    row = F.monotonically_increasing_id()
-    numbered = written(docs.withColumn("__row", row), "numbered")
-    hits = winnowing.contaminated(numbered, read_table(spark, sf_dir, "benchmark"), id_col="__row").where("n_hit > 0")
-    gone = minhash.checked_broadcast(written(hits.select(F.col("doc_id").alias("__row")), "contaminated"), minhash.BROADCAST_IDS)
-    return numbered.join(gone, "__row", "left_anti").select(*docs.columns)
+    """Rows without a word inside a benchmark passage, judged by their text
+    alone; null and empty texts have no words and stay."""
+    return winnowing.keep_clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
@@ -28,6 +29,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct column, so that columns added beside
+    it cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def unpacked(columns: list[str], row: str = "row") -> list[Column]:
+    return [F.col(row).getField(c).alias(c) for c in columns]
+
+
 def large_text(col: pa.Array | pa.ChunkedArray) -> pa.LargeStringArray:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()

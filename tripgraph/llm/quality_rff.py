@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,13 +120,12 @@ def score_features(features: DataFrame, model: Calibrated | None) -> DataFrame:
 def quality_score(model: Calibrated | None, text_col: str = "text") -> Column:
     """The score of a text column, for filters that keep all columns of a row."""
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for t in texts:
-            arr = pa.array(t, pa.large_string(), from_pandas=True)
-            b = pa.RecordBatch.from_arrays([arr], ["text"])
-            parts = [model.score(statistics(*text_buffer(s.column(0)))) for s in slices(iter([b]), "text")] if model else [np.full(len(t), 0.5)]
-            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+            rows = pa.RecordBatch.from_arrays([t], ["text"])
+            parts = [model.score(statistics(*text_buffer(s.column(0)))) for s in slices(iter([rows]), "text")] if model else [np.full(len(t), 0.5)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return score(F.col(text_col))
 

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import packed, unpacked, written
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,256}[0-9])[A-Za-z0-9+/_-]{16,512}={0,2}"
 CONTEXT = 64  # characters looked at on either side
@@ -75,33 +75,33 @@ def dictionary(docs: DataFrame, text_col: str = "text") -> list[str]:
 
 
 def _cut(docs: DataFrame, text: Column) -> DataFrame:
-    """Adds __found (candidates) and __parts (what stands between them)."""
+    """Adds found (candidates) and parts (what stands between them)."""
     some = F.coalesce(text, F.lit(""))
-    return docs.withColumns({"__found": F.regexp_extract_all(some, F.lit(CANDIDATE), F.lit(0)), "__parts": F.split(some, CANDIDATE, -1)})
+    return docs.withColumns({"found": F.regexp_extract_all(some, F.lit(CANDIDATE), F.lit(0)), "parts": F.split(some, CANDIDATE, -1)})
 
 
 def _each(make: Callable[[Column], Column]) -> Column:
     """``make(i)`` for each candidate number, as an array."""
-    n = F.size("__found")
+    n = F.size("found")
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), make))
 
 
 def _around(i: Column) -> tuple[Column, Column, Column]:
-    before, after = F.element_at("__parts", i + 1), F.element_at("__parts", i + 2)
-    return F.element_at("__found", i + 1), F.right(before, F.lit(CONTEXT)), F.left(after, F.lit(CONTEXT))
+    before, after = F.element_at("parts", i + 1), F.element_at("parts", i + 2)
+    return F.element_at("found", i + 1), F.right(before, F.lit(CONTEXT)), F.left(after, F.lit(CONTEXT))
 
 
 def findings(docs: DataFrame, words: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, finding_no, start, value, before, after, <features>) of every
     candidate; start counts characters from 0."""
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = _cut(src.where(F.col("text").rlike("[0-9]")), F.col("text")).where(F.size("__found") > 0)
-    n = F.sequence(F.lit(0), F.size("__found") - 1)
+    rows = _cut(src.where(F.col("text").rlike("[0-9]")), F.col("text")).where(F.size("found") > 0)
+    n = F.sequence(F.lit(0), F.size("found") - 1)
     run = F.aggregate(
         n, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
         lambda acc, i: F.struct(
-            (acc["at"] + F.length(F.element_at("__parts", i + 1)) + F.length(F.element_at("__found", i + 1))).alias("at"),
-            F.array_append(acc["starts"], acc["at"] + F.length(F.element_at("__parts", i + 1))).alias("starts")),
+            (acc["at"] + F.length(F.element_at("parts", i + 1)) + F.length(F.element_at("found", i + 1))).alias("at"),
+            F.array_append(acc["starts"], acc["at"] + F.length(F.element_at("parts", i + 1))).alias("starts")),
         lambda acc: acc["starts"])
 
     def one(i: Column) -> Column:
@@ -244,9 +244,10 @@ def redact(docs: DataFrame, trees: list[Tree], words: list[str], text_col: str =
     def piece(i: Column) -> Column:
         v, b, a = _around(i)
         secret = F.round(forest_score(trees, [f(v, b, a, known).cast("double") for _, f, _ in FEATURES]), 9) >= THRESHOLD
-        return F.concat(F.element_at("__parts", i + 1), F.when(secret, F.lit(REDACTED)).otherwise(v))
+        return F.concat(F.element_at("parts", i + 1), F.when(secret, F.lit(REDACTED)).otherwise(v))
 
-    cut = _cut(docs, F.col(text_col))
-    whole = F.concat(F.array_join(_each(piece), ""), F.element_at("__parts", -1))
-    text = F.when(F.size("__found") > 0, whole).otherwise(F.col(text_col))
-    return cut.withColumn("__text", text).select(*[F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    cut = _cut(docs.select(packed(docs).alias("row")), F.col("row").getField(text_col))
+    whole = F.concat(F.array_join(_each(piece), ""), F.element_at("parts", -1))
+    own = F.col("row").getField(text_col)
+    out = cut.withColumn("redacted", F.when(F.size("found") > 0, whole).otherwise(own))
+    return out.select(*[F.col("redacted").alias(c) if c == text_col else col for c, col in zip(docs.columns, unpacked(docs.columns))])

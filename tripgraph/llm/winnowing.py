@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_buffer, written
+from .common import packed, slices, text_buffer, unpacked, written
 from .words import NON_WORD, Words, grams, mix
 
 WINDOW, K = 10, 5
@@ -193,6 +193,36 @@ def _by_shuffles(src: DataFrame, windows: DataFrame) -> DataFrame:
         F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
 
 
+def _shared(items: DataFrame, id_col: str, text_col: str, most: int):
+    """The items' windows, and a broadcast index of them if they are proven to be at most ``most`` rows."""
+    windows = written(item_windows(items, id_col, text_col), "item_windows")
+    if windows.limit(most + 1).count() > most:
+        return windows, None
+    return windows, items.sparkSession.sparkContext.broadcast(_Index(windows.toArrow()))
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """The rows of ``docs`` without a hit word, with all their columns, judged
+    by their text alone. With an index that may be broadcast, texts are judged
+    in their row; else rows are numbered, written and joined by number."""
+    windows, shared = _shared(items, "item_id", "text", broadcast_windows)
+    if shared is not None:
+
+        @F.arrow_udf("boolean")
+        def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            scan = _scan(shared)
+            for t in texts:
+                rows = pa.RecordBatch.from_arrays([pa.nulls(len(t), pa.int64()), t], ["doc_id", "text"])
+                hits = [b.column(2).to_numpy() for b in scan(iter([rows]))]
+                yield pa.array(np.concatenate(hits) == 0 if hits else np.zeros(0, bool))
+
+        return docs.where(clean(F.col(f"`{text_col}`")))
+    rows = written(docs.select(packed(docs).alias("row"), F.monotonically_increasing_id().alias("number")), "numbered")
+    hits = _by_shuffles(rows.select(F.col("number").alias("doc_id"), F.col("row").getField(text_col).alias("text")), windows)
+    gone = written(hits.where("n_hit > 0").select(F.col("doc_id").alias("number")), "contaminated")
+    return rows.join(gone, "number", "left_anti").select(*unpacked(docs.columns))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_id_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(doc_id, n_words, n_hit, items) for every row of ``docs``: its words,
@@ -206,10 +236,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     items, nothing is hit; with no documents, there are no rows.
     """
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    windows = written(item_windows(items, item_id_col, item_text_col), "item_windows")
-    if windows.limit(broadcast_windows + 1).count() > broadcast_windows:
+    windows, shared = _shared(items, item_id_col, item_text_col, broadcast_windows)
+    if shared is None:
         return _by_shuffles(src, windows)
-    # Proven small: at most ``broadcast_windows`` rows.
-    index = _Index(windows.toArrow())
-    shared = docs.sparkSession.sparkContext.broadcast(index)
     return src.mapInArrow(_scan(shared), "doc_id bigint, n_words bigint, n_hit bigint, items array<bigint>")
