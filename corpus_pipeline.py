@@ -33,17 +33,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: the one with the smallest id; of
-    rows that repeat an id, one. Rows with a null id and texts without words
-    have no copies; all of them stay, but repeats of an id."""
+    rows that repeat an id and text, one. Rows with a null id have no copies,
+    nor have texts without words: all of them stay, but repeats of an id."""
     found = written(minhash.near_duplicates(docs, NEAR), "near_duplicates").where("doc_id IS NOT NULL")
-    per_id = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    # Only ids that go or repeat are named, so most rows pass without a match.
-    named = written(per_id.where("NOT kept OR n > 1"), "named_duplicates")
-    gone = checked_broadcast(named.select(F.col("doc_id").alias("id"), F.col("kept").alias("stays")), minhash.BROADCAST_IDS)
-    rows = docs.select(packed(docs).alias("row"), F.col("doc_id").cast("bigint").alias("own"))
-    marked = rows.join(gone, F.col("own") == F.col("id"), "left")
-    once = marked.where("id IS NULL")
-    again = marked.where("stays").dropDuplicates(["own"])
+    per_row = found.groupBy("doc_id", "text_hash").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    # Only rows that go or repeat are named, so most rows pass without a match.
+    named = checked_broadcast(written(per_row.where("NOT stays OR n > 1"), "named_duplicates"), minhash.BROADCAST_IDS)
+    rows = docs.select(packed(docs).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    marked = rows.join(named, ["doc_id", "text_hash"], "left")
+    once = marked.where("n IS NULL")
+    again = marked.where("stays").dropDuplicates(["doc_id", "text_hash"])
     return once.unionByName(again).select(*unpacked(docs.columns))
 
 

@@ -12,7 +12,7 @@ from . import brute
 
 
 def result(df):
-    return sorted((tuple(r) for r in df.collect()), key=repr)
+    return sorted((tuple(r)[:4] for r in df.collect()), key=repr)
 
 
 def test_sketch_fills_every_coordinate_and_estimates():
@@ -52,7 +52,7 @@ def test_against_brute_force(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
     for per_cent in (80, 85):
         want = sorted((i, n, c, i == c) for i, (n, c) in brute.near_duplicates(docs, per_cent).items())
-        assert sorted(tuple(r) for r in minhash.near_duplicates(df, per_cent).collect()) == want
+        assert sorted(tuple(r)[:4] for r in minhash.near_duplicates(df, per_cent).collect()) == want
 
 
 def test_many_blocks_give_the_same(spark, monkeypatch):

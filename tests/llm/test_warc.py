@@ -70,10 +70,10 @@ def test_payloads_come_back(spark):
     assert texts == {1: ODD[0][2], 3: "", 5: "\r\n\r\n", 6: ODD[6][2]}
 
 
-def test_archive_is_plain_warc(spark, tmp_path):
+def test_archive_is_plain_warc(spark):
     path = W.archive_path(spark)
     W.write_warc(spark.createDataFrame([(1, "http://a/", "héllo"), (2, "http://b/", "")], "page_id bigint, url string, html string").coalesce(1), path)
-    raw = "".join(r.value for r in spark.read.option("wholetext", True).text(path).collect()).encode()
+    raw = "".join(r.value for r in spark.read.text(path, wholetext=True).collect()).encode()
     seen = []
     while raw:
         head, raw = raw.split(b"\r\n\r\n", 1)

@@ -89,8 +89,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key.append(None)
                 band.append(None)
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "set_key", "bands"])
+            [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64()))],
+            ["doc_id", "text_hash", "n_shingles", "set_key", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +177,8 @@ def _verify(per_cent: int):
 
 
 def near_duplicates(docs: DataFrame, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
+    """(doc_id, n_shingles, component_id, kept, text_hash) for every row of
+    ``docs``; text_hash (xxhash64) tells rows that repeat an id apart.
 
     Documents are linked if their sets of distinct 5-word shingles (words:
     runs of non-white-space, A-Z lower-cased) have a similarity of at least
@@ -190,8 +191,9 @@ def near_duplicates(docs: DataFrame, per_cent: int = 80, id_col: str = "doc_id",
     component_id is null and kept is true. Repeated rows give repeated results.
     Other columns of ``docs`` are not read. An empty table gives no rows.
     """
-    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    sk = written(src.mapInArrow(_sketches, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>"), "sketches")
+    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    kinds = "doc_id bigint, text_hash bigint, n_shingles bigint, set_key binary, bands array<bigint>"
+    sk = written(src.mapInArrow(_sketches, kinds), "sketches")
 
     # One class per distinct set: exact copies never meet in pairs.
     classes = written(sk.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(
@@ -208,7 +210,7 @@ def near_duplicates(docs: DataFrame, per_cent: int = 80, id_col: str = "doc_id",
     members = written(members.join(blocks, "component").select(
         "node", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")).distinct(), "members")
     ids = checked_broadcast(members.select(F.col("node").alias("doc_id")), BROADCAST_IDS)
-    texts = src.join(ids, "doc_id", "left_semi")
+    texts = src.drop("text_hash").join(ids, "doc_id", "left_semi")
     sets = texts.mapInArrow(_sets, "node bigint, elements binary").dropDuplicates(["node", "elements"])
     dealt = members.join(sets, "node").select(
         "component", "block", "node", "elements", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -220,7 +222,7 @@ def near_duplicates(docs: DataFrame, per_cent: int = 80, id_col: str = "doc_id",
 
     named = classes.select("set_key", "node").join(found, "node", "left").select(
         "set_key", F.coalesce("component", "node").alias("component"))
-    out = sk.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    out = sk.drop("bands").join(named, "set_key", "left")
     own = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    component = F.when(F.col("doc_id").isNotNull(), own)
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")

@@ -46,7 +46,7 @@ def op6_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), per_cent=85)
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), per_cent=85).drop("text_hash")
 
 
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
