@@ -21,11 +21,13 @@ from .plans.retrieval import RetrievalIndex, retrieval_index
 from .sources.readers import read_sources
 
 
-def build_graph_from_files(spark: SparkSession, paths: dict[str, str], fmt: str = "csv", out: str | None = None) -> Graph:
+def build_graph_from_files(spark: SparkSession, paths: dict[str, str], fmt: str = "csv", out: str | None = None,
+                           order_cols: dict[str, str] | None = None) -> Graph:
     """Check all four inputs (one error names every missing path), scan them
     with explicit schemas, build the graph and write it (to ``out`` or the
-    shared checkpoint folder)."""
-    return build_and_write(spark, read_sources(spark, paths, fmt), out)
+    shared checkpoint folder). ``order_cols`` names, per source, the column by
+    which the last row of a key wins; several files have no order without it."""
+    return build_and_write(spark, read_sources(spark, paths, fmt, order_cols), out)
 
 
 @dataclass

@@ -361,10 +361,34 @@ FROM fe"""
 
 
 # ----------------------------------------------------------------------------- text and vectors
+def _separator_chunks_sql(table: str, id_col: str, keep: str) -> str:
+    """Chunks that end at separators, of a table with a text column."""
+    from .operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, CHUNK_SLACK
+
+    step = CHUNK_SIZE - CHUNK_OVERLAP - CHUNK_SLACK
+
+    def cut(grid: str) -> str:
+        back = f"reverse(substring(text, CAST({grid} - {CHUNK_SLACK} + 1 AS BIGINT), {CHUNK_SLACK}))"
+        arms = " ".join(f"WHEN instr({back}, {sep}) > 0 THEN {grid} - instr({back}, {sep}) + 1"
+                        for sep in ("chr(10) || chr(10)", "chr(10)", "' '"))
+        return f"CASE {arms} ELSE {grid} END"
+
+    word = f"instr(substring(text, CAST(b - {CHUNK_OVERLAP} + 1 AS BIGINT), {CHUNK_OVERLAP}), ' ')"
+    piece = "trim(substring(text, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT)), ' ' || chr(9) || chr(13) || chr(10))"
+    return f"""
+SELECT {id_col}, CAST(g // {step} + 1 AS INTEGER) AS chunk_no, piece AS text{keep} FROM (
+  SELECT *, {piece} AS piece FROM (
+    SELECT *, CASE WHEN g = 0 THEN 0 ELSE b - {CHUNK_OVERLAP} + {word} END AS s FROM (
+      SELECT *, CASE WHEN g = 0 THEN 0 ELSE {cut('g')} END AS b,
+             CASE WHEN g + {step} >= length(text) THEN length(text) ELSE {cut(f'(g + {step})')} END AS e FROM (
+        SELECT *, unnest(range(0, greatest(length(text) - 1, 0) + 1, {step})) AS g FROM {table} WHERE text IS NOT NULL) x0) x1) x2) x3
+WHERE piece <> ''"""
+
+
 def _text_sql() -> dict[str, str]:
     from .operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE
     from .operators.vectors import TOKEN_SPLIT
-    from .plans.text import FEATURE_FIELDS
+    from .plans.text import FEATURE_FIELDS, SAMPLE_SEED
     feat = " || ', ' || ".join(
         f"'{label}: ' || CAST(COALESCE(r.{col}, 0.0) AS VARCHAR)" for label, col in FEATURE_FIELDS)
     step = CHUNK_SIZE - CHUNK_OVERLAP
@@ -372,12 +396,17 @@ def _text_sql() -> dict[str, str]:
     cos = (f"{e}, nn AS (SELECT * FROM (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, b.label AS key, "
            "list_cosine_similarity(a.v, b.v) AS score FROM e a, e b) d "
            "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id ASC) <= 10)")
+    review_docs = ("SELECT r.review_id, r.hotel_id, 'Hotel: ' || COALESCE(CAST(h.hotel_name AS VARCHAR), 'nan') || "
+                   "'. Review: ' || COALESCE(CAST(r.review_text AS VARCHAR), 'nan') AS text "
+                   "FROM reviews r LEFT JOIN hotels h ON r.hotel_id = h.hotel_id")
     return {
+        "doc_sample": f"SELECT review_id, hotel_id, text FROM ({review_docs}) d ORDER BY md5('{SAMPLE_SEED}:' || review_id), review_id, text LIMIT 1000",
+        "chunk_recursive": _separator_chunks_sql("documents", "doc_id", ""),
         "review_docs": "SELECT r.review_id, r.hotel_id, 'Hotel: ' || COALESCE(CAST(h.hotel_name AS VARCHAR), 'nan') || "
                        "'. Review: ' || COALESCE(CAST(r.review_text AS VARCHAR), 'nan') AS text "
                        "FROM reviews r LEFT JOIN hotels h ON r.hotel_id = h.hotel_id",
         "feature_text": "SELECT r.review_id, r.hotel_id, 'Hotel: ' || COALESCE(h.hotel_name, 'Unknown Hotel') || ' (ID: ' || "
-                        f"CAST(r.hotel_id AS VARCHAR) || '). ' || {feat} || '.' AS text "
+                        f"COALESCE(CAST(r.hotel_id AS VARCHAR), 'nan') || '). ' || {feat} || '.' AS text "
                         "FROM reviews r LEFT JOIN hotels h ON r.hotel_id = h.hotel_id",
         "chunk_fixed": f"SELECT doc_id, chunk_no, text FROM (SELECT doc_id, CAST((s - 1) // {step} + 1 AS INTEGER) AS chunk_no, "
                        f"substring(text, s, {CHUNK_SIZE}) AS text FROM (SELECT doc_id, text, "

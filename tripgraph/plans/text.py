@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.readers import path_exists
+
 # Feature sentence labels and the score columns they print, in order.
 FEATURE_FIELDS = [
     ("Cleanliness", "score_cleanliness"),
@@ -49,7 +51,7 @@ def review_docs(reviews: DataFrame, hotels: DataFrame) -> DataFrame:
 def feature_docs(reviews: DataFrame, hotels: DataFrame) -> DataFrame:
     """(review_id, hotel_id, text): one hotel-feature sentence per review."""
     parts = [F.lit("Hotel: "), F.coalesce(F.col("hotel_name"), F.lit(UNKNOWN_HOTEL)),
-             F.lit(" (ID: "), _s("hotel_id"), F.lit("). ")]
+             F.lit(" (ID: "), F.coalesce(_s("hotel_id"), F.lit(MISSING_TEXT)), F.lit("). ")]
     for i, (label, col) in enumerate(FEATURE_FIELDS):
         parts += [F.lit(f"{label}: "), _s(F.coalesce(F.col(col), F.lit(0.0)))]
         parts.append(F.lit(", " if i < len(FEATURE_FIELDS) - 1 else "."))
@@ -58,11 +60,12 @@ def feature_docs(reviews: DataFrame, hotels: DataFrame) -> DataFrame:
 
 def doc_sample(docs: DataFrame, n: int, id_col: str = "review_id", seed: int = SAMPLE_SEED) -> DataFrame:
     """Reproducible sample of ``n`` rows without replacement: the n smallest
-    seeded hashes (ties by id). Planned as a global top-k, not a sort.
-    Raises when fewer than n rows exist, as a sample of n must."""
+    md5 digests of seed and id (ties by id, then text). Planned as a global
+    top-k, not a sort. Raises when fewer than n rows exist, as a sample of n must."""
     if docs.limit(n).count() < n:
         raise ValueError(f"cannot sample {n} rows from fewer")
-    return docs.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)).limit(n)
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary"))
+    return docs.orderBy(digest, F.col(id_col), F.col("text")).limit(n)
 
 
 # ----------------------------------------------------------------------------- vector store
@@ -76,10 +79,7 @@ def write_vectors(vectors: DataFrame, path: str, model: str) -> None:
 def read_vectors(spark: SparkSession, path: str, model: str) -> DataFrame | None:
     """Open one model's vectors by its short name (the part before a space);
     None when the store or the model is absent."""
-    short = model.split(" ")[0]
-    try:
-        df = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - a missing store reads as absent
+    if not path_exists(spark, path):
         return None
-    out = df.where(F.col("model") == short)
+    out = spark.read.parquet(path).where(F.col("model") == model.split(" ")[0])
     return out if out.limit(1).count() else None

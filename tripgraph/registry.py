@@ -123,7 +123,7 @@ def queries() -> dict[str, Query]:
     q["doc_sample"] = lambda spark, d: tx.doc_sample(
         tx.review_docs(source(spark, d, "reviews"), source(spark, d, "hotels")), 1000)
     q["chunk_fixed"] = lambda spark, d: chunking.chunk_fixed(driver_table(spark, d, "documents"))
-    q["chunk_recursive"] = lambda spark, d: chunking.chunk_recursive(driver_table(spark, d, "documents"))
+    q["chunk_recursive"] = lambda spark, d: chunking.chunk_at_separators(driver_table(spark, d, "documents"))
     q["tfidf_weights"] = _tfidf_weights
     q["knn_l2"] = lambda spark, d: _knn(spark, d, 3, "l2")
     q["knn_cosine"] = lambda spark, d: _knn(spark, d, 10, "cosine")

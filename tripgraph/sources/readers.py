@@ -10,8 +10,7 @@
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,21 +31,40 @@ class MissingInputs(FileNotFoundError):
     pass
 
 
-def require_inputs(paths: list[str]) -> None:
+class BadIds(ValueError):
+    pass
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark's reader finds ``path`` on the file system it belongs to."""
+    try:
+        spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
+def require_inputs(spark: SparkSession, paths: list[str]) -> None:
     """Check every input up front and name all the missing ones in one error."""
-    missing = [p for p in paths if not _exists(p)]
+    missing = [p for p in paths if not path_exists(spark, p)]
     if missing:
         raise MissingInputs(f"Missing files: {missing}")
 
 
-def _exists(path: str) -> bool:
-    if "://" in path and not path.startswith("file://"):
-        return True  # remote stores are checked by the reader itself
-    return os.path.exists(path.removeprefix("file://"))
+def _null_tokens(c: Column) -> Column:
+    """Whole values that mean missing; padded or blank text is text."""
+    return F.when(c.isin(NA_TOKENS), F.lit(None)).otherwise(c)
 
 
-def _null_tokens(c: Column) -> Column:
-    return F.when(F.trim(c).isin(NA_TOKENS) | c.isNull(), F.lit(None)).otherwise(c)
+def _typed(c: Column, kind: T.DataType) -> Column:
+    """Cast of a CSV value; a whole number may be written with a zero fraction
+    (``10.0``), as writers of nullable integer columns do."""
+    if not isinstance(kind, (T.LongType, T.IntegerType)):
+        return c.try_cast(kind)
+    wide = c.try_cast("decimal(38,12)")
+    return F.coalesce(c.try_cast(kind), F.when(wide == F.floor(wide), wide.try_cast(kind)))
 
 
 def nan_to_null(df: DataFrame, cols) -> DataFrame:
@@ -54,27 +72,52 @@ def nan_to_null(df: DataFrame, cols) -> DataFrame:
     return df.withColumns({c: F.when(F.isnan(c), F.lit(None)).otherwise(F.col(c)) for c in present})
 
 
-def read_source(spark: SparkSession, kind: str, path: str, fmt: str = "csv") -> DataFrame:
-    """Scan one source table (hotels / users / reviews / visa) with its schema."""
+def _raw_csv(spark: SparkSession, kind: str, path: str, multi_line: bool | None) -> DataFrame:
+    renames = _CSV_HEADER_RENAMES.get(kind, {})
+    fields = schemas.SOURCES[kind].fields
+    header = [next((k for k, v in renames.items() if v == f.name), f.name) for f in fields]
+    raw = (
+        spark.read.option("header", True)
+        # A file with quoted line breaks cannot be split: only review texts hold them. Big inputs should be parquet.
+        .option("multiLine", kind == "reviews" if multi_line is None else multi_line)
+        .option("escape", '"')
+        .schema(T.StructType([T.StructField(n, T.StringType()) for n in header]))
+        .csv(path)
+    )
+    return raw.select(*[_null_tokens(F.col(f"`{h}`")).alias(f.name) for h, f in zip(header, fields)])
+
+
+def read_source(spark: SparkSession, kind: str, path: str, fmt: str = "csv", order_col: str | None = None,
+                multi_line: bool | None = None) -> DataFrame:
+    """Scan one source table (hotels / users / reviews / visa) with its schema.
+
+    ``order_col`` names the column by which the last of several rows with one
+    key wins (it may be one that the schema does not list); without it, scan
+    order decides, which is input order for a single file only. ``multi_line``
+    overrides whether quoted line breaks are looked for."""
     schema = schemas.SOURCES[kind]
     if fmt == "csv":
-        renames = _CSV_HEADER_RENAMES.get(kind, {})
-        header_names = [next((k for k, v in renames.items() if v == f.name), f.name) for f in schema.fields]
-        raw = (
-            spark.read.option("header", True)
-            .option("multiLine", True)
-            .option("escape", '"')
-            .schema(T.StructType([T.StructField(n, T.StringType()) for n in header_names]))
-            .csv(path)
-        )
-        df = raw.select(
-            *[_null_tokens(F.col(f"`{h}`")).try_cast(f.dataType).alias(f.name) for h, f in zip(header_names, schema.fields)]
-        )
+        if order_col and order_col not in schema.fieldNames():
+            raise ValueError(f"{order_col} is not a column of {kind}; other order columns need parquet")
+        df = _raw_csv(spark, kind, path, multi_line).select(*[_typed(F.col(f.name), f.dataType).alias(f.name) for f in schema.fields])
     else:
         df = spark.read.parquet(path)
-        df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields if f.name in df.columns])
+        order = [F.col(order_col).alias("_ord")] if order_col and order_col not in schema.fieldNames() else []
+        df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields if f.name in df.columns], *order)
     df = nan_to_null(df, [f.name for f in schema.fields if isinstance(f.dataType, T.DoubleType)])
-    return with_order(df)
+    return with_order(df, order_col)
+
+
+def rejected_ids(spark: SparkSession, kind: str, path: str, multi_line: bool | None = None) -> DataFrame:
+    """The raw CSV rows with a written id that is no whole number: ``read_source``
+    reads that id as missing, and the graph build leaves such rows out."""
+    raw = _raw_csv(spark, kind, path, multi_line)
+    bad = [F.col(f.name).isNotNull() & _typed(F.col(f.name), f.dataType).isNull()
+           for f in schemas.SOURCES[kind].fields if f.name.endswith("_id") and isinstance(f.dataType, T.LongType)]
+    cond = F.lit(False)
+    for b in bad:
+        cond = cond | b
+    return raw.where(cond)
 
 
 def with_order(df: DataFrame, order_col: str | None = None) -> DataFrame:
@@ -84,6 +127,13 @@ def with_order(df: DataFrame, order_col: str | None = None) -> DataFrame:
     return df.withColumn("_ord", F.col(order_col) if order_col else F.monotonically_increasing_id())
 
 
-def read_sources(spark: SparkSession, paths: dict[str, str], fmt: str = "csv") -> dict[str, DataFrame]:
-    require_inputs(list(paths.values()))
-    return {k: read_source(spark, k, p, fmt) for k, p in paths.items()}
+def read_sources(spark: SparkSession, paths: dict[str, str], fmt: str = "csv", order_cols: dict[str, str] | None = None,
+                 refuse_bad_ids: bool = True) -> dict[str, DataFrame]:
+    """All sources. CSV rows whose id is no whole number are an error, so that
+    none is lost unseen, unless ``refuse_bad_ids`` is off."""
+    require_inputs(spark, list(paths.values()))
+    if fmt == "csv" and refuse_bad_ids:
+        bad = {k: [r.asDict() for r in rejected_ids(spark, k, p).limit(3).collect()] for k, p in paths.items()}
+        if any(bad.values()):
+            raise BadIds(f"ids that are no whole numbers: { {k: v for k, v in bad.items() if v} }")
+    return {k: read_source(spark, k, p, fmt, (order_cols or {}).get(k)) for k, p in paths.items()}
