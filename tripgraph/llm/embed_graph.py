@@ -230,8 +230,9 @@ def _joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _search(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Columns: shard, block, kind (0 member, 1 query), node, vec, copies,
-        shards, near. Gives (node, links) and (node, other) rows."""
+        """Columns: shard, block, kind (0 member, 1 query from another block),
+        node, vec, copies, shards, near. Members are queries as well. Gives
+        (node, links) and (node, other) rows."""
         key, graph, members = None, None, []
 
         def ready() -> tuple:
@@ -260,16 +261,27 @@ def _search(least: float):
                 [pa.array(np.concatenate([ids, a]), pa.int64()), pa.array(np.concatenate([counts, np.zeros(len(a), np.int64)]), pa.int64()),
                  pa.array([None] * len(ids) + b.tolist(), pa.int64())], ["node", "links", "other"])
 
+        def answers(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                for a in range(0, part.num_rows, QUERIES):
+                    yield answer(part.slice(a, QUERIES))
+
         for k, part in _groups(batches, 3):
             if k[:2] != key:
+                if members and graph is None:
+                    graph = ready()
+                    yield from answers(members)
                 key, graph, members = k[:2], None, []
             if k[2] == 0:
                 members.append(part)
                 continue
             if graph is None:
                 graph = ready()
-            for a in range(0, part.num_rows, QUERIES):
-                yield answer(part.slice(a, QUERIES))
+                yield from answers(members)
+            yield from answers([part])
+        if members and graph is None:
+            graph = ready()
+            yield from answers(members)
 
     return run
 
@@ -290,8 +302,10 @@ def _links(nodes: DataFrame, least: float, overlap: int) -> DataFrame:
         _build, "node bigint, near array<bigint>")
     flat = written(built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "vector_graph")
     members = each.join(flat, "node").select("shard", "block", F.lit(0).alias("kind"), "node", "vec", "copies", "shards", "near")
-    queries = each.select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"),
-                          "node", "vec", "copies", "shards", F.lit(None).cast("array<bigint>").alias("near"))
+    queries = each.where("blocks > 1").select(
+        "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), F.lit(1).alias("kind"),
+        "node", "vec", "copies", "shards", F.lit(None).cast("array<bigint>").alias("near"), "block")
+    queries = queries.where("other <> block").drop("block").withColumnRenamed("other", "block").select(*members.columns)
     return members.unionByName(queries).repartition("shard", "block").sortWithinPartitions("shard", "block", "kind").mapInArrow(
         _search(least), "node bigint, links bigint, other bigint")
 
