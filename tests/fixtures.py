@@ -79,3 +79,9 @@ def _small_sources(spark):
         ("Italy", "Spain", "True", "Tourist Visa"),
     ])
     return h, u, r, v
+
+
+def small_sources(spark):
+    """(reviews, hotels) of the small graph."""
+    h, _, r, _ = _small_sources(spark)
+    return r, h

@@ -1,33 +1,62 @@
 """Text neighbours of the question pipeline vs brute force at sf0.001."""
 
-import numpy as np
-
 from tripgraph.plans import context as cx
 from tripgraph.plans.catalog import questions, source
+from tripgraph.plans.text import FEATURE_FIELDS, read_vectors
 
 SMOKE = "/root/testdata/sf0.001"
 
 
-def test_text_neighbours_match_brute_force(spark):
-    idx = cx.build_text_index(spark, source(spark, SMOKE, "reviews"), source(spark, SMOKE, "hotels"))
+def answers(spark, parts):
+    reviews = source(spark, SMOKE, "reviews").repartition(parts)
+    idx = cx.build_text_index(spark, reviews, source(spark, SMOKE, "hotels"))
     q = questions(spark, SMOKE)
-    got = {}
-    for r in cx.text_neighbours(idx, q, k=3).collect():
-        got.setdefault(r["question_id"], []).append((r["pos"], r["text"]))
+    return idx, [{(r["question_id"], r["pos"]): r["text"] for r in f(idx, q).collect()} for f in (cx.text_neighbours, cx.feature_neighbours)]
+
 
+def test_neighbours_do_not_depend_on_the_files_layout(spark):
+    assert answers(spark, 1)[1] == answers(spark, 7)[1]
+
+
+def test_text_neighbours_match_brute_force(spark):
+    idx, (got, _) = answers(spark, 2)
     docs = {r["id"]: dict(zip(r["tokens"], r["weights"])) for r in idx.text_rows.collect()}
     text_of = {r["id"]: r["text"] for r in idx.text_docs.collect()}
-    qenc = cx._encode_questions(q, idx.text_idf)
-    qvec = {r["id"]: dict(zip(r["tokens"], r["weights"])) for r in qenc.collect()}
-    ids = sorted(text_of)
-    for qid, vec in qvec.items():
-        scores = {i: sum(w * docs.get(i, {}).get(t, 0.0) for t, w in vec.items()) for i in ids}
-        best = sorted(scores.values(), reverse=True)[:3]
-        score_of_text = {text_of[i]: s for i, s in scores.items()}   # equal texts have equal scores
-        got_texts = [t for _, t in sorted(got[qid])]
-        # the returned documents carry the three best scores (ties may pick either document)
-        assert [round(score_of_text[t], 9) for t in got_texts] == [round(x, 9) for x in best]
-    assert set(got) == {r["question_id"] for r in q.collect()}
+    q = questions(spark, SMOKE)
+    vectors = {r["id"]: dict(zip(r["tokens"], r["weights"])) for r in cx._encode_questions(q, idx.text_idf).collect()}
+    for qid, vec in vectors.items():
+        score = {i: round(sum(w * docs.get(i, {}).get(t, 0.0) for t, w in vec.items()), 6) for i in text_of}
+        best = sorted(score, key=lambda i: (-score[i], i))[:3]
+        assert [got[qid, p] for p in (1, 2, 3)] == [text_of[i] for i in best]
+
+
+def test_long_reviews_are_cut_at_words_and_found(spark):
+    hotels = spark.createDataFrame([(1, "Alpha")], "hotel_id bigint, hotel_name string")
+    long = " ".join(f"word{k}" for k in range(400))
+    reviews = spark.createDataFrame([("r1", 1, long), ("r2", 1, "short one"), ("r2", 1, "short one")], "review_id string, hotel_id bigint, review_text string").selectExpr(
+        "*", *[f"CAST(9 AS DOUBLE) AS {c}" for _, c in FEATURE_FIELDS])
+    idx = cx.build_text_index(spark, reviews, hotels)
+    chunks = [r["text"] for r in idx.text_docs.where("review_id = 'r1'").orderBy("chunk_no").collect()]
+    assert len(chunks) > 5 and all(len(c) <= 500 and set(c.split()) <= set(("Hotel: Alpha. Review: " + long).split()) for c in chunks)
+    q = spark.createDataFrame([(1, "word333"), (2, "short")], "question_id bigint, user_query string")
+    got = {(r["question_id"], r["pos"]): r["text"] for r in cx.text_neighbours(idx, q).collect()}
+    assert "word333" in got[1, 1] and got[2, 1] == "Hotel: Alpha. Review: short one" and len(got) == 6
+
+
+def test_stored_models_answer_by_short_name(spark, tmp_path):
+    import pytest
+
+    idx, _ = answers(spark, 1)
+    store, q = str(tmp_path / "store"), questions(spark, SMOKE).limit(5)
+    for model in ("Hash64", "Hash256"):
+        cx.write_document_vectors(idx, store, model)
+    plan = read_vectors(spark, store, "Hash64 (small)")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(model" in plan
+    a, b = (cx.store_neighbours(store, q, m).collect() for m in ("Hash64 (small)", "Hash256"))
+    assert len({r["question_id"] for r in a}) == len({r["question_id"] for r in b}) == 5
+    assert sorted(map(tuple, a)) != sorted(map(tuple, b))
+    with pytest.raises(KeyError):
+        cx.store_neighbours(store, q, "MiniLM")
 
 
 def test_vector_only_mode_has_only_vector_sections(spark):

@@ -25,8 +25,8 @@ def test_knn_dense_matches_brute_force(spark):
     queries = spark.createDataFrame([(i, q[i].tolist()) for i in range(len(q))], "id bigint, vec array<double>")
     for metric in ("l2", "cosine"):
         want = brute(q, d, 4, metric)
-        # small blocks force several broadcast query blocks
-        got = knn_dense(queries, corpus, 4, metric, block_rows=10).collect()
+        # small blocks force several block pairs
+        got = knn_dense(queries, corpus, 4, metric, query_rows=10, corpus_rows=64).collect()
         res = {}
         for r in got:
             res.setdefault(r["query_id"], []).append((r["pos"], r["neighbor_id"]))

@@ -13,11 +13,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators.graph import Graph, build_and_write
+from .functions.text import written
+from .operators.graph import Graph, build_and_write, writing_stage
 from .plans import context as cx
 from .plans.context import TextIndex, build_text_index
 from .plans.questions import understand
 from .plans.retrieval import RetrievalIndex, retrieval_index
+from .session import scratch_path
 from .sources.readers import read_sources
 
 
@@ -45,27 +47,16 @@ def answer_questions(spark: SparkSession, g: Graph, questions: DataFrame, mode:
                      reviews: DataFrame | None = None, hotels: DataFrame | None = None) -> Answers:
     """Answer a table of (question_id, user_query) in one batch.
 
-    Vector modes need a text index: pass one, or the review and hotel source
-    tables to build it."""
-    u = understand(g, questions)
-    idx = index or retrieval_index(g)
-    heads, lines = [], []
-    if mode in cx.GRAPH_MODES:
-        h, l_ = cx.graph_lines(g, u, idx)
-        heads.append(h)
-        lines.append(l_)
-    if mode in cx.VECTOR_MODES:
-        if text_index is None:
-            if reviews is None or hotels is None:
-                raise ValueError("vector modes need text_index, or reviews and hotels to build one")
-            text_index = build_text_index(spark, reviews, hotels)
-        h, l_ = cx.vector_lines(text_index, questions)
-        heads.append(h)
-        lines.append(l_)
-    hh, ll = heads[0], lines[0]
-    for h, l_ in zip(heads[1:], lines[1:]):
-        hh, ll = hh.unionByName(h), ll.unionByName(l_)
-    secs = cx.sections(hh, ll)
+    What several sections read is written first: the understood questions, and
+    the retrieval index unless one is passed. Vector modes need a text index:
+    pass one, or the review and hotel source tables to build it."""
+    u = written(understand(g, questions), "understood")
+    idx = index or retrieval_index(g, writing_stage(spark, scratch_path(spark, "retrieval")))
+    if mode in cx.VECTOR_MODES and text_index is None:
+        if reviews is None or hotels is None:
+            raise ValueError("vector modes need text_index, or reviews and hotels to build one")
+        text_index = build_text_index(spark, reviews, hotels)
+    secs = cx.sections(*cx.lines(g, u, questions, idx, text_index, mode))
     ctx = cx.full_context(questions, secs)
     return Answers(
         understood=u, sections=secs, context=ctx, prompts=cx.prompts(u, ctx, mode),

@@ -5,19 +5,22 @@ Encoder (the registered default; dense encoders plug in as any
 tokens, smooth idf ``ln((N+1)/(df+1)) + 1``, rows L2-normalised. Built from
 split / explode / groupBy / join only.
 
-kNN: the query table is cut into hash blocks of at most ``block_rows`` rows.
-Each block is broadcast (its size is checked) and the corpus is scanned once
-per block by ``mapInPandas``: every partition keeps an exact per-query top-k
-(ties: smaller id first) and emits only k rows per query, never all pairs.
-A final ``row_number() <= k`` per query merges the partitions.
+kNN: queries and corpus are dealt into blocks of bounded size by a hash of
+their row number, and every query block meets every corpus block in one task
+of ``mapInArrow``. A task returns its block's exact top-k per query (ties:
+smaller id first), never all pairs; ``row_number() <= k`` merges the blocks.
+Neither table passes through the driver, and no block grows with the data or
+with repeats of an id.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,10 +29,8 @@ from .patterns import top_k_per
 # Token pattern (runs of letters or digits).
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
-DEFAULT_BLOCK_ROWS = 4096
-_ROWS_PER_BATCH = 2048
-
-KNN_SCHEMA = "query_id bigint, neighbor_id bigint, score double"
+# Rows of a query block and of a corpus block; scores of so many corpus rows are held at once.
+QUERY_ROWS, CORPUS_ROWS, SCORE_ROWS = 1024, 8192, 1024
 
 
 # ----------------------------------------------------------------------------- TF-IDF
@@ -106,167 +107,157 @@ def tfidf_rows(df: DataFrame, id_col: str, text_col: str, idf: DataFrame, idf_ma
 
 
 # ----------------------------------------------------------------------------- top-k kernels
-def _select_top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Exact per-row top-k of ``scores`` (rows = queries); ties -> smaller id.
-    Returns (scores, ids) of shape (rows, min(k, cols)), best first."""
-    kk = min(k, scores.shape[1])
-    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=-1)[:, :kk]
-    return np.take_along_axis(scores, order, axis=1), ids[order]
-
-
-def _scan(corpus_batches, q_ids: np.ndarray, score_fn, k: int):
-    best_s = np.empty((len(q_ids), 0))
-    best_i = np.empty((len(q_ids), 0), dtype=np.int64)
-    for pdf in corpus_batches:
-        if len(pdf) == 0:
-            continue
-        ids = pdf["id"].to_numpy(dtype=np.int64)
-        s = score_fn(pdf)
-        # Keep the batch's top-k per query, then merge with the running top-k.
-        s, i = _select_top(s, ids, k)
-        all_s = np.concatenate([best_s, s], axis=1)
-        all_i = np.concatenate([best_i, i], axis=1)
-        order = np.lexsort((all_i, -all_s), axis=-1)[:, :k]
-        best_s = np.take_along_axis(all_s, order, axis=1)
-        best_i = np.take_along_axis(all_i, order, axis=1)
-    if best_s.shape[1] == 0:
-        return pd.DataFrame({"query_id": [], "neighbor_id": [], "score": []}).astype(
-            {"query_id": "int64", "neighbor_id": "int64", "score": "float64"})
-    kk = best_s.shape[1]
-    return pd.DataFrame({
-        "query_id": np.repeat(q_ids, kk),
-        "neighbor_id": best_i.reshape(-1),
-        "score": best_s.reshape(-1),
-    })
-
-
-def _dense_scorer(q_mat: np.ndarray, metric: str):
-    if metric == "cosine":
-        qn = q_mat / np.maximum(np.linalg.norm(q_mat, axis=1, keepdims=True), 1e-300)
-
-    def score(pdf: pd.DataFrame) -> np.ndarray:
-        d = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+def _select_top(row: np.ndarray, code: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best candidates of each row (best score, then smallest code)."""
+    order = np.lexsort((code, -score, row))
+    rank = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+    return order[rank < k]
+
+
+def _top(scores: Iterator[tuple[int, np.ndarray]], codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, corpus row, score) of each query's k best over score matrices
+    (queries x corpus rows from a first one on)."""
+    rows, cols, values = [], [], []
+    for first, s in scores:
+        kk = min(k, s.shape[1])
+        least = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
+        r, c = np.nonzero(s >= least[:, None])
+        best = _select_top(r, codes[first + c], s[r, c], k)
+        rows.append(r[best])
+        cols.append(first + c[best])
+        values.append(s[r[best], c[best]])
+    row, col, value = (np.concatenate(x) for x in (rows, cols, values))
+    best = _select_top(row, codes[col], value, k)
+    return row[best], col[best], value[best]
+
+
+def _dense_scores(metric: str, queries: list[pa.RecordBatch], corpus: list[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    def matrix(parts: list[pa.RecordBatch]) -> np.ndarray:
+        x = np.array([v for p in parts for v in p.column(5).to_pylist()], dtype=np.float64)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if metric == "cosine" else x
+
+    q, d = matrix(queries), matrix(corpus)
+    step = max(1, min(SCORE_ROWS, 8_000_000 // max(1, q.shape[0] * q.shape[1]) if metric == "l2" else SCORE_ROWS))
+    for a in range(0, len(d), step):
+        part = d[a : a + step]
         if metric == "cosine":
-            dn = d / np.maximum(np.linalg.norm(d, axis=1, keepdims=True), 1e-300)
-            return qn @ dn.T
-        # Exact squared L2 by differences (no cancellation), in query chunks.
-        out = np.empty((q_mat.shape[0], d.shape[0]))
-        step = max(1, 4_000_000 // max(1, d.shape[0] * d.shape[1]))
-        for a in range(0, q_mat.shape[0], step):
-            diff = q_mat[a:a + step, None, :] - d[None, :, :]
-            out[a:a + step] = -np.sqrt(np.einsum("qnd,qnd->qn", diff, diff))
-        return out
-
-    return score
-
-
-def _sparse_scorer(vocab: dict, q_mat: np.ndarray):
-    """q_mat: (len(vocab), n_queries) weights; corpus rows are (tokens, weights).
-    Scores a batch as a dense (docs x hit-terms) @ (hit-terms x queries) product
-    over only the query terms that occur in the batch."""
-
-    def score(pdf: pd.DataFrame) -> np.ndarray:
-        n_q, n_d = q_mat.shape[1], len(pdf)
-        lens = pdf["tokens"].map(len).to_numpy()
-        if n_d == 0 or lens.sum() == 0 or not vocab:
-            return np.zeros((n_q, n_d))
-        flat_t = pd.Series(np.concatenate([np.asarray(t, dtype=object) for t in pdf["tokens"]]))
-        flat_w = np.concatenate([np.asarray(w, dtype=np.float64) for w in pdf["weights"]])
-        rows = np.repeat(np.arange(n_d), lens)
-        idx = flat_t.map(vocab).to_numpy(dtype=np.float64, na_value=np.nan)
-        hit = ~np.isnan(idx)
-        if not hit.any():
-            return np.zeros((n_q, n_d))
-        terms, inv = np.unique(idx[hit].astype(np.int64), return_inverse=True)
-        d = np.zeros((n_d, len(terms)))
-        np.add.at(d, (rows[hit], inv), flat_w[hit])
-        return (d @ q_mat[terms]).T
-
-    return score
-
-
-def _query_blocks(queries: DataFrame, cols: list[str], block_rows: int):
-    """The query table as collected hash blocks of at most about ``block_rows``
-    rows, one block at a time. A table that fits one block is collected in one
-    pass (no separate count); a larger one is counted and cut by a hash of id."""
-    first = queries.select(*cols).limit(block_rows + 1).collect()
-    if len(first) <= block_rows:
-        yield first
-        return
-    n_blocks = max(1, math.ceil(queries.count() / block_rows))
-    for b in range(n_blocks):
-        rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).select(*cols).collect()
-        if len(rows) > 2 * block_rows:
-            raise RuntimeError(f"query block {b} holds {len(rows)} rows; raise the block count")
-        yield rows
-
-
-def knn_dense(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2",
-              block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """Exact kNN. ``queries`` and ``corpus``: (id BIGINT, vec ARRAY<FLOAT|DOUBLE>).
+            yield a, q @ part.T
+        else:  # by differences: no cancellation
+            diff = q[:, None, :] - part[None, :, :]
+            yield a, -np.sqrt(np.einsum("qnd,qnd->qn", diff, diff))
+
+
+def _postings(parts: list[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(token, row, weight) of each entry of sparse rows."""
+    tokens = pa.chunked_array([p.column(5).flatten() for p in parts], pa.string())
+    weights = np.concatenate([p.column(6).flatten().to_numpy(zero_copy_only=False) for p in parts])
+    sizes = np.concatenate([p.column(5).value_lengths().fill_null(0).to_numpy() for p in parts])
+    return tokens, np.repeat(np.arange(len(sizes)), sizes), weights
+
+
+def _sparse_scores(queries: list[pa.RecordBatch], corpus: list[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """Products summed token by token, in the tokens' order, over the tokens
+    that both blocks have; rounded, so that no sum's last digits decide a rank."""
+    qt, qr, qw = _postings(queries)
+    n_queries, n_docs = sum(p.num_rows for p in queries), sum(p.num_rows for p in corpus)
+    vocabulary = pc.unique(qt)
+    vocabulary = vocabulary.take(pc.sort_indices(vocabulary)) if len(vocabulary) else pa.array([], pa.string())
+    dt, dr, dw = _postings(corpus)
+    own = pc.index_in(qt, vocabulary).to_numpy()
+    hit = pc.index_in(dt, vocabulary).to_numpy(zero_copy_only=False).astype(np.float64)
+    known = ~np.isnan(hit)
+    hit, dr, dw = hit[known].astype(np.int64), dr[known], dw[known]
+    q_order = np.argsort(own, kind="stable")
+    q_cut = np.searchsorted(own[q_order], np.arange(len(vocabulary) + 1))
+    for a in range(0, n_docs, SCORE_ROWS):
+        n = min(SCORE_ROWS, n_docs - a)
+        s = np.zeros((n_queries, n))
+        here = np.flatnonzero((dr >= a) & (dr < a + n))
+        here = here[np.argsort(hit[here], kind="stable")]
+        for part in np.split(here, np.flatnonzero(np.diff(hit[here])) + 1) if len(here) else []:
+            t = hit[part[0]]
+            q = q_order[q_cut[t] : q_cut[t + 1]]
+            s[np.ix_(qr[q], dr[part] - a)] += np.outer(qw[q], dw[part])
+        yield a, np.round(s, 6)
+
+
+def _block_pairs(queries: DataFrame, corpus: DataFrame, cols: list[str], query_rows: int, corpus_rows: int) -> DataFrame:
+    """(qb, cb, kind, row, id, cols...): both tables dealt to block pairs, the
+    queries (kind 0) first. Both are written first: their row numbers must not
+    change when a lost task is run again."""
+    from ..functions.text import written
+
+    sides = []
+    for df, name in ((queries, "knn_queries"), (corpus, "knn_corpus")):
+        sides.append(written(df.select("id", *cols).withColumn("row", F.monotonically_increasing_id()), name))
+    nq, nc = (max(1, math.ceil(df.count() / most)) for df, most in zip(sides, (query_rows, corpus_rows)))
+
+    def dealt(df: DataFrame, kind: int) -> DataFrame:
+        own, other = (nq, nc) if kind == 0 else (nc, nq)
+        block = F.pmod(F.xxhash64("row"), F.lit(own)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
+        q, c = (block, every) if kind == 0 else (every, block)
+        return df.select(q.alias("qb"), c.alias("cb"), F.lit(kind).alias("kind"), "row", F.col("id").alias("id"), *cols)
+
+    q, c = dealt(sides[0], 0), dealt(sides[1], 1)
+    # The two ids may differ in type; each side uses its own column.
+    both = q.withColumnRenamed("id", "query_id").unionByName(c.withColumnRenamed("id", "neighbor_id"), allowMissingColumns=True)
+    return both.select("qb", "cb", "kind", "row", F.struct("query_id", "neighbor_id").alias("ids"), *cols).repartition("qb", "cb").sortWithinPartitions("qb", "cb", "kind")
+
+
+def _knn(queries: DataFrame, corpus: DataFrame, k: int, cols: list[str], scores: Callable, query_rows: int, corpus_rows: int) -> DataFrame:
+    pairs = _block_pairs(queries, corpus, cols, query_rows, corpus_rows)
+    kinds = dict(queries.dtypes)["id"], dict(corpus.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides = None, ([], [])
+
+        def done() -> pa.RecordBatch:
+            def ids(parts: list[pa.RecordBatch], at: int) -> pa.Array:
+                return pa.concat_arrays([p.column(4).field(at) for p in parts])
+
+            own, other = ids(sides[0], 0), ids(sides[1], 1)
+            _, codes = np.unique(other.to_numpy(zero_copy_only=False), return_inverse=True)
+            row, col, value = _top(scores(*sides), codes, k)
+            rows = pa.concat_arrays([p.column(3) for p in sides[0]])
+            return pa.RecordBatch.from_arrays([rows.take(pa.array(row)), own.take(pa.array(row)), other.take(pa.array(col)), pa.array(value)],
+                                              ["query_row", "query_id", "neighbor_id", "score"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = np.stack([b.column(i).to_numpy() for i in range(3)])
+            cut = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+            for a, z in zip(cut, cut[1:]):
+                if (at[0, a], at[1, a]) != key:
+                    if sides[0] and sides[1]:
+                        yield done()
+                    key, sides = (at[0, a], at[1, a]), ([], [])
+                sides[at[2, a]].append(b.slice(a, z - a))
+        if sides[0] and sides[1]:
+            yield done()
+
+    out = pairs.mapInArrow(run, f"query_row bigint, query_id {kinds[0]}, neighbor_id {kinds[1]}, score double")
+    ranked = top_k_per(out, ["query_row"], [F.desc("score"), F.asc("neighbor_id")], k, "pos")
+    return ranked.select("query_id", "pos", "neighbor_id", "score")
+
+
+def knn_dense(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2", query_rows: int = QUERY_ROWS,
+              corpus_rows: int = CORPUS_ROWS) -> DataFrame:
+    """Exact kNN. ``queries`` and ``corpus``: (id, vec ARRAY<FLOAT|DOUBLE>) of one length.
 
     Returns (query_id, pos, neighbor_id, score): score is the cosine similarity,
-    or the L2 distance for ``l2``; ``pos`` 1..k, best first, ties by smaller id."""
-    spark = queries.sparkSession
-    parts = []
-    for rows in _query_blocks(queries, ["id", "vec"], block_rows):  # one checked block at a time
-        if not rows:
-            continue
-        q_ids = np.array([r[0] for r in rows], dtype=np.int64)
-        q_mat = np.array([r[1] for r in rows], dtype=np.float64)
-        bc = spark.sparkContext.broadcast((q_ids, q_mat))
-
-        def scan(it, _bc=bc):
-            ids, mat = _bc.value
-            yield _scan(_batches(it), ids, _dense_scorer(mat, metric), k)
-
-        parts.append(corpus.select("id", "vec").mapInPandas(scan, KNN_SCHEMA))
-    return _finish(parts, k, spark, negate=(metric == "l2"))
-
-
-def knn_sparse(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """Exact kNN on sparse unit vectors (dot product = cosine).
-    ``queries`` / ``corpus``: (id, tokens ARRAY<STRING>, weights ARRAY<DOUBLE>)."""
-    spark = queries.sparkSession
-    parts = []
-    for rows in _query_blocks(queries, ["id", "tokens", "weights"], block_rows):
-        if not rows:
-            continue
-        vocab: dict[str, int] = {}
-        for r in rows:
-            for t in r[1]:
-                vocab.setdefault(t, len(vocab))
-        q_mat = np.zeros((len(vocab), len(rows)))
-        for j, r in enumerate(rows):
-            for t, w in zip(r[1], r[2]):
-                q_mat[vocab[t], j] += w
-        q_ids = np.array([r[0] for r in rows], dtype=np.int64)
-        bc = spark.sparkContext.broadcast((q_ids, vocab, q_mat))
-
-        def scan(it, _bc=bc):
-            ids, voc, mat = _bc.value
-            yield _scan(_batches(it), ids, _sparse_scorer(voc, mat), k)
-
-        parts.append(corpus.select("id", "tokens", "weights").mapInPandas(scan, KNN_SCHEMA))
-    return _finish(parts, k, spark, negate=False)
-
-
-def _batches(it):
-    for pdf in it:
-        pdf = pdf.sort_values("id", kind="stable")
-        for a in range(0, len(pdf), _ROWS_PER_BATCH):
-            yield pdf.iloc[a:a + _ROWS_PER_BATCH]
-
-
-def _finish(parts: list[DataFrame], k: int, spark, negate: bool) -> DataFrame:
-    if not parts:
-        return spark.createDataFrame([], "query_id bigint, pos int, neighbor_id bigint, score double")
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    ranked = top_k_per(allp, ["query_id"], [F.desc("score"), F.asc("neighbor_id")], k, "pos")
-    score = -F.col("score") if negate else F.col("score")
-    return ranked.select("query_id", "pos", "neighbor_id", score.alias("score"))
+    or the L2 distance for ``l2``; ``pos`` 1..k, best first, ties by smaller id.
+    Rows that repeat a query id are answered each."""
+    out = _knn(queries, corpus, k, ["vec"], lambda q, c: _dense_scores(metric, q, c), query_rows, corpus_rows)
+    return out.withColumn("score", -F.col("score")) if metric == "l2" else out
+
+
+def knn_sparse(queries: DataFrame, corpus: DataFrame, k: int, query_rows: int = QUERY_ROWS, corpus_rows: int = CORPUS_ROWS) -> DataFrame:
+    """Exact kNN on sparse unit vectors (dot product = cosine, ranked after
+    rounding to six places). ``queries`` / ``corpus``: (id, tokens
+    ARRAY<STRING>, weights ARRAY<DOUBLE>)."""
+    return _knn(queries, corpus, k, ["tokens", "weights"], _sparse_scores, query_rows, corpus_rows)
 
 
 def dedup_by_key(knn: DataFrame, keys: DataFrame, key_col: str = "key") -> DataFrame:

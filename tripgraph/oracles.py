@@ -385,29 +385,85 @@ SELECT {id_col}, CAST(g // {step} + 1 AS INTEGER) AS chunk_no, piece AS text{kee
 WHERE piece <> ''"""
 
 
+def _documents_sql() -> tuple[str, str]:
+    """Review documents and feature documents."""
+    from .plans.text import FEATURE_FIELDS
+
+    feat = " || ', ' || ".join(
+        f"'{label}: ' || CAST(COALESCE(r.{col}, 0.0) AS VARCHAR)" for label, col in FEATURE_FIELDS)
+    review_docs = ("SELECT r.review_id, r.hotel_id, 'Hotel: ' || COALESCE(CAST(h.hotel_name AS VARCHAR), 'nan') || "
+                   "'. Review: ' || COALESCE(CAST(r.review_text AS VARCHAR), 'nan') AS text "
+                   "FROM reviews r LEFT JOIN hotels h ON r.hotel_id = h.hotel_id")
+    feature_docs = ("SELECT r.review_id, r.hotel_id, 'Hotel: ' || COALESCE(h.hotel_name, 'Unknown Hotel') || ' (ID: ' || "
+                    f"COALESCE(CAST(r.hotel_id AS VARCHAR), 'nan') || '). ' || {feat} || '.' AS text "
+                    "FROM reviews r LEFT JOIN hotels h ON r.hotel_id = h.hotel_id")
+    return review_docs, feature_docs
+
+
+def _neighbours_sql(review_docs: str, feature_docs: str) -> str:
+    """CTEs text_lines and feature_lines (question_id, pos, text). Only documents
+    that share a token, and the k first by key (all others score 0 as they do),
+    can be among the k best."""
+    from .operators.vectors import TOKEN_SPLIT
+    from .plans.context import FEATURE_K, TEXT_K
+
+    def search(name: str, docs: str, k: int) -> str:
+        chunks = _separator_chunks_sql(f"({docs}) src", "review_id", ", hotel_id")
+        def split(text: str) -> str:
+            return f"unnest(regexp_split_to_array(lower({text}), '{TOKEN_SPLIT}')) AS token"
+
+        return f"""
+{name}_docs AS (SELECT *, COALESCE(review_id, '') || '#' || lpad(CAST(chunk_no AS VARCHAR), 6, '0') || '#' || substring(md5(text), 1, 8) AS id
+  FROM ({chunks}) c),
+{name}_df AS (SELECT token, count(*) AS df FROM (SELECT DISTINCT rid, token FROM (
+  SELECT rid, {split('text')} FROM (SELECT row_number() OVER () AS rid, text FROM {name}_docs) z) y) x WHERE token <> '' GROUP BY token),
+{name}_idf AS (SELECT token, ln(((SELECT count(*) FROM {name}_docs) + 1) / (df + 1)) + 1 AS idf FROM {name}_df),
+{name}_one AS (SELECT id, any_value(text) AS text, any_value(CAST(hotel_id AS VARCHAR)) AS key FROM {name}_docs GROUP BY id),
+{name}_dw AS (SELECT id, token, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM (
+  SELECT t.id, t.token, count(*) * any_value(idf) AS w FROM (SELECT id, {split('text')} FROM {name}_one) t
+  JOIN {name}_idf i ON t.token = i.token GROUP BY t.id, t.token) x),
+{name}_qw AS (SELECT q, token, w / sqrt(sum(w * w) OVER (PARTITION BY q)) AS w FROM (
+  SELECT t.q, t.token, count(*) * any_value(idf) AS w FROM (SELECT q, {split('q')} FROM qtexts) t
+  JOIN {name}_idf i ON t.token = i.token GROUP BY t.q, t.token) x),
+{name}_hits AS (SELECT q, id, round(sum(a.w * b.w), 6) AS score FROM {name}_qw a JOIN {name}_dw b ON a.token = b.token GROUP BY q, id),
+{name}_cand AS (SELECT * FROM {name}_hits UNION ALL
+  SELECT q, id, 0.0 FROM qtexts, (SELECT id FROM {name}_one ORDER BY id LIMIT {k}) f
+  WHERE (q, id) NOT IN (SELECT (q, id) FROM {name}_hits)),
+{name}_nn AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS p FROM {name}_cand QUALIFY p <= {k}),"""
+
+    return f"""
+WITH qtexts AS (SELECT DISTINCT COALESCE(user_query, '') AS q FROM questions),
+{search('text', review_docs, TEXT_K)}
+{search('feature', feature_docs, FEATURE_K)}
+text_lines AS (SELECT question_id, CAST(p AS INTEGER) AS pos, d.text FROM questions u JOIN text_nn n ON COALESCE(u.user_query, '') = n.q
+  JOIN text_one d ON n.id = d.id),
+feature_kept AS (SELECT n.*, d.text, d.key FROM feature_nn n JOIN feature_one d ON n.id = d.id
+  QUALIFY d.key IS NULL OR row_number() OVER (PARTITION BY q, d.key ORDER BY p) = 1),
+feature_lines AS (SELECT question_id, pos, text FROM questions u JOIN (
+  SELECT q, text, CAST(row_number() OVER (PARTITION BY q ORDER BY p) AS INTEGER) AS pos FROM feature_kept) n ON COALESCE(u.user_query, '') = n.q)
+"""
+
+
 def _text_sql() -> dict[str, str]:
     from .operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE
     from .operators.vectors import TOKEN_SPLIT
-    from .plans.text import FEATURE_FIELDS, SAMPLE_SEED
-    feat = " || ', ' || ".join(
-        f"'{label}: ' || CAST(COALESCE(r.{col}, 0.0) AS VARCHAR)" for label, col in FEATURE_FIELDS)
+    from .plans.text import SAMPLE_SEED
     step = CHUNK_SIZE - CHUNK_OVERLAP
     e = "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
     cos = (f"{e}, nn AS (SELECT * FROM (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, b.label AS key, "
            "list_cosine_similarity(a.v, b.v) AS score FROM e a, e b) d "
            "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id ASC) <= 10)")
-    review_docs = ("SELECT r.review_id, r.hotel_id, 'Hotel: ' || COALESCE(CAST(h.hotel_name AS VARCHAR), 'nan') || "
-                   "'. Review: ' || COALESCE(CAST(r.review_text AS VARCHAR), 'nan') AS text "
-                   "FROM reviews r LEFT JOIN hotels h ON r.hotel_id = h.hotel_id")
+    review_docs, feature_docs = _documents_sql()
+    vec = _neighbours_sql(review_docs, feature_docs)
     return {
+        "text_topk": f"{vec} SELECT question_id, pos, text FROM text_lines",
+        "feature_topk": f"{vec} SELECT question_id, pos, text FROM feature_lines",
         "doc_sample": f"SELECT review_id, hotel_id, text FROM ({review_docs}) d ORDER BY md5('{SAMPLE_SEED}:' || review_id), review_id, text LIMIT 1000",
         "chunk_recursive": _separator_chunks_sql("documents", "doc_id", ""),
         "review_docs": "SELECT r.review_id, r.hotel_id, 'Hotel: ' || COALESCE(CAST(h.hotel_name AS VARCHAR), 'nan') || "
                        "'. Review: ' || COALESCE(CAST(r.review_text AS VARCHAR), 'nan') AS text "
                        "FROM reviews r LEFT JOIN hotels h ON r.hotel_id = h.hotel_id",
-        "feature_text": "SELECT r.review_id, r.hotel_id, 'Hotel: ' || COALESCE(h.hotel_name, 'Unknown Hotel') || ' (ID: ' || "
-                        f"COALESCE(CAST(r.hotel_id AS VARCHAR), 'nan') || '). ' || {feat} || '.' AS text "
-                        "FROM reviews r LEFT JOIN hotels h ON r.hotel_id = h.hotel_id",
+        "feature_text": feature_docs,
         "chunk_fixed": f"SELECT doc_id, chunk_no, text FROM (SELECT doc_id, CAST((s - 1) // {step} + 1 AS INTEGER) AS chunk_no, "
                        f"substring(text, s, {CHUNK_SIZE}) AS text FROM (SELECT doc_id, text, "
                        f"unnest(range(1, greatest(length(text) - {CHUNK_OVERLAP}, 1) + 1, {step})) AS s "
@@ -498,10 +554,21 @@ heads AS (
 body AS (SELECT question_id, seq, string_agg(line, chr(10) ORDER BY pos) AS body FROM lines GROUP BY question_id, seq),
 secs AS (SELECT h.question_id, h.seq, h.header || chr(10) || COALESCE(b.body, '') AS section
          FROM heads h LEFT JOIN body b ON h.question_id = b.question_id AND h.seq = b.seq
-         WHERE b.body IS NOT NULL OR h.seq = 6),
+         WHERE b.body IS NOT NULL OR h.seq = 6)"""
+
+    def ctx(secs: str) -> str:
+        return f""",
 ctx AS (SELECT q.question_id, COALESCE(NULLIF(string_agg(s.section, chr(10) || chr(10) ORDER BY s.seq), ''), '{cx.NO_CONTEXT}') AS context
-        FROM questions q LEFT JOIN secs s ON q.question_id = s.question_id GROUP BY q.question_id)
+        FROM questions q LEFT JOIN ({secs}) s ON q.question_id = s.question_id GROUP BY q.question_id)
 """
+
+    vec_secs = " UNION ALL ".join(
+        f"SELECT q.question_id, {seq} AS seq, '{header}' || chr(10) || COALESCE(string_agg(l.text, chr(10) ORDER BY l.pos), '') AS section "
+        f"FROM questions q LEFT JOIN {lines} l ON q.question_id = l.question_id GROUP BY q.question_id"
+        for seq, header, lines in ((7, cx.TEXT_HEADER, "text_lines"), (8, cx.FEATURE_HEADER, "feature_lines")))
+    near = _neighbours_sql(*_documents_sql()).rstrip()
+    graph_ctx, vector_ctx = base + ctx("SELECT * FROM secs"), near + ctx(vec_secs)
+    hybrid_ctx = near + "," + base.strip().removeprefix("WITH") + ctx(f"SELECT question_id, seq, section FROM secs UNION ALL {vec_secs}")
     ind = "    "
     ents = ("COALESCE(NULLIF(concat_ws(', ', "
             "CASE WHEN city IS NOT NULL THEN 'City: ' || city END, "
@@ -512,7 +579,7 @@ ctx AS (SELECT q.question_id, COALESCE(NULLIF(string_agg(s.section, chr(10) || c
             f"CASE WHEN age_groups IS NOT NULL THEN 'Target Age Groups: ' || {lst} END, "
             "CASE WHEN sort_by IS NOT NULL THEN 'Sort By: ' || sort_by END), ''), 'None')")
     nl = "chr(10)"
-    prompt = (f"{nl} || '{ind}You are a Hotel Recommender.' || {nl} || '{ind}RETRIEVAL MODE: {cx.BASELINE}' || {nl} || "
+    prompt = (f"{nl} || '{ind}You are a Hotel Recommender.' || {nl} || '{ind}RETRIEVAL MODE: ' || '@mode' || {nl} || "
               f"'{ind}DETECTED ENTITIES: ' || {ents} || {nl} || '{ind}CONTEXT:' || {nl} || '{ind}' || ctx.context || {nl} || "
               f"'{ind}USER QUESTION: ' || COALESCE(u.user_query, '') || {nl} || '{ind}Answer:' || {nl} || '{ind}'")
     loc = "COALESCE(city, country, 'Global')"
@@ -530,8 +597,11 @@ UNION ALL SELECT question_id, 5, CASE WHEN country_mode THEN 'Country by Age Gro
 UNION ALL SELECT question_id, 6, 'Sort by ' || {label} || ' (' || {loc} || ')', 'best_hotels_by_' || lower(sort_by)
           FROM u WHERE sort_by IS NOT NULL"""
     return {
-        "context_sections": base + "SELECT question_id, seq, section FROM secs",
-        "context_full": base + "SELECT question_id, context FROM ctx",
-        "prompts": base + f"SELECT u.question_id, {prompt} AS prompt FROM u JOIN ctx ON u.question_id = ctx.question_id",
+        "context_sections": base + "\nSELECT question_id, seq, section FROM secs",
+        "context_full": graph_ctx + "SELECT question_id, context FROM ctx",
+        "context_full_vector": vector_ctx + "SELECT question_id, context FROM ctx",
+        "context_full_hybrid": hybrid_ctx + "SELECT question_id, context FROM ctx",
+        "prompts": graph_ctx + f"SELECT u.question_id, {prompt} AS prompt FROM u JOIN ctx ON u.question_id = ctx.question_id".replace("@mode", cx.BASELINE),
+        "prompts_hybrid": hybrid_ctx + f"SELECT u.question_id, {prompt} AS prompt FROM u JOIN ctx ON u.question_id = ctx.question_id".replace("@mode", cx.HYBRID),
         "query_log": qlog,
     }

@@ -16,14 +16,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.agg import round_dec
-from ..functions.text import py_list_repr
-from ..operators.chunking import chunk_fixed
+from ..functions.text import py_list_repr, written
+from ..operators.chunking import chunk_at_separators
 from ..operators.graph import Graph, writing_stage
 from ..operators.patterns import top_k_per
-from ..operators.vectors import dedup_by_key, fit_idf, knn_sparse, tfidf_rows
+from ..operators.encoders import embed
+from ..operators.vectors import dedup_by_key, fit_idf, knn_dense, knn_sparse, tfidf_rows
 from ..session import scratch_path
 from . import retrieval as rt
-from .text import feature_docs, review_docs
+from .text import feature_docs, read_vectors, review_docs, write_vectors
 
 # Retrieval modes.
 HYBRID = "Hybrid (Graph + Embeddings)"
@@ -154,29 +155,37 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 # ----------------------------------------------------------------------------- vector sections
 @dataclass
 class TextIndex:
+    """Documents are known by a key made of the review, the chunk and the text,
+    so ties between equal scores do not depend on the files' layout."""
+
     text_idf: DataFrame       # token, df, idf
     text_rows: DataFrame      # id, tokens, weights
     text_docs: DataFrame      # id, review_id, hotel_id, chunk_no, text
     feature_idf: DataFrame
     feature_rows: DataFrame
-    feature_docs: DataFrame   # id, review_id, hotel_id, text
+    feature_docs: DataFrame   # id, review_id, hotel_id, chunk_no, text
+
+
+def _document_key() -> Column:
+    return F.concat_ws("#", F.coalesce("review_id", F.lit("")), F.lpad(F.col("chunk_no").cast("string"), 6, "0"),
+                       F.substring(F.md5(F.col("text").cast("binary")), 1, 8))
+
+
+def _chunks(docs: DataFrame) -> DataFrame:
+    chunks = chunk_at_separators(docs, id_col="review_id", keep=["hotel_id"]).withColumnRenamed("doc_id", "review_id")
+    return chunks.withColumn("id", _document_key())
 
 
 def build_text_index(spark: SparkSession, reviews: DataFrame, hotels: DataFrame) -> TextIndex:
     """Chunk and encode review documents and feature documents once, written to
-    the shared checkpoint folder (ids are assigned on the written rows)."""
+    the shared checkpoint folder."""
     stage = writing_stage(spark, scratch_path(spark, "text_index"))
-    # Chunk ids are assigned once, on written rows.
-    chunks = chunk_fixed(review_docs(reviews, hotels), id_col="review_id", keep=["hotel_id"]).withColumnRenamed(
-        "doc_id", "review_id")
-    w1 = stage({
-        "text_docs": chunks.withColumn("id", F.monotonically_increasing_id()),
-        "feature_docs": feature_docs(reviews, hotels).withColumn("id", F.monotonically_increasing_id()),
-    })
+    w1 = stage({"text_docs": _chunks(review_docs(reviews, hotels)), "feature_docs": _chunks(feature_docs(reviews, hotels))})
     w2 = stage({"text_idf": fit_idf(w1["text_docs"], "id", "text"), "feature_idf": fit_idf(w1["feature_docs"], "id", "text")})
+    # Rows that repeat a key hold the same text; one of them is encoded.
     w3 = stage({
-        "text_rows": tfidf_rows(w1["text_docs"], "id", "text", w2["text_idf"]),
-        "feature_rows": tfidf_rows(w1["feature_docs"], "id", "text", w2["feature_idf"]),
+        f"{name}_rows": tfidf_rows(w1[f"{name}_docs"].groupBy("id").agg(F.any_value("text").alias("text")), "id", "text", w2[f"{name}_idf"])
+        for name in ("text", "feature")
     })
     return TextIndex(w2["text_idf"], w3["text_rows"], w1["text_docs"], w2["feature_idf"], w3["feature_rows"],
                      w1["feature_docs"])
@@ -197,8 +206,6 @@ def _encode_questions(questions: DataFrame, idf: DataFrame) -> DataFrame:
 def _distinct_texts(questions: DataFrame) -> DataFrame:
     """(question_id, user_query) of one representative per distinct text, written
     so the ids are stable: neighbours depend only on the text."""
-    from ..functions.text import written
-
     texts = questions.select(F.coalesce("user_query", F.lit("")).alias("user_query")).distinct()
     return written(texts.withColumn("question_id", F.monotonically_increasing_id()), "question_texts")
 
@@ -211,13 +218,18 @@ def _per_question(questions: DataFrame, texts: DataFrame, per_text: DataFrame) -
     return q.join(back, "user_query").drop("user_query", "_tid")
 
 
+def _with_text(nn: DataFrame, docs: DataFrame) -> DataFrame:
+    """(question_id, pos, text) of (query_id, pos, neighbor_id): k rows a query
+    meet the documents; repeats of a document's key hold the same text."""
+    by_key = docs.select(F.col("id").alias("neighbor_id"), "text")
+    return nn.join(by_key, "neighbor_id").groupBy(F.col("query_id").alias("question_id"), "pos").agg(F.any_value("text").alias("text"))
+
+
 def text_neighbours(index: TextIndex, questions: DataFrame, k: int = TEXT_K, texts: DataFrame | None = None) -> DataFrame:
     """(question_id, pos, text): the k most similar review chunks."""
     texts = _distinct_texts(questions) if texts is None else texts
-    nn = knn_sparse(_encode_questions(texts, index.text_idf), index.text_rows, k)
-    per_text = nn.join(index.text_docs.select(F.col("id").alias("neighbor_id"), "text"), "neighbor_id").select(
-        F.col("query_id").alias("question_id"), "pos", "text")
-    return _per_question(questions, texts, per_text)
+    nn = written(knn_sparse(_encode_questions(texts, index.text_idf), index.text_rows, k), "text_neighbours")
+    return _per_question(questions, texts, _with_text(nn, index.text_docs))
 
 
 def feature_neighbours(index: TextIndex, questions: DataFrame, k: int = FEATURE_K,
@@ -225,12 +237,36 @@ def feature_neighbours(index: TextIndex, questions: DataFrame, k: int = FEATURE_
     """(question_id, pos, text): the k most similar feature documents, then the
     best one per hotel id (documents without an id are all kept)."""
     texts = _distinct_texts(questions) if texts is None else texts
-    nn = knn_sparse(_encode_questions(texts, index.feature_idf), index.feature_rows, k)
+    nn = written(knn_sparse(_encode_questions(texts, index.feature_idf), index.feature_rows, k), "feature_neighbours")
+    near = nn.select("neighbor_id").distinct()
     keys = index.feature_docs.select(F.col("id").alias("neighbor_id"), F.col("hotel_id").cast("string").alias("key"))
-    dd = dedup_by_key(nn, keys)
-    per_text = dd.join(index.feature_docs.select(F.col("id").alias("neighbor_id"), "text"), "neighbor_id").select(
-        F.col("query_id").alias("question_id"), "pos", "text")
-    return _per_question(questions, texts, per_text)
+    keys = keys.join(near, "neighbor_id", "left_semi").distinct()
+    return _per_question(questions, texts, _with_text(dedup_by_key(nn, keys), index.feature_docs))
+
+
+def write_document_vectors(index: TextIndex, path: str, model: str, features: bool = True) -> None:
+    """Encode the index's documents with a registered model and put the vectors
+    into the store under the model's short name (other models stay)."""
+    docs = index.feature_docs if features else index.text_docs
+    one = docs.groupBy(F.col("id").alias("doc_id")).agg(F.any_value("hotel_id").alias("hotel_id"), F.any_value("text").alias("text"))
+    write_vectors(embed(one, "text", model, ["doc_id", "hotel_id"]), path, model.split(" ")[0])
+
+
+def store_neighbours(store: str, questions: DataFrame, model: str, k: int = FEATURE_K, per_hotel: bool = True) -> DataFrame:
+    """(question_id, pos, text): the k stored documents nearest to each question
+    by cosine, both encoded by ``model``; then the best one per hotel. Raises
+    if the store has no such model."""
+    spark = questions.sparkSession
+    docs = read_vectors(spark, store, model)
+    if docs is None:
+        raise KeyError(f"no vectors of {model} in {store}")
+    texts = _distinct_texts(questions)
+    near = embed(texts, "user_query", model, ["question_id"]).select(F.col("question_id").alias("id"), F.col("embedding").alias("vec"))
+    nn = written(knn_dense(near, docs.select(F.col("doc_id").alias("id"), F.col("embedding").alias("vec")), k, "cosine"), "store_neighbours")
+    if per_hotel:
+        keys = docs.select(F.col("doc_id").alias("neighbor_id"), F.col("hotel_id").cast("string").alias("key"))
+        nn = dedup_by_key(nn, keys)
+    return _per_question(questions, texts, _with_text(nn, docs.select(F.col("doc_id").alias("id"), "text")))
 
 
 def vector_lines(index: TextIndex, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -245,6 +281,21 @@ def vector_lines(index: TextIndex, questions: DataFrame) -> tuple[DataFrame, Dat
     return heads, lines
 
 
+def lines(g: Graph, u: DataFrame, questions: DataFrame, idx: rt.RetrievalIndex | None, text_index: TextIndex | None,
+          mode: str) -> tuple[DataFrame, DataFrame]:
+    """(headers, lines) of the sections that a retrieval mode has."""
+    parts = []
+    if mode in GRAPH_MODES:
+        parts.append(graph_lines(g, u, idx))
+    if mode in VECTOR_MODES:
+        if text_index is None:
+            raise ValueError(f"mode {mode} needs a text index")
+        parts.append(vector_lines(text_index, questions))
+    if not parts:
+        raise ValueError(f"unknown mode {mode}")
+    return _union([h for h, _ in parts]), _union([l_ for _, l_ in parts])
+
+
 # ----------------------------------------------------------------------------- assembly
 def sections(headers: DataFrame, lines: DataFrame) -> DataFrame:
     """(question_id, seq, section): header + newline-joined lines in position

@@ -181,7 +181,8 @@ def _vec_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = driver_table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("doc_id"), F.col("label").cast("bigint").alias("hotel_id"), "embedding")
     tx.write_vectors(emb, path, "E64")
-    tx.write_vectors(emb.limit(0), path, "Other")
+    turned = F.transform("embedding", lambda x: -x)
+    tx.write_vectors(emb.where("doc_id % 3 <> 0").withColumn("embedding", turned), path, "Other")
     out = tx.read_vectors(spark, path, "E64 (dense)")
     return out.select("doc_id", "hotel_id", F.size("embedding").alias("dims"))
 
@@ -190,19 +191,8 @@ def _answer_parts(spark: SparkSession, sf_dir: str, mode: str):
     g = graph_for(spark, sf_dir)
     qq = questions(spark, sf_dir)
     u = understood_for(spark, sf_dir)
-    heads, lines = [], []
-    if mode in cx.GRAPH_MODES:
-        h, l_ = cx.graph_lines(g, u, retrieval_index_for(spark, sf_dir))
-        heads.append(h)
-        lines.append(l_)
-    if mode in cx.VECTOR_MODES:
-        h, l_ = cx.vector_lines(text_index_for(spark, sf_dir), qq)
-        heads.append(h)
-        lines.append(l_)
-    hh, ll = heads[0], lines[0]
-    for h, l_ in zip(heads[1:], lines[1:]):
-        hh, ll = hh.unionByName(h), ll.unionByName(l_)
-    return u, qq, cx.sections(hh, ll)
+    text_index = text_index_for(spark, sf_dir) if mode in cx.VECTOR_MODES else None
+    return u, qq, cx.sections(*cx.lines(g, u, qq, retrieval_index_for(spark, sf_dir), text_index, mode))
 
 
 def _sections(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
