@@ -51,7 +51,10 @@ def answer_questions(spark: SparkSession, g: Graph, questions: DataFrame, mode:
     the retrieval index unless one is passed. Vector modes need a text index:
     pass one, or the review and hotel source tables to build it."""
     u = written(understand(g, questions), "understood")
-    idx = index or retrieval_index(g, writing_stage(spark, scratch_path(spark, "retrieval")))
+    idx = index
+    if idx is None:
+        stage = writing_stage(spark, scratch_path(spark, "retrieval"))
+        idx = cx.with_edges(g, retrieval_index(g, stage), stage)
     if mode in cx.VECTOR_MODES and text_index is None:
         if reviews is None or hotels is None:
             raise ValueError("vector modes need text_index, or reviews and hotels to build one")

@@ -30,9 +30,7 @@ SORT_KEYWORDS = [
 # Words that switch type / age questions to country answers.
 COUNTRY_MODE_WORDS = ["country", "countries"]
 
-# Entity categories in detection order (Age Group is in the
-# dictionary but not linked by substring).
-LINK_CATEGORIES = ["City", "Country", "Hotel", "Traveller Type", "Gender"]
+# The category that is in the dictionary but not linked by substring.
 AGE_CATEGORY = "Age Group"
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.broadcast import checked_broadcast
-from ..functions.text import AGE_CATEGORY
+from ..functions.text import AGE_CATEGORY, written
 from .graph import Graph
 from .patterns import top_k_per
 
@@ -40,6 +40,8 @@ def entity_dictionary(g: Graph) -> DataFrame:
 
 def link_entities(questions: DataFrame, dictionary: DataFrame, text_col: str = "user_query") -> DataFrame:
     """(question_id, category, value) for the best match of each category."""
+    # Written: the lengths, the size check and the join all read it.
+    dictionary = written(dictionary, "entity_dictionary")
     d = (
         dictionary.where(F.col("category") != AGE_CATEGORY)
         .select("category", "value", F.lower("value").alias("v_lc"), F.length("value").alias("v_len"))
@@ -57,7 +59,6 @@ def link_entities(questions: DataFrame, dictionary: DataFrame, text_col: str = "
         texts.withColumn("L", F.explode(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("q_lc"))))
         .withColumn("pos", F.explode(F.sequence(F.lit(1), F.length("q_lc") - F.col("L") + 1)))
         .select("q_lc", F.col("q_lc").substr(F.col("pos"), F.col("L")).alias("sub"))
-        .distinct()
     )
     cand = subs.join(checked_broadcast(d), subs["sub"] == d["v_lc"]).select("q_lc", "category", "value", "v_len")
     best = top_k_per(cand, ["q_lc", "category"], [F.desc("v_len"), F.asc("value")], 1, "_rk").select(

@@ -12,15 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.agg import avg_of, merge_sum_count
+from ..functions.agg import merge_sum_count
 from .graph import Graph
 
 
-def lower_eq(col: str, value: str) -> Column:
-    """Case-insensitive equality ``toLower(a) = toLower($p)``."""
-    return F.lower(F.col(col)) == F.lower(F.lit(value))
-
-
 def segment_states(g: Graph, where: Column | None, metrics: list[str], extra_keys: list[str] = ()) -> DataFrame:
     """Per-hotel (sum, count) states of ``metrics`` over traveller paths that pass ``where``.
 
@@ -52,10 +47,6 @@ def with_place(per_hotel: DataFrame, g: Graph) -> DataFrame:
     return per_hotel.join(g.hotel_place, "hotel_id")
 
 
-def finish_avg(df: DataFrame, metric: str, alias: str) -> DataFrame:
-    return df.withColumn(alias, avg_of(metric))
-
-
 def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     """Global top-k: planned as TakeOrderedAndProject (per-partition heaps, one merge)."""
     return df.orderBy(*order).limit(k)

@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.graph import Graph, build_and_write, build_graph
-from ..sources.fixtures import fixture_table, fixture_tables
+from ..operators.graph import Graph, build_and_write
+from ..sources.fixtures import fixture_table
 
 _GRAPHS: dict[tuple[str, str], Graph] = {}
 GRAPH_SOURCES = ("hotels", "users", "reviews", "visa")
@@ -27,12 +27,6 @@ def graph_for(spark: SparkSession, sf_dir: str) -> Graph:
     return _GRAPHS[key]
 
 
-def lazy_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The same graph, unmaterialised (pure lineage over the sources)."""
-    t = fixture_tables(spark, sf_dir)
-    return build_graph(t["hotels"], t["users"], t["reviews"], t["visa"])
-
-
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return fixture_table(spark, sf_dir, name)
 
@@ -81,9 +75,11 @@ def retrieval_index_for(spark: SparkSession, sf_dir: str):
     """All per-value retrieval answers of a folder's graph, written once."""
     from ..operators.graph import writing_stage
     from ..session import scratch_path
+    from .context import with_edges
     from .retrieval import retrieval_index
 
     key = _key(spark, sf_dir)
     if key not in _RINDEX:
-        _RINDEX[key] = retrieval_index(graph_for(spark, sf_dir), writing_stage(spark, scratch_path(spark, "retrieval")))
+        g, stage = graph_for(spark, sf_dir), writing_stage(spark, scratch_path(spark, "retrieval"))
+        _RINDEX[key] = with_edges(g, retrieval_index(g, stage), stage)
     return _RINDEX[key]

@@ -10,7 +10,7 @@ hold at most k lines.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -442,12 +442,24 @@ def explain_global_sort(g: Graph, idx: rt.RetrievalIndex | None = None) -> DataF
     return _union(parts)
 
 
+EDGE_TABLES = {"city": explain_city, "country": explain_country, "type": explain_type, "gender": explain_gender, "age": explain_age}
+
+
+def with_edges(g: Graph, idx: rt.RetrievalIndex, stage=None) -> rt.RetrievalIndex:
+    """The index with the explanation edges of every parameter value, written
+    by ``stage`` like its other tables."""
+    tables = {f"edge_{name}": make(g) for name, make in EDGE_TABLES.items()}
+    tables = stage(tables) if stage else tables
+    return replace(idx, edges={name: tables[f"edge_{name}"] for name in EDGE_TABLES})
+
+
 def explain_edges(g: Graph, u: DataFrame, mode: str = HYBRID, idx: rt.RetrievalIndex | None = None) -> DataFrame:
     """(question_id, seq, source, rel, target): the edges shown for each answer,
     in section order, first edge per (source, target) kept."""
     if mode not in GRAPH_MODES:
         return u.sparkSession.createDataFrame([], "question_id bigint, seq int, source string, rel string, target string")
     idx = idx or rt.retrieval_index(g)
+    e = (idx if idx.edges else with_edges(g, idx)).edges
     r1k = idx.r1.select("city_key").distinct()
     r2k = idx.r2.select("country_key").distinct()
     r3k = idx.r3.select("type_key").distinct()
@@ -460,19 +472,19 @@ def explain_edges(g: Graph, u: DataFrame, mode: str = HYBRID, idx: rt.RetrievalI
 
     parts = []
     c = u.where(F.col("city").isNotNull()).join(r1k, F.lower(F.col("city")) == F.col("city_key"), "left_semi")
-    parts.append(pick(c, explain_city(g), F.lower(c["city"]), "city_key", 1))
+    parts.append(pick(c, e["city"], F.lower(c["city"]), "city_key", 1))
     n = u.where(F.col("country").isNotNull()).join(r2k, F.lower(F.col("country")) == F.col("country_key"), "left_semi")
-    parts.append(pick(n, explain_country(g), F.lower(n["country"]), "country_key", 2))
+    parts.append(pick(n, e["country"], F.lower(n["country"]), "country_key", 2))
     t = u.where(F.col("traveller_type").isNotNull() & ~F.col("country_mode")).join(
         r3k, F.lower(F.col("traveller_type")) == F.col("type_key"), "left_semi")
-    parts.append(pick(t, explain_type(g), F.lower(t["traveller_type"]), "type_key", 3))
+    parts.append(pick(t, e["type"], F.lower(t["traveller_type"]), "type_key", 3))
     s = u.where(F.col("gender").isNotNull()).join(r5k, F.lower(F.col("gender")) == F.col("gender_key"), "left_semi")
-    parts.append(pick(s, explain_gender(g), F.lower(s["gender"]), "gender_key", 4))
+    parts.append(pick(s, e["gender"], F.lower(s["gender"]), "gender_key", 4))
     a = (u.where(F.col("age_groups").isNotNull() & ~F.col("country_mode"))
          .withColumn("groups_key", py_list_repr("age_groups")).join(r7k, "groups_key", "left_semi")
          .withColumn("first_group", F.col("age_groups")[0]))
-    parts.append(pick(a, explain_age(g), a["first_group"], "age", 5))
-    earlier = _union(parts)
+    parts.append(pick(a, e["age"], a["first_group"], "age", 5))
+    earlier = written(_union(parts), "section_edges")  # read by each fallback and by the result
 
     # Sort fallback: only for questions that have no edge yet.
     srt = u.where(F.col("sort_by").isNotNull()).join(earlier.select("question_id").distinct(), "question_id", "left_anti")
@@ -480,8 +492,8 @@ def explain_edges(g: Graph, u: DataFrame, mode: str = HYBRID, idx: rt.RetrievalI
     sn = srt.where(F.col("city").isNull() & F.col("country").isNotNull())
     sg = srt.where(F.col("city").isNull() & F.col("country").isNull())
     fallback = [
-        pick(sc, explain_city(g), F.lower(sc["city"]), "city_key", 6),
-        pick(sn, explain_country(g), F.lower(sn["country"]), "country_key", 6),
+        pick(sc, e["city"], F.lower(sc["city"]), "city_key", 6),
+        pick(sn, e["country"], F.lower(sn["country"]), "country_key", 6),
         sg.join(explain_global_sort(g, idx), "sort_by").select("question_id", F.lit(6).alias("section"), "pos", "source", "rel", "target"),
     ]
     alle = _union([earlier] + fallback)

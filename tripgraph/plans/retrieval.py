@@ -154,13 +154,15 @@ def top_hotels_by_age_groups(g: Graph, groups: list[str], k: int = GROUPS_K) ->
 
 
 # ---------------------------------------------------------------- R8-R11
-def best_hotels_all(g: Graph, dim: str, scope: str, k: int = HOTELS_K) -> DataFrame:
-    """Best hotels by mean of one review score, for every scope value.
+def best_hotels_of(g: Graph, scope: str, k: int = HOTELS_K) -> DataFrame:
+    """(sort_by, scope_key, pos, Hotel, AvgScore): best hotels by the mean of
+    each review score, for every value of a scope, from one aggregate that
+    carries all four scores.
 
     scope: ``global`` (key NULL), ``city`` or ``country``. Hotels whose reviews
-    carry no value of the score are left out (``WHERE r.score IS NOT NULL``)."""
-    metric = DIMENSIONS[dim][0]
-    per = hotel_states(g, [metric])
+    carry no value of a score are left out of it (``WHERE r.score IS NOT NULL``)."""
+    metrics = [v[0] for v in DIMENSIONS.values()]
+    per = hotel_states(g, metrics)
     if scope == "global":
         per = per.withColumn("scope_key", F.lit(None).cast("string"))
     elif scope == "city":
@@ -169,8 +171,19 @@ def best_hotels_all(g: Graph, dim: str, scope: str, k: int = HOTELS_K) -> DataFr
         per = per.join(g.hotel_place, "hotel_id").withColumn("scope_key", F.lower("country"))
     else:
         raise ValueError(scope)
-    per = with_hotel_name(per, g)
-    return _rank_avg(per, "scope_key", "name", metric, "Hotel", "AvgScore", k, require_values=True)
+    per = merge_by(with_hotel_name(per, g), ["scope_key", "name"], metrics)
+    each = F.explode(F.array(*[
+        F.struct(F.lit(dim).alias("sort_by"), F.col(f"{v[0]}_n").alias("n"), avg_of(v[0]).alias("AvgScore")) for dim, v in DIMENSIONS.items()]))
+    rows = per.select("scope_key", F.col("name").alias("Hotel"), each.alias("m")).select("scope_key", "Hotel", "m.*").where("n > 0")
+    ranked = top_k_per(rows, ["sort_by", "scope_key"], [_desc("AvgScore"), F.asc_nulls_last("Hotel")], k, "pos")
+    return ranked.select("sort_by", "scope_key", "pos", "Hotel", "AvgScore")
+
+
+def best_hotels_all(g: Graph, dim: str, scope: str, k: int = HOTELS_K) -> DataFrame:
+    """Best hotels by one review score, for every scope value."""
+    if dim not in DIMENSIONS:
+        raise ValueError(dim)
+    return best_hotels_of(g, scope, k).where(F.col("sort_by") == dim).drop("sort_by")
 
 
 def best_hotels(g: Graph, dim: str, city: str | None = None, country: str | None = None, k: int = HOTELS_K) -> DataFrame:
@@ -223,17 +236,16 @@ class RetrievalIndex:
     r6: DataFrame    # groups_key, pos, Country, Visits   (all 15 age lists)
     r7: DataFrame    # groups_key, pos, Hotel, avgRating
     best: DataFrame  # sort_by, scope, scope_key ('' when global), pos, Hotel, AvgScore
+    edges: dict[str, DataFrame] | None = None  # explanation edges by kind, see context.with_edges
 
 
 def retrieval_index(g: Graph, stage=None) -> RetrievalIndex:
     requests = all_age_requests(g.hotel.sparkSession)
     best = None
-    for dim in DIMENSIONS:
-        for scope in ("global", "city", "country"):
-            t = best_hotels_all(g, dim, scope).select(
-                F.lit(dim).alias("sort_by"), F.lit(scope).alias("scope"),
-                F.coalesce("scope_key", F.lit("")).alias("scope_key"), "pos", "Hotel", "AvgScore")
-            best = t if best is None else best.unionByName(t)
+    for scope in ("global", "city", "country"):
+        t = best_hotels_of(g, scope).select(
+            "sort_by", F.lit(scope).alias("scope"), F.coalesce("scope_key", F.lit("")).alias("scope_key"), "pos", "Hotel", "AvgScore")
+        best = t if best is None else best.unionByName(t)
     tables = {
         "r1": hotels_by_city_all(g), "r2": hotels_by_country_all(g), "r3": hotels_by_type_all(g),
         "r4": countries_by_type_all(g), "r5": countries_by_gender_all(g),
