@@ -3,8 +3,8 @@ registered key. Written independently of the Spark code path (plain joins over
 the raw edge tables instead of the pre-aggregated states), so a wrong state or
 merge in the engine shows up as a mismatch.
 
-The oracle assumes unique vertex keys, which holds for the fixtures and is
-itself checked by the ``check_unique`` query (expected empty).
+Of source rows that repeat a key the oracle takes the last by ``_ord``, as the
+graph build must; ``check_unique`` is expected to be empty.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ hotel_avg AS (SELECT hotel_id, {sql_avg('score_overall')} AS average_reviews_sco
               FROM reviews WHERE hotel_id IS NOT NULL GROUP BY hotel_id),
 hotel AS (SELECT h.hotel_id, h.hotel_name AS name, h.star_rating, h.cleanliness_base, h.comfort_base, h.facilities_base,
                  COALESCE(a.average_reviews_score, 0.0) AS average_reviews_score
-          FROM hotels h LEFT JOIN hotel_avg a ON h.hotel_id = a.hotel_id WHERE h.hotel_id IS NOT NULL),
+          FROM (SELECT * FROM hotels WHERE hotel_id IS NOT NULL
+                QUALIFY row_number() OVER (PARTITION BY hotel_id ORDER BY _ord DESC) = 1) h
+          LEFT JOIN hotel_avg a ON h.hotel_id = a.hotel_id),
 city AS (SELECT DISTINCT city AS name FROM hotels WHERE city IS NOT NULL),
 country AS (SELECT country AS name FROM hotels WHERE country IS NOT NULL
             UNION SELECT country FROM users WHERE country IS NOT NULL
@@ -27,12 +29,14 @@ country AS (SELECT country AS name FROM hotels WHERE country IS NOT NULL
 city_in_country AS (SELECT DISTINCT city, country FROM hotels WHERE city IS NOT NULL AND country IS NOT NULL),
 hotel_in_city AS (SELECT DISTINCT hotel_id, city FROM hotels WHERE hotel_id IS NOT NULL AND city IS NOT NULL),
 traveller AS (SELECT user_id, age_group AS age, traveller_type AS type, user_gender AS gender
-              FROM users WHERE user_id IS NOT NULL),
+              FROM users WHERE user_id IS NOT NULL
+              QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY _ord DESC) = 1),
 from_country AS (SELECT DISTINCT user_id, country FROM users WHERE user_id IS NOT NULL AND country IS NOT NULL),
 live_reviews AS (SELECT * FROM reviews WHERE review_id IS NOT NULL
                  AND user_id IN (SELECT user_id FROM traveller) AND hotel_id IN (SELECT hotel_id FROM hotel)),
 review AS (SELECT review_id, review_text AS text, review_date AS date, score_overall, score_cleanliness, score_comfort,
-                  score_facilities, score_location, score_staff, score_value_for_money FROM live_reviews),
+                  score_facilities, score_location, score_staff, score_value_for_money FROM live_reviews
+           QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY _ord DESC) = 1),
 wrote AS (SELECT DISTINCT user_id, review_id FROM live_reviews),
 reviewed AS (SELECT DISTINCT review_id, hotel_id FROM live_reviews),
 stayed_at AS (SELECT DISTINCT user_id, hotel_id FROM live_reviews),
