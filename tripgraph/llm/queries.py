@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_graph, html_density, minhash, quality_rff, secret_forest, sp_trie, token_count, toxicity_zstd, warc_chunks, winnowing
+from . import embed_graph, html_density, minhash, oracles, quality_rff, secret_forest, sp_trie, token_count, toxicity_zstd, warc_chunks, winnowing
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,4 +69,11 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the operators that SQL can express; tests hold the others against
+    brute force, exact round trips or held-out accuracy."""
+    return {
+        "op2_warc_chunks": oracles.archive(),
+        "op7_minhash_near_dedup": oracles.near_dedup(85),
+        "op9_embedding_near_dedup": oracles.near_vectors(0.95),
+        "op10_benchmark_decontamination": oracles.contamination(),
+    }
