@@ -1,6 +1,7 @@
 """End to end from CSV files: build, then answer a batch of questions."""
 
 from fixtures import questions
+from test_plans import plan
 from tripgraph import answer_questions, build_graph_from_files
 from tripgraph.plans import context as cx
 from tripgraph.sources.readers import read_source
@@ -44,3 +45,22 @@ def test_build_from_csv_and_answer(spark, tmp_path):
     edges = [(r["source"], r["rel"], r["target"]) for r in ans.edges.where("question_id = 0").orderBy("seq").collect()]
     assert edges == [("L'Hôtel Un", "LOCATED_IN", "France")]
     assert ans.prompts.count() == 2
+
+
+def test_answers_read_written_tables(spark, tmp_path):
+    """The prompt plan reads the written questions and index, not the graph's lineage."""
+    import re
+
+    g = build_graph_from_files(spark, _write(tmp_path), out=str(tmp_path / "graph"))
+    ans = answer_questions(spark, g, questions(spark, ["Cleanest hotels in France"]), mode=cx.BASELINE)
+    for df, most in ((ans.prompts, 60), (ans.edges, 25)):
+        assert len(re.findall("Scan parquet|FileScan parquet", plan(df, "simple"))) <= most
+
+
+def test_package_can_be_shipped(spark):
+    import zipfile
+
+    from tripgraph.session import ship_package
+
+    names = zipfile.ZipFile(ship_package(spark)).namelist()
+    assert "tripgraph/session.py" in names and "tripgraph/operators/vectors.py" in names

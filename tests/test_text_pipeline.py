@@ -1,5 +1,6 @@
 """Text neighbours of the question pipeline vs brute force at sf0.001."""
 
+from test_plans import plan
 from tripgraph.plans import context as cx
 from tripgraph.plans.catalog import questions, source
 from tripgraph.plans.text import FEATURE_FIELDS, read_vectors
@@ -50,8 +51,7 @@ def test_stored_models_answer_by_short_name(spark, tmp_path):
     store, q = str(tmp_path / "store"), questions(spark, SMOKE).limit(5)
     for model in ("Hash64", "Hash256"):
         cx.write_document_vectors(idx, store, model)
-    plan = read_vectors(spark, store, "Hash64 (small)")._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(model" in plan
+    assert "PartitionFilters: [isnotnull(model" in plan(read_vectors(spark, store, "Hash64 (small)"))
     a, b = (cx.store_neighbours(store, q, m).collect() for m in ("Hash64 (small)", "Hash256"))
     assert len({r["question_id"] for r in a}) == len({r["question_id"] for r in b}) == 5
     assert sorted(map(tuple, a)) != sorted(map(tuple, b))

@@ -118,3 +118,32 @@ def test_tfidf_values_by_hand_and_unbroadcast_path(spark):
         assert fast[k].keys() == slow[k].keys()
         for t in fast[k]:
             assert abs(fast[k][t] - slow[k][t]) < 1e-12
+
+
+def test_repeats_of_a_query_id_are_answered_each(spark):
+    """More rows of one id than a block should hold: no block grows with them, none is refused."""
+    corpus = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "id bigint, vec array<double>")
+    queries = spark.createDataFrame([(1, [float(i % 3), 1.0]) for i in range(40)], "id bigint, vec array<double>")
+    got = knn_dense(queries, corpus, 2, "l2", query_rows=4, corpus_rows=4).collect()
+    assert len(got) == 80 and {r["query_id"] for r in got} == {1}
+    assert sorted(r["neighbor_id"] for r in got if r["pos"] == 1) == sorted(i % 3 for i in range(40))
+
+
+def test_empty_sides(spark):
+    rows = spark.createDataFrame([(1, [1.0])], "id bigint, vec array<double>")
+    assert knn_dense(rows.limit(0), rows, 2).collect() == [] and knn_dense(rows, rows.limit(0), 2).collect() == []
+
+
+def test_encoders_by_name(spark):
+    import pytest
+
+    from tripgraph.operators.encoders import embed, models, register
+
+    df = spark.createDataFrame([(1, "red apple"), (2, None), (3, "Red, APPLE!")], "id bigint, text string").repartition(2)
+    rows = {r["id"]: r for r in embed(df, "text", "Hash64 (small)", ["id"]).collect()}
+    assert len(rows[1]["embedding"]) == 64 and rows[1]["embedding"] == rows[3]["embedding"] and not any(rows[2]["embedding"])
+    register("Lengths", lambda: lambda texts: np.array([[len(t), 1.0] for t in texts]))
+    assert "Lengths" in models()
+    assert [r["embedding"] for r in embed(df, "text", "Lengths", ["id"]).orderBy("id").collect()] == [[9, 1], [0, 1], [11, 1]]
+    with pytest.raises(KeyError):
+        embed(df, "text", "MiniLM", ["id"])

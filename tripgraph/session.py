@@ -6,6 +6,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -55,3 +57,17 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique folder under the checkpoint root for one written table."""
     return f"{checkpoint_root(spark)}/tripgraph/{uuid.uuid4().hex}/{name}"
+
+
+def ship_package(spark: SparkSession) -> str:
+    """Send this package to the executors of a running session, for clusters
+    whose workers do not have it installed: a zip of its modules is added to
+    the session, and every Python worker imports from it. Returns the zip's
+    path on the driver. (An installed wheel needs no shipping.)"""
+    root = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="tripgraph-"), "tripgraph.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(target)
+    return target
