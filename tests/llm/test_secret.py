@@ -60,7 +60,7 @@ def test_forest_learns_given_labels(spark):
     assert all(r.secret == r.value.startswith("ABCD") for r in got)
 
 
-def test_main_path_is_native(spark):
+def test_main_path_is_native(spark, capsys):
     df, _ = docs(spark)
-    plan = S.redact(df, *S.train(df)[:2])._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+    S.redact(df, *S.train(df)[:2]).explain("extended")
+    assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
