@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 # Text bytes handled at once inside a task; one longer text is a slice of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -23,8 +23,8 @@ from .common import slices
 from .pieces import MARK, MODEL, Vocabulary, gather, load_model, marked_words
 
 
-# Larger slices repeat more words; 8 MB of text take some 200 MB in a worker.
-SLICE = 8_000_000
+# Larger slices repeat fewer words but take more memory: 3 MB of text some 100 MB in a worker, 8 MB some 300 MB.
+SLICE = 3_000_000
 
 
 class Encoder:
