@@ -69,3 +69,23 @@ def test_merge_summary(spark):
     got = {row["label"]: (row["input_rows"], row["vertices"])
            for row in merge_summary(small_graph(spark), {"hotels": h, "users": u, "reviews": r}).collect()}
     assert got == {"Hotel": (4, 4), "Traveller": (3, 3), "Review": (6, 4), "City": (4, 2)}
+
+
+def test_repeated_keys_with_other_values(spark):
+    """The same review twice by two users, a hotel with two names, a user with two types: the last row gives
+    the properties, all rows give the edges."""
+    h = hotels(spark, [(1, "First", "C", "X", 8.0, 8.0, 8.0), (1, "Second", "C", "X", 7.0, 7.0, 7.0)]).withColumn(
+        "_ord", F.when(F.col("hotel_name") == "First", 2).otherwise(1))
+    u = users(spark, [(1, "Male", "X", "18-24", "Solo"), (2, "Male", "X", "55+", "Solo"), (1, "Female", "Y", "25-34", "Group")]).withColumn(
+        "_ord", F.when(F.col("traveller_type") == "Group", 2).otherwise(1))
+    r = reviews(spark, [("a", 1, 1, 9.0, 8.0, 8.0, 8.0, 8.0, 8.0), ("a", 2, 1, 5.0, 8.0, 8.0, 8.0, 8.0, 8.0)]).withColumn(
+        "_ord", F.when(F.col("user_id") == 1, 1).otherwise(2))
+    g = build_graph(h, u, r, visa(spark, [("X", "Y", "No", "-")]))
+    assert rows(g.hotel, "name", "cleanliness_base", "average_reviews_score") == [("First", 8.0, 7.0)]
+    assert rows(g.traveller, "user_id", "type", "gender") == [(1, "Group", "Female"), (2, "Solo", "Male")]
+    assert rows(g.review, "review_id", "score_overall") == [("a", 5.0)]
+    assert rows(g.wrote, "user_id", "review_id") == [(1, "a"), (2, "a")]
+    assert rows(g.from_country, "user_id", "country") == [(1, "X"), (1, "Y"), (2, "X")]
+    # Both writers' paths carry the review's last score.
+    assert rows(g.segment_stats, "type", "paths", "score_overall_sum") == [("Group", 1, 5), ("Solo", 1, 5)]
+    assert check_unique(g).count() == 0
