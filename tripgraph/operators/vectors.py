@@ -30,7 +30,7 @@ from .patterns import top_k_per
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 # Rows of a query block and of a corpus block; scores of so many corpus rows are held at once.
-QUERY_ROWS, CORPUS_ROWS, SCORE_ROWS = 1024, 8192, 1024
+QUERY_ROWS, CORPUS_ROWS, SCORE_ROWS = 4096, 8192, 512
 
 
 # ----------------------------------------------------------------------------- TF-IDF
@@ -120,11 +120,17 @@ def _top(scores: Iterator[tuple[int, np.ndarray]], codes: np.ndarray, k: int) ->
     rows, cols, values = [], [], []
     for first, s in scores:
         kk = min(k, s.shape[1])
-        least = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
-        r, c = np.nonzero(s >= least[:, None])
-        best = _select_top(r, codes[first + c], s[r, c], k)
+        order = np.argsort(codes[first : first + s.shape[1]], kind="stable")
+        s = s[:, order]
+        least = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk, None]
+        # Of equal scores (most are 0) the first by code; no need to sort them all.
+        tied = s == least
+        tied &= np.cumsum(tied, axis=1, dtype=np.int32) <= k
+        r, c = np.nonzero((s > least) | tied)
+        best = _select_top(r, c, s[r, c], k)
+        back = order[c[best]]
         rows.append(r[best])
-        cols.append(first + c[best])
+        cols.append(first + back)
         values.append(s[r[best], c[best]])
     row, col, value = (np.concatenate(x) for x in (rows, cols, values))
     best = _select_top(row, codes[col], value, k)

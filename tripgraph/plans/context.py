@@ -225,10 +225,22 @@ def _with_text(nn: DataFrame, docs: DataFrame) -> DataFrame:
     return nn.join(by_key, "neighbor_id").groupBy(F.col("query_id").alias("question_id"), "pos").agg(F.any_value("text").alias("text"))
 
 
+def _nearest(texts: DataFrame, idf: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, pos, neighbor_id) of every text. Neighbours depend only on the
+    encoded text (words that no document has drop out), so each distinct
+    encoding is searched once."""
+    pairs = F.array_sort(F.arrays_zip(F.col("tokens"), F.transform("weights", lambda w: F.round(w, 12)).alias("weights")))
+    enc = written(_encode_questions(texts, idf).select("id", pairs.alias("encoding")), "question_encodings")
+    one = enc.groupBy("encoding").agg(F.min("id").alias("one"))
+    nn = knn_sparse(one.select(F.col("one").alias("id"), F.col("encoding.tokens").alias("tokens"), F.col("encoding.weights").alias("weights")), rows, k)
+    of = enc.join(one, "encoding").select(F.col("id").alias("question"), F.col("one").alias("query_id"))
+    return nn.join(of, "query_id").select(F.col("question").alias("query_id"), "pos", "neighbor_id")
+
+
 def text_neighbours(index: TextIndex, questions: DataFrame, k: int = TEXT_K, texts: DataFrame | None = None) -> DataFrame:
     """(question_id, pos, text): the k most similar review chunks."""
     texts = _distinct_texts(questions) if texts is None else texts
-    nn = written(knn_sparse(_encode_questions(texts, index.text_idf), index.text_rows, k), "text_neighbours")
+    nn = written(_nearest(texts, index.text_idf, index.text_rows, k), "text_neighbours")
     return _per_question(questions, texts, _with_text(nn, index.text_docs))
 
 
@@ -237,7 +249,7 @@ def feature_neighbours(index: TextIndex, questions: DataFrame, k: int = FEATURE_
     """(question_id, pos, text): the k most similar feature documents, then the
     best one per hotel id (documents without an id are all kept)."""
     texts = _distinct_texts(questions) if texts is None else texts
-    nn = written(knn_sparse(_encode_questions(texts, index.feature_idf), index.feature_rows, k), "feature_neighbours")
+    nn = written(_nearest(texts, index.feature_idf, index.feature_rows, k), "feature_neighbours")
     near = nn.select("neighbor_id").distinct()
     keys = index.feature_docs.select(F.col("id").alias("neighbor_id"), F.col("hotel_id").cast("string").alias("key"))
     keys = keys.join(near, "neighbor_id", "left_semi").distinct()
