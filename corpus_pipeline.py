@@ -17,7 +17,7 @@ from tripgraph.llm import minhash, quality_rff, secret_forest, sp_trie, winnowin
 from tripgraph.llm.common import packed, read_table, unpacked, written
 
 # Similarity from which documents count as copies of each other, in per cent.
-NEAR = 85
+NEAR = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

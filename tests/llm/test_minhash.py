@@ -31,6 +31,15 @@ def test_sketch_does_not_depend_on_order():
     assert (minhash.sketch(x) == minhash.sketch(x[::-1])).all()
 
 
+def test_bands_miss_no_pair_at_their_threshold():
+    assert [minhash.band_rows(p) for p in (85, 80)] == [8, 6]
+    base = mix(np.arange(1, 20_001, dtype=np.uint64))
+    for k in range(150):  # 40 of 50 elements shared
+        x = base[k * 100 : k * 100 + 50]
+        a, b = (minhash.bands(minhash.sketch(s), minhash.band_rows(80)) for s in (x[:45], x[5:]))
+        assert (a == b).any()
+
+
 def corpus():
     rnd = random.Random(5)
     words = [f"w{k}" for k in range(400)]

@@ -36,6 +36,16 @@ def test_near_dedup_keeps_one_of_each_group(spark, docs):
     assert out.columns == COLUMNS and sorted(r.doc_id for r in out.collect()) == sorted(want)
 
 
+def test_near_dedup_links_at_80_per_cent(spark, docs):
+    base = [f"w{k}" for k in range(50)]  # 46 shingles; a changed word takes 5
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:25], "x", *base[26:]])), (3, " ".join([*base[:15], "x", *base[16:30], "y", *base[31:]]))]
+    a, b = (brute.shingles(t) for _, t in rows[:2])
+    assert 0.8 <= len(a & b) / len(a | b) < 0.85
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], brute.DOCS)
+    assert sorted(r.doc_id for r in cp.near_dedup(spark, df, brute.SF).collect()) == [1, 3]
+    assert cp.near_dedup(spark, docs, brute.SF).count() == 922  # by brute force at 80; 926 at 85
+
+
 def test_decontaminate(spark, docs):
     out = cp.decontaminate(spark, docs, brute.SF)
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]

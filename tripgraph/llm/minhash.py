@@ -30,7 +30,8 @@ from .words import SPACES, Words, grams, mix
 
 SHINGLE = 5
 BINS = 256
-ROWS = 8  # coordinates a band; 32 bands miss a pair at 0.85 with probability 4e-5
+# Coordinates a band: as many up to ROWS as miss a pair at the threshold with a probability of at most MISS.
+ROWS, MISS = 8, 1e-4
 # A block of full sets: at most about so many sets and elements.
 BLOCK_SETS, BLOCK_ELEMENTS = 256, 1_000_000
 # Candidate ids are broadcast up to this count (some 20 MB); beyond it the join shuffles.
@@ -63,10 +64,15 @@ def sketch(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(coords: np.ndarray) -> np.ndarray:
-    rows = coords.reshape(-1, ROWS)
+def band_rows(per_cent: int) -> int:
+    """8 (32 bands, missing 4e-5) for 85, 6 (42 bands, missing 3e-6) for 80."""
+    return next((r for r in range(ROWS, 1, -1) if (1 - (per_cent / 100) ** r) ** (BINS // r) <= MISS), 1)
+
+
+def bands(coords: np.ndarray, n_rows: int = ROWS) -> np.ndarray:
+    rows = coords[: len(coords) // n_rows * n_rows].reshape(-1, n_rows)
     h = np.arange(1, len(rows) + 1, dtype=np.uint64)
-    for j in range(ROWS):
+    for j in range(n_rows):
         h = mix(h ^ rows[:, j]) + np.uint64(j)
     return h
 
@@ -75,22 +81,25 @@ def shingle_set(words: np.ndarray) -> np.ndarray:
     return np.unique(grams(words, SHINGLE))
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "text"):
-        w = Words(*text_buffer(b.column(1)), SPACES)
-        n, key, band = [], [], []
-        for i in range(b.num_rows):
-            s = shingle_set(w.hash[w.first[i] : w.first[i + 1]])
-            n.append(len(s))
-            if len(s):
-                key.append(np.array([mix(s).sum(), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum()], np.uint64).tobytes())
-                band.append(bands(sketch(s)).view(np.int64))
-            else:
-                key.append(None)
-                band.append(None)
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64()))],
-            ["doc_id", "text_hash", "n_shingles", "set_key", "bands"])
+def _sketches(n_rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            w = Words(*text_buffer(b.column(1)), SPACES)
+            n, key, band = [], [], []
+            for i in range(b.num_rows):
+                s = shingle_set(w.hash[w.first[i] : w.first[i + 1]])
+                n.append(len(s))
+                if len(s):
+                    key.append(np.array([mix(s).sum(), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum()], np.uint64).tobytes())
+                    band.append(bands(sketch(s), n_rows).view(np.int64))
+                else:
+                    key.append(None)
+                    band.append(None)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "n_shingles", "set_key", "bands"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +202,7 @@ def near_duplicates(docs: DataFrame, per_cent: int = 80, id_col: str = "doc_id",
     """
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     kinds = "doc_id bigint, text_hash bigint, n_shingles bigint, set_key binary, bands array<bigint>"
-    sk = written(src.mapInArrow(_sketches, kinds), "sketches")
+    sk = written(src.mapInArrow(_sketches(band_rows(per_cent)), kinds), "sketches")
 
     # One class per distinct set: exact copies never meet in pairs.
     classes = written(sk.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(
