@@ -1,5 +1,6 @@
 """Secret scan: spans, redaction, forest, odd rows."""
 
+import random
 import re
 
 from tripgraph.llm import secret_forest as S
@@ -46,6 +47,32 @@ def test_odd_rows_and_redaction(spark):
     assert text.count(S.REDACTED) == 5 and not any(h in text for h in hexes) and text.count("493595293590025") == 5
 
 
+def test_whole_runs_and_assigned_values_are_candidates(spark):
+    key = "".join(f"{(k * 0x9E3779B97F4A7C15) % 16**16:016x}" for k in range(1, 76))  # 1,200 characters
+    letters = "QwErTyUiOpAsDfGhJkLzXcVbNm"
+    texts = [f"x {key} y", f"see {letters} there", 'password = "hunter2x9"', "pwd: p@ss!w0rd.", f"'secret' => '{letters}'", "api_key=abc&user=bob",
+             'password = "', "token = == x", 'token: "two words"', "author: nobody", f'"token":"{key}"', "the password is short", "auth:\n" + "z" * 9]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.value, texts[r.doc_id].index(r.value) == r.start) for r in S.findings(df, []).collect()}
+    want = {0: key, 1: letters, 2: "hunter2x9", 3: "p@ss!w0rd", 4: letters, 5: "abc", 8: "two words", 10: key, 12: "z" * 9}
+    assert got == {i: (v, True) for i, v in want.items()}
+
+
+def test_long_short_and_digitless_secrets_are_redacted_whole(spark):
+    rnd = random.Random(4)
+    values = ["".join(rnd.sample("abcdefghijklmnopqrstuvwxyz", 9 + k % 9)) for k in range(60)]
+    values += ["".join(rnd.sample("abcdefghijklmnopqrstuvwxyz0123456789", 9)) for _ in range(60)]
+    long = "".join(f"{(k * 0x9E3779B97F4A7C15) % 16**16:016x}" for k in range(1, 76))
+    rows = [(k, f'password = "{v}" and more') for k, v in enumerate(values)] + [(500 + k, f"order number 49359529{k:08d} was sent") for k in range(120)]
+    rows += [(900 + k, f'token = "{long[k:]}" end') for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    trees, words, _ = S.train(df)
+    got = {r.doc_id: r.text for r in S.redact(df, trees, words).collect()}
+    assert all(got[900 + k] == f'token = "{S.REDACTED}" end' for k in range(40))
+    assert sum(got[k] == f'password = "{S.REDACTED}" and more' for k in range(len(values))) == len(values)
+    assert all(got[k] == t for k, t in rows if 500 <= k < 900)
+
+
 def test_without_both_labels_nothing_is_a_secret(spark):
     df = spark.createDataFrame([(1, "order 4935952935900253")], "doc_id bigint, text string")
     assert [(r.score, r.secret) for r in S.scan(df).collect()] == [(0.0, False)]

@@ -1,7 +1,7 @@
 """Secret scan with a random forest that removes false positives.
 
-Candidates are long runs of token characters with a digit. Each is described by
-its length, its character transitions, the share of its letters that dictionary
+Candidates are whole runs of 16 token characters or more, and whatever is
+assigned to a name that means a secret. Each is described by its length, its character transitions, the share of its letters that dictionary
 words cover, whether it stands in a path, and the words around it. A random
 forest trained from labelled findings tells secrets from the rest.
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import packed, unpacked, written
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,256}[0-9])[A-Za-z0-9+/_-]{16,512}={0,2}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}"
 CONTEXT = 64  # characters looked at on either side
 DICTIONARY = 1_000  # most frequent words (documents that hold them) of DICTIONARY_LETTERS letters
 DICTIONARY_LETTERS = "{4,12}"
@@ -35,6 +35,13 @@ HARMLESS_WORDS = r"example|sample|dummy|placeholder|test|sha\d*|md5|hash|commit|
 KNOWN_PREFIX = r"^(?:AKIA|ASIA|AIza|ghp_|gho_|ghs_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|eyJ)"
 _ASSIGNED = r"""["'`]?\s*(?:=|:|=>|:=)\s*["'`]?$"""
 
+# A value assigned to a secret name: up to its closing quote, or else up to white space, a quote or a separator and without
+# punctuation at its end. The first two looks behind are cheap and fail nearly everywhere.
+ASSIGNED = (
+    r"""(?<=[=:>\s"'`])(?<=[=:>]\s{0,20}["'`]?)(?<=(?i:""" + SECRET_WORDS + r""")["'`]?\s{0,20}(?:=>|:=|=|:)\s{0,20}["'`]?)"""
+    r"""(?:(?<=")[^"\r\n]++(?=")|(?<=')[^'\r\n]++(?=')|(?<=`)[^`\r\n]++(?=`)|(?![=:>])[^\s"'`,;&<>(){}\[\]]*[A-Za-z0-9+/_=-])""")
+_CUT = f"{ASSIGNED}|{CANDIDATE}"
+
 
 def _share(text: Column, pattern: str, total: Column) -> Column:
     return F.length(F.regexp_replace(text, f"[^{pattern}]", "")) / total
@@ -42,7 +49,7 @@ def _share(text: Column, pattern: str, total: Column) -> Column:
 
 # name, expression over (value, before, after, dictionary), thresholds
 FEATURES: list[tuple[str, Callable[[Column, Column, Column, Column], Column], list[float]]] = [
-    ("length", lambda v, b, a, d: F.length(v), [16, 19, 23, 31, 35, 39, 47, 63, 127]),
+    ("length", lambda v, b, a, d: F.length(v), [5, 7, 9, 11, 13, 16, 19, 23, 31, 35, 39, 47, 63, 127, 511]),
     ("digits", lambda v, b, a, d: _share(v, "0-9", F.length(v)), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.75, 0.9, 0.99]),
     ("upper", lambda v, b, a, d: _share(v, "A-Z", F.length(v)), [0.01, 0.1, 0.25, 0.4, 0.6]),
     ("hex", lambda v, b, a, d: _share(v, "0-9a-fA-F", F.length(v)), [0.5, 0.7, 0.85, 0.99]),
@@ -77,7 +84,7 @@ def dictionary(docs: DataFrame, text_col: str = "text") -> list[str]:
 def _cut(docs: DataFrame, text: Column) -> DataFrame:
     """Adds found (candidates) and parts (what stands between them)."""
     some = F.coalesce(text, F.lit(""))
-    return docs.withColumns({"found": F.regexp_extract_all(some, F.lit(CANDIDATE), F.lit(0)), "parts": F.split(some, CANDIDATE, -1)})
+    return docs.withColumns({"found": F.regexp_extract_all(some, F.lit(_CUT), F.lit(0)), "parts": F.split(some, _CUT, -1)})
 
 
 def _each(make: Callable[[Column], Column]) -> Column:
@@ -95,7 +102,7 @@ def findings(docs: DataFrame, words: list[str], id_col: str = "doc_id", text_col
     """(doc_id, finding_no, start, value, before, after, <features>) of every
     candidate; start counts characters from 0."""
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = _cut(src.where(F.col("text").rlike("[0-9]")), F.col("text")).where(F.size("found") > 0)
+    rows = _cut(src, F.col("text")).where(F.size("found") > 0)
     n = F.sequence(F.lit(0), F.size("found") - 1)
     run = F.aggregate(
         n, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
@@ -116,11 +123,12 @@ def findings(docs: DataFrame, words: list[str], id_col: str = "doc_id", text_col
 
 
 def rule_labels(found: DataFrame) -> DataFrame:
-    """Adds label: 1 for values assigned to a name that means a secret or of a
-    public credential format, 0 for the rest. It stands in for findings that
-    people have labelled, where there are none."""
+    """Adds label: 1 for values assigned to a name that means a secret (but for
+    unquoted words of the dictionary and texts of several words) or of a public
+    credential format, 0 for the rest. It stands in for findings that people
+    have labelled, where there are none."""
     named = F.col("before").rlike(rf"(?i)(?:{SECRET_WORDS})\s*{_ASSIGNED}")
-    shaped = (F.col("digits") < 0.95) & (F.col("distinct") * F.col("length") >= 8)
+    shaped = (F.col("digits") < 0.95) & (F.col("distinct") * F.col("length") >= 8) & ((F.col("words") < 0.8) | (F.col("quoted") > 0)) & ~F.col("value").rlike(r"\s")
     return found.withColumn("label", ((named & shaped) | (F.col("prefix") > 0)).cast("int"))
 
 
