@@ -34,6 +34,19 @@ def test_density_finds_the_article_without_a_name():
     assert H.main_text(page) == "\n".join([LONG.strip(), "Short.", LONG.strip()])
 
 
+@pytest.mark.parametrize("page", [
+    "<div class='has-sidebar'><article><p>{}</p></article></div>", "<div id=page-with-sidebar><p>{}</p></div>", "<body><form><div><p>{}</p></div></form></body>",
+    "<article><section class='post-share-wrap'><p>{}</p></section></article>", "<div class=sidebar><main><p>{}</p></main></div>", "<aside><p>{}</p></aside>",
+    "<article><p>{}</p><section class=comments><article class=comment><p>me too</p></article></section><div class='navBar side-bar'>x</div></article>",
+])
+def test_names_do_not_remove_the_article(page):
+    assert H.main_text(page.format(LONG)) == LONG.strip()
+
+
+def test_a_footer_longer_than_the_article_goes():
+    assert H.main_text(f"<article><p>Short.</p></article><footer>{LONG}</footer>") == "Short."
+
+
 def test_deep_pages_do_not_overflow():
     assert H.main_text("<div>" * 20_000 + "x") == "x"
     assert len(H.main_text("<article>" + "<p>word " * 50_000).split("\n")) == 50_000

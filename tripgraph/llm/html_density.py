@@ -4,8 +4,11 @@ Every node of the page's tree gets a density: its characters per tag, adjusted
 by how many characters and tags are links. The densities of a node's children
 are summed; the smallest density on the path from the body to the node with the
 greatest sum is the page's threshold, and in each subtree that reaches it the
-node with the greatest sum holds content. What cannot be content by its element
-or by its class or id (menus, adverts, comments, ...) is left out first.
+node with the greatest sum holds content. An article that reaches it, or that
+holds the greatest sum, is content as a whole, but for blocks of links. What
+cannot be content by its element or by its class or id (menus, adverts,
+comments, ...) is left out first, unless it holds an article or most of the
+page's text.
 
 Pages are parsed a row at a time inside ``mapInArrow``: each page is one row,
 and a page's tree is gone before the next is read.
@@ -44,6 +47,8 @@ BOILERPLATE = frozenset(
     "breadcrumb breadcrumbs sidebar side aside rail footer foot header masthead topbar toolbar cookie cookies consent gdpr notice notices notification "
     "alert comment comments commentlist disqus reply replies respond discussion share sharing social follow subscribe subscription newsletter signup "
     "login popup modal overlay widget widgets related recommended recommendations trending pagination pager paging search searchbox skip contentinfo complementary".split())
+# Of LEFT_OUT, what holds no text of the page; the rest is left out unless it holds the article or most text.
+NO_TEXT = LEFT_OUT - frozenset("nav footer aside form button dialog menu".split())
 KEEPS = frozenset("article body html main".split())
 
 _TOKEN = re.compile(r"<!--(?:.*?--\s*>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
@@ -55,29 +60,43 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "out", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parent", "children", "out", "chars", "tags", "link_chars", "link_tags", "density", "total", "boilerplate", "holds")
 
-    def __init__(self, name: str, parent: "Node | None", out: bool):
-        self.name, self.parent, self.out = name, parent, out
+    def __init__(self, name: str, parent: "Node | None", out: bool, boilerplate: bool = False):
+        self.name, self.parent, self.out, self.boilerplate = name, parent, out, boilerplate
         self.children: list[Node | str] = []
 
 
-def _left_out(name: str, attributes: str, parent: Node) -> bool:
-    if parent.out or name in LEFT_OUT:
+def _boilerplate(name: str, attributes: str, parent: Node) -> bool:
+    if name in LEFT_OUT or name == "header" and not _inside(parent, "article", "main"):
         return True
-    if name == "header" and not _inside(parent, "article", "main"):
-        return True
-    if not attributes or name in KEEPS:
+    if not attributes or name in ("body", "html"):
         return False
     if _HIDDEN.search(attributes):
         return True
     for m in _NAMES.finditer(attributes):
-        value = m[2] or m[3] or m[4] or ""
-        if any(w.lower() in BOILERPLATE for w in _WORDS.findall(value)):
-            return True
+        for whole in (m[2] or m[3] or m[4] or "").split():
+            words = [w.lower() for w in _WORDS.findall(whole)]
+            if words and ("".join(words) in BOILERPLATE or all(w in BOILERPLATE for w in words)):
+                return True
     return False
 
 
+def _leave_out(root: Node) -> None:
+    """Boilerplate goes, unless it holds an article or main element that is none
+    itself, or most of the page's characters outside links (which says nothing
+    of an element outside the page's article: a footer may be longer)."""
+    nodes = _post_order(root)
+    for n in nodes:
+        n.chars = 0 if n.name == "a" else sum(
+            len("".join(c.split())) if isinstance(c, str) else 0 if c.out else c.chars for c in n.children)
+        n.holds = any(c.holds or c.name in ("article", "main") and not c.boilerplate for c in n.children if not isinstance(c, str) and not c.out)
+    for n in nodes:
+        if n.boilerplate and n.name not in KEEPS and not n.holds:
+            most = 2 * n.chars > root.chars and (not root.holds or _inside(n, "article", "main"))
+            n.out = not most
+
+
 def _inside(node: Node | None, *names: str) -> bool:
     while node is not None:
         if node.name in names:
@@ -128,7 +147,7 @@ def parse(page: str) -> Node:
                 up = up.parent
             if last is not None:
                 node = last.parent
-        new = Node(name, node, _left_out(name, m[3], node))
+        new = Node(name, node, node.out or name in NO_TEXT, _boilerplate(name, m[3], node))
         node.children.append(new)
         if name in VOID or m[3].endswith("/") and name not in BLOCK:
             continue
@@ -138,6 +157,7 @@ def parse(page: str) -> Node:
             at = end.end() if end else size
             continue
         node = new
+    _leave_out(root)
     return root
 
 
