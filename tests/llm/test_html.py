@@ -43,6 +43,19 @@ def test_names_do_not_remove_the_article(page):
     assert H.main_text(page.format(LONG)) == LONG.strip()
 
 
+@pytest.mark.parametrize("page, n", [
+    ("<ul>{links}</ul><article><h1>One</h1><p>{long}</p></article><article><h1>Two</h1><p>{long}{long}</p></article><article><h1>Three</h1><p>{long}</p></article>", 3),
+    ("<main><ul>{links}</ul><article><p>{long}</p><ul>{links}</ul></article><article><p>{long}</p></article></main>", 2),
+    ("<article><p>{long}</p><div><ul>{links}</ul></div><p>{long}</p></article>", 2),
+    ("<div><ul>{links}</ul></div><article><p>{long}</p></article><div><p>{long}</p></div>", 2),
+    ("<div><ul>{links}</ul></div><div><p>{long}</p></div><div><ul>{links}</ul></div><div><p>{long}</p></div>", 2),
+])
+def test_threshold_selects_over_the_whole_page(page, n):
+    lines = H.main_text("<body>" + page.format(links=LINKS, long=f"<p>{LONG}</p>")).split("\n")
+    assert "".join(lines).count(LONG.strip()) >= n and not any("Menu entry" in x for x in lines)
+    assert [h in lines for h in ("One", "Two", "Three")] == [f"<h1>{h}<" in page for h in ("One", "Two", "Three")]
+
+
 def test_a_footer_longer_than_the_article_goes():
     assert H.main_text(f"<article><p>Short.</p></article><footer>{LONG}</footer>") == "Short."
 

@@ -196,8 +196,10 @@ def measure(root: Node) -> list[Node]:
 
 
 def content(root: Node) -> list[Node]:
-    """The nodes that hold the main text, in page order: where the greatest sum
-    lies in an article or main element, that element as a whole."""
+    """The nodes that hold the main text, in page order. The threshold selects
+    over the whole tree; an article that reaches it is taken as a whole, and so
+    is the innermost article or main element around the greatest sum. Blocks
+    of links in them that do not reach the threshold are left out."""
     nodes = measure(root)
     if not root.chars:
         return []
@@ -214,16 +216,21 @@ def content(root: Node) -> list[Node]:
         threshold = min(threshold, up.density)
         named = named or (up if up.name in ("article", "main") else None)
         up = up.parent
-    if named is not None:
-        return [named]
     marked, stack = [], [root]
     while stack:
         n = stack.pop()
-        if n.density >= threshold and best[id(n)] is n:
-            marked.append(n)  # with all that lies below
+        if n is named or n.density >= threshold and (n.name == "article" or best[id(n)] is n):
+            if n.chars:
+                marked.append(n)  # with all that lies below
         else:
             stack.extend(c for c in reversed(n.children) if not isinstance(c, str) and not c.out)
-    return [n for n in marked if n.density >= threshold and n.chars]
+    stack = list(marked)
+    while stack:
+        for c in stack.pop().children:
+            if not isinstance(c, str) and not c.out:
+                c.out = c.name in BLOCK and c.link_tags > 1 and 2 * c.link_chars > c.chars and c.density < threshold
+                stack.append(c)
+    return marked
 
 
 def blocks(node: Node) -> list[str]:
