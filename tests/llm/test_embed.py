@@ -72,3 +72,25 @@ def test_audit_sees_lost_links(spark):
     links = spark.createDataFrame([(i, n) for i, (n, _) in expected(rows).items()], "node bigint, links bigint")
     assert G.audit(nodes, links, 0.95) == 1.0
     assert G.audit(nodes, links.selectExpr("node", "CAST(links DIV 2 AS BIGINT) AS links"), 0.95) < 0.6
+
+
+def test_audit_sees_rare_and_small_groups(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1_500, 16))
+    x[1_480:] = x[1_460:1_480] + 0.01 * rng.normal(size=(20, 16))  # 20 pairs among 1,500
+    rare = [(k, v.tolist()) for k, v in enumerate(x)]
+    x = x.copy()
+    x[:500] = x[0] + 0.01 * rng.normal(size=(500, 16))  # and a third of all rows in one group
+    hub = [(k, v.tolist()) for k, v in enumerate(x)]
+    for rows, kept in ((rare, set()), (hub, set(range(500)))):
+        nodes = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").mapInArrow(G._unit, "vec_id bigint, vec binary")
+        links = spark.createDataFrame([(i, n if i in kept else 0) for i, (n, _) in expected(rows).items()], "node bigint, links bigint")
+        assert G.audit(nodes.selectExpr("vec_id AS node", "vec", "CAST(1 AS BIGINT) AS copies"), links, 0.95) < 0.5
+
+
+def test_failing_search_ends_in_exact_block_pairs(spark, monkeypatch):
+    monkeypatch.setattr(G, "EXACT_BLOCK", 70)
+    monkeypatch.setattr(G, "_links", lambda nodes, least, overlap: nodes.selectExpr("node", "CAST(0 AS BIGINT) AS links", "CAST(NULL AS BIGINT) AS other"))
+    rows = vectors()
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in G.near_duplicate_vectors(df).collect()} == expected(rows)

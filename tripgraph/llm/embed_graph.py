@@ -8,7 +8,7 @@ vector then searches its shards: a beam walks greedily from the shard's medoid,
 and from the near vectors it meets (and its own place) the search expands over
 all edges while it stays in range. Links are checked by the cosine in double
 precision. Recall is audited against brute force on a sample; if it is too low,
-the work is done again with more overlap.
+the work is done again with more overlap, and at last by exact block pairs.
 
 A shard beyond its size is cut into blocks by hash, each a graph of its own
 that all vectors of the shard search, so no task holds an unbounded shard.
@@ -35,7 +35,10 @@ CANDIDATES, DEGREE, ALPHA = 64, 24, 1.2
 BEAM, SLACK = 12, 0.04
 QUERIES = 256  # searched together
 OVERLAPS = (2, 4, 8)
-AUDIT, RECALL = 400, 0.95
+# Nodes drawn at first, and linked ones (outside groups of a HUB of all rows) needed among all drawn; least recall.
+AUDIT, LINKED, HUB, RECALL = 400, 100, 0.05, 0.95
+AUDIT_AT_ONCE = 4_096
+EXACT_BLOCK = 2_048
 
 
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,13 +313,52 @@ def _links(nodes: DataFrame, least: float, overlap: int) -> DataFrame:
         _search(least), "node bigint, links bigint, other bigint")
 
 
-def audit(nodes: DataFrame, links: DataFrame, least: float, sample: int = AUDIT) -> float:
-    """Share of the links of a sample of nodes that ``links`` (node, links)
-    has; the true links are counted by brute force against all nodes."""
-    spark = nodes.sparkSession
-    some = nodes.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(sample).select("node", "vec").toArrow()
-    ids, x = some["node"].to_numpy(), _matrix(some["vec"].combine_chunks())
-    shared = spark.sparkContext.broadcast((ids, x))
+def _exact(nodes: DataFrame, least: float) -> DataFrame:
+    """(node, links, other) of every pair, by blocks of bounded size."""
+    blocks = -(-nodes.count() // EXACT_BLOCK)
+    own = nodes.select("node", "vec", "copies", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("block"))
+    dealt = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).select(
+        F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "vec", "copies")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(key: tuple, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block, ids, copies = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in (2, 3, 5))
+            x = np.concatenate([_matrix(p.column(4)) for p in parts])
+            right = np.flatnonzero(block == key[1])
+            left = np.flatnonzero(block == key[0])
+            total, u, v = np.zeros(len(ids), np.int64), [], []
+            for a in range(0, len(left), QUERIES):
+                q = left[a : a + QUERIES]
+                near = (x[q] @ x[right].T >= least) & (q[:, None] != right[None, :])
+                total[q] += near @ copies[right]
+                if key[0] != key[1]:
+                    total[right] += copies[q] @ near
+                i, j = np.nonzero(near)
+                if len(i):
+                    n, low = _joined(ids[q[i]], ids[right[j]])
+                    u.append(n[n != low])
+                    v.append(low[n != low])
+            u, v = (np.concatenate([np.zeros(0, np.int64), *w]) for w in (u, v))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([ids, u]), pa.int64()), pa.array(np.concatenate([total, np.zeros(len(u), np.int64)]), pa.int64()),
+                 pa.array([None] * len(ids) + v.tolist(), pa.int64())], ["node", "links", "other"])
+
+        key, parts = None, []
+        for k, part in _groups(batches):
+            if k != key:
+                if parts:
+                    yield from links(key, parts)
+                key, parts = k, []
+            parts.append(part)
+        if parts:
+            yield from links(key, parts)
+
+    return dealt.repartition("bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(pairs, "node bigint, links bigint, other bigint")
+
+
+def _truth(nodes: DataFrame, some: pa.Table, least: float) -> DataFrame:
+    """(node, truth): links of some of the nodes by brute force against all."""
+    shared = nodes.sparkSession.sparkContext.broadcast((some["node"].to_numpy(), _matrix(some["vec"].combine_chunks())))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x = shared.value
@@ -327,9 +369,33 @@ def audit(nodes: DataFrame, links: DataFrame, least: float, sample: int = AUDIT)
                 total += (near * b.column(2).to_numpy()[:, None]).sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total, pa.int64())], ["node", "truth"])
 
-    truth = nodes.select("node", "vec", "copies").mapInArrow(count, "node bigint, truth bigint").groupBy("node").agg(F.sum("truth").alias("truth"))
-    got = truth.join(links, "node", "left").agg(F.sum(F.least("links", "truth")), F.sum("truth")).first()
-    return (got[0] or 0) / got[1] if got[1] else 1.0
+    return nodes.select("node", "vec", "copies").mapInArrow(count, "node bigint, truth bigint").groupBy("node").agg(F.sum("truth").alias("truth"))
+
+
+def audit(nodes: DataFrame, links: DataFrame, least: float, sample: int = AUDIT) -> float:
+    """Recall of ``links`` (node, links) on a sample of nodes, whose true links
+    are counted by brute force against all nodes: the mean over the linked ones
+    in which each counts the same, or that in which each group does (a node
+    weighs 1 / (1 + links)), whichever is less. Nodes are drawn until LINKED
+    linked ones outside the greatest groups are found, or all are drawn."""
+    size, rows = nodes.agg(F.count(F.lit(1)), F.sum("copies")).first()
+    order = nodes.withColumn("h", F.xxhash64("node", F.lit(1)))
+    last, drawn, want, found = None, 0, sample, []
+    while drawn < size:
+        rest = order if last is None else order.where((F.col("h") > last[0]) | (F.col("h") == last[0]) & (F.col("node") > last[1]))
+        some = rest.orderBy("h", "node").limit(min(want, AUDIT_AT_ONCE)).select("h", "node", "vec").toArrow()
+        if not some.num_rows:
+            break
+        last, drawn, want = (some["h"][-1].as_py(), some["node"][-1].as_py()), drawn + some.num_rows, 4 * want
+        got = _truth(nodes, some, least).where("truth > 0").join(links, "node", "left").select(
+            "truth", F.least(F.coalesce("links", F.lit(0)), "truth").alias("links"))
+        found += [(r["truth"], r["links"]) for r in got.collect()]
+        if sum(t <= max(1, HUB * rows) for t, _ in found) >= LINKED:
+            break
+    if not found:
+        return 1.0
+    truth, got = np.array(found, np.float64).T
+    return float(min((got / truth).mean(), np.average(got / truth, weights=1 / (1 + truth))))
 
 
 def near_duplicate_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -357,6 +423,8 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.95, id_col: str
             part = written(_links(own, least, overlap), "vector_links")
             if audit(own, part.groupBy("node").agg(F.sum("links").alias("links")), least) >= RECALL:
                 break
+        else:
+            part = written(_exact(own, least), "vector_links")
         parts.append(part)
     if not parts:
         return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
