@@ -54,6 +54,21 @@ def test_scores_do_not_depend_on_ids_or_partitions(spark):
     assert max(abs(a[k] - b[k]) for k in a) < 1e-6
 
 
+def test_short_words_are_evidence(spark):
+    rnd = np.random.default_rng(6)
+    words = [f"{a}{b}{c}" for a in "kst" for b in "aeiou" for c in ("mer", "lin", "n", "rdo")]
+    texts = [[str(w) for w in rnd.choice(words, 60)] for _ in range(160)]
+    for t in texts[:80]:
+        t[30] = "scum"
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k < 80)) for k in range(160)], "doc_id bigint, toxic int")
+    made = toxicity_zstd.train_dictionaries(docs, labels, "toxic")
+    assert b" scum " in made.toxic and b" scum" not in made.ordinary
+    plain = [" ".join(t[:6]).encode() for t in texts]
+    marked = [" ".join(["scum", *t[:5]]).encode() for t in texts]
+    assert made.evidence(marked).mean() > 0.2 > 0.05 > made.evidence(plain).mean()
+
+
 def test_isotonic_rises():
     x, y = isotonic(np.arange(6.0), np.array([1, 1, 2, 1, 1, 1.0]), np.array([0, 1, 0, 1, 0, 1.0]))
     assert (np.diff(y) > 0).all() and (np.diff(x) > 0).all()

@@ -2,8 +2,8 @@
 
 Two zstandard dictionaries are made from labelled text. The ordinary one is
 trained on windows of ordinary documents. The toxic one holds the same content
-and, at its end, the word beginnings of toxic documents whose document counts
-stand out against ordinary ones (log-likelihood ratio); the ordinary windows
+and, at its end, the words and word beginnings of toxic documents whose document
+counts stand out against ordinary ones (log-likelihood ratio); the ordinary windows
 are those without them, so the dictionaries differ in what marks toxic text
 and agree on the rest. Every window of a document is compressed with either;
 what the toxic dictionary saves is the window's evidence. A document's evidence
@@ -31,7 +31,7 @@ WINDOW_WORDS = 6
 # ordinary one from at most so many of their windows, again by hash.
 TRAIN_DOCS, TRAIN_WINDOWS = 10_000, 40_000
 DICT_BYTES = 65_536
-# Word beginnings (in bytes) that may tell toxic text; how many are kept, and from which support and ratio on.
+# Word beginnings (in bytes) that may tell toxic text, beside whole words; how many are kept, and from which support and ratio on.
 BEGIN = range(5, 9)
 MOST_PIECES, SUPPORT, LIFT, RATIO = 2_000, 4, 3, 14.0
 LEVEL = 3
@@ -74,7 +74,7 @@ class Dictionaries:
                 d.precompute_compress(level=LEVEL)
                 self._made.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False))
         a, b = (c.compress for c in self._made)
-        return np.array([len(a(b" " + p)) - len(b(b" " + p)) for p in parts], np.float64)
+        return np.array([len(a(b" " + p + b" ")) - len(b(b" " + p + b" ")) for p in parts], np.float64)
 
 
 def _summary(e: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -108,7 +108,9 @@ def _ordinary_content(parts: list[bytes]) -> bytes:
 
 
 def _begins(part: bytes) -> set[bytes]:
-    return {w[:k] for w in part.split() for k in BEGIN if len(w) >= k}
+    """Beginnings of the window's words, and the words with an end mark."""
+    own = part.split()
+    return {w[:k] for w in own for k in BEGIN if len(w) >= k} | {w + b" " for w in own}
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +130,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _telling(rows: DataFrame, size: dict[int, int]) -> list[bytes]:
-    """At most MOST_PIECES word beginnings, the most telling last."""
+    """At most MOST_PIECES words and word beginnings, the most telling last."""
     counts = rows.select("label", "text").mapInArrow(_pieces, "label int, piece binary, n bigint").groupBy("piece").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"),
         F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"))
@@ -165,7 +167,8 @@ def train_dictionaries(docs: DataFrame, labels: DataFrame, label_col: str) -> Di
     parts = rows.where("label = 0").select(F.lit(0).alias("label"), "text").mapInArrow(cut, "part binary")
     parts = parts.orderBy(F.xxhash64("part"), "part").limit(TRAIN_WINDOWS).toArrow()["part"].to_pylist()
     ordinary = _ordinary_content(parts)
-    return Dictionaries(ordinary, ordinary + b"".join(b" " + t for t in telling))
+    # zstandard does not index the last 8 bytes, which would be the most telling piece.
+    return Dictionaries(ordinary, ordinary + b"".join(b" " + t for t in telling) + b" " * 8)
 
 
 def _evidence_rows(shared):
