@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_graph, html_density, minhash, oracles, quality_rff, secret_forest, sp_trie, token_count, toxicity_zstd, warc_chunks, winnowing
+from . import (embed_graph, filter_audit, html_density, line_dedup, merkle, minhash, oracles, quality_rff, secret_forest, sp_trie, token_count,
+               toxicity_zstd, warc_chunks, winnowing)
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +65,19 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
                        F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_audit(read_table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -76,4 +90,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_minhash_near_dedup": oracles.near_dedup(85),
         "op9_embedding_near_dedup": oracles.near_vectors(0.95),
         "op10_benchmark_decontamination": oracles.contamination(),
+        "op11_filter_interaction_audit": oracles.filter_audit(),
+        "op12_merkle_manifest": oracles.manifest(),
+        "op13_line_dedup": oracles.line_dedup(),
     }
