@@ -8,7 +8,8 @@ shared span of ``WINDOW`` words is found. Documents whose fingerprints occur
 among the items' are extended around each hit: all ``WINDOW``-word windows that
 cover the fingerprint are compared with the items' windows. Items with fewer
 than ``WINDOW`` words are one window of their own length; their lengths (at
-most ``WINDOW - 1`` of them) are compared position by position.
+most ``WINDOW - 1`` of them) are compared position by position. A window is
+compared by two independent hashes of 64 bits each.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .common import packed, slices, text_buffer, unpacked, written
 from .words import NON_WORD, Words, grams, mix
 
 WINDOW, K = 10, 5
-# Windows of all items that are broadcast at most (16 bytes each); beyond it fingerprints are joined by shuffles.
+# Windows of all items that are broadcast at most (24 bytes each); beyond it fingerprints are joined by shuffles.
 BROADCAST_WINDOWS = 500_000
 
 
@@ -37,37 +38,41 @@ def fingerprints(words: np.ndarray) -> np.ndarray:
     return np.unique(np.arange(len(win)) + (w - 1 - np.argmin(win[:, ::-1], axis=1)))
 
 
-def _window_hash(words: np.ndarray, length: int) -> np.ndarray:
-    return mix(grams(words, length) + np.uint64(length)) if len(words) >= length else np.zeros(0, np.uint64)
+def _windows(words: np.ndarray, length: int) -> np.ndarray:
+    """Both hashes (one row each) of every window of ``length`` words."""
+    if words.shape[1] < length:
+        return np.zeros((2, 0), np.uint64)
+    return np.stack([mix(grams(row, length) + np.uint64(length)) for row in words])
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(item_id, length, window, prints) of each distinct window of an item:
-    the fingerprints that occur in it."""
+    """(item_id, length, window, proof, prints) of each distinct window of an
+    item: its hashes and the fingerprints that occur in it."""
     for b in slices(batches, "text"):
         w = Words(*text_buffer(b.column(1)), NON_WORD)
-        ids, length, window, prints = [], [], [], []
+        ids, length, window, proof, prints = [], [], [], [], []
         for i in range(b.num_rows):
-            words = w.hash[w.first[i] : w.first[i + 1]]
-            size = min(len(words), WINDOW)
+            words = w.of(i)
+            size = min(words.shape[1], WINDOW)
             if not size:
                 continue
-            h = _window_hash(words, size)
-            at = fingerprints(words) if size == WINDOW else None
-            g = grams(words, K) if size == WINDOW else None
-            _, first = np.unique(h, return_index=True)
+            h = _windows(words, size).view(np.int64)
+            at = fingerprints(words[0]) if size == WINDOW else None
+            g = grams(words[0], K) if size == WINDOW else None
+            _, first = np.unique(h, axis=1, return_index=True)
             for s in first:
                 ids.append(b.column(0)[i].as_py())
                 length.append(size)
-                window.append(int(h[s].view(np.int64)))
+                window.append(int(h[0, s]))
+                proof.append(int(h[1, s]))
                 near = [] if at is None else g[at[(at >= s) & (at <= s + WINDOW - K)]].view(np.int64).tolist()
                 prints.append(near)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(length, pa.int32()), pa.array(window, pa.int64()), pa.array(prints, pa.list_(pa.int64()))],
-            ["item_id", "length", "window", "prints"])
+            [pa.array(ids, pa.int64()), pa.array(length, pa.int32()), pa.array(window, pa.int64()), pa.array(proof, pa.int64()), pa.array(prints, pa.list_(pa.int64()))],
+            ["item_id", "length", "window", "proof", "prints"])
 
 
-ITEM_WINDOWS = "item_id bigint, length int, window bigint, prints array<bigint>"
+ITEM_WINDOWS = "item_id bigint, length int, window bigint, proof bigint, prints array<bigint>"
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -80,41 +85,48 @@ class _Index:
     windows there are, and the items of each window."""
 
     def __init__(self, rows: pa.Table):
-        item, length, window = (rows.column(i).to_numpy() for i in range(3))
+        item, length, window, proof = (rows.column(i).to_numpy() for i in range(4))
         self.lengths = sorted({int(x) for x in length if x < WINDOW})
-        prints = rows.column(3).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        prints = rows.column(4).combine_chunks().flatten().to_numpy(zero_copy_only=False)
         self.prints = np.unique(prints.astype(np.int64).view(np.uint64))
-        h = window.astype(np.int64).view(np.uint64)
-        order = np.lexsort((item, h))
-        self.items, h = item[order].astype(np.int64), h[order]
-        self.windows, self.first = np.unique(h, return_index=True)
-        self.first = np.append(self.first, len(h))
+        h, c = (x.astype(np.int64).view(np.uint64) for x in (window, proof))
+        order = np.lexsort((item, c, h))
+        self.items, h, c = item[order].astype(np.int64), h[order], c[order]
+        new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))) if len(h) else np.zeros(0, np.int64)
+        self.windows, self.proofs = h[new], c[new]
+        self.first = np.append(new, len(h))
+        # Windows that share their first hash: one, unless it collides.
+        self.most = int(np.unique(self.windows, return_counts=True)[1].max()) if len(new) else 0
 
     def scan(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which words are hit, which windows occur) in one document."""
-        hit, found = np.zeros(len(words), bool), []
+        n = words.shape[1]
+        hit, found = np.zeros(n, bool), []
         for length in self.lengths:
-            if len(words) >= length:
-                self._mark(_window_hash(words, length), np.arange(len(words) - length + 1), length, hit, found)
-        if len(words) >= WINDOW and len(self.prints):
-            at = fingerprints(words)
-            at = at[_member(self.prints, grams(words, K)[at])]
+            if n >= length:
+                self._mark(_windows(words, length), np.arange(n - length + 1), length, hit, found)
+        if n >= WINDOW and len(self.prints):
+            at = fingerprints(words[0])
+            at = at[_member(self.prints, grams(words[0], K)[at])]
             if len(at):
                 near = np.unique((at[:, None] - np.arange(WINDOW - K + 1)[None, :]).ravel())
-                near = near[(near >= 0) & (near <= len(words) - WINDOW)]
-                self._mark(_window_hash(words, WINDOW), near, WINDOW, hit, found)
+                near = near[(near >= 0) & (near <= n - WINDOW)]
+                self._mark(_windows(words, WINDOW), near, WINDOW, hit, found)
         return hit, np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
-    def _mark(self, h: np.ndarray, places: np.ndarray, length: int, hit: np.ndarray, found: list) -> None:
-        h = h[places]
-        ok = _member(self.windows, h)
-        if ok.any():
-            places = places[ok]
-            edge = np.zeros(len(hit) + 1, np.int64)
-            np.add.at(edge, places, 1)
-            np.add.at(edge, places + length, -1)
-            hit |= np.cumsum(edge)[:-1] > 0
-            found.append(np.searchsorted(self.windows, np.unique(h[ok])))
+    def _mark(self, hashes: np.ndarray, places: np.ndarray, length: int, hit: np.ndarray, found: list) -> None:
+        h, c = hashes[:, places]
+        maybe = np.flatnonzero(_member(self.windows, h))
+        for k in range(self.most):
+            at = np.minimum(np.searchsorted(self.windows, h[maybe]) + k, len(self.windows) - 1)
+            ok = (self.windows[at] == h[maybe]) & (self.proofs[at] == c[maybe])
+            if ok.any():
+                start = places[maybe[ok]]
+                edge = np.zeros(len(hit) + 1, np.int64)
+                np.add.at(edge, start, 1)
+                np.add.at(edge, start + length, -1)
+                hit |= np.cumsum(edge)[:-1] > 0
+                found.append(np.unique(at[ok]))
 
     def items_of(self, windows: np.ndarray) -> list[int]:
         parts = [self.items[self.first[k] : self.first[k + 1]] for k in windows]
@@ -135,7 +147,7 @@ def _scan(shared):
             w = Words(*text_buffer(b.column(1)), NON_WORD)
             n_hit, items = [], []
             for i in range(b.num_rows):
-                hit, windows = index.scan(w.hash[w.first[i] : w.first[i + 1]])
+                hit, windows = index.scan(w.of(i))
                 n_hit.append(int(hit.sum()))
                 items.append(index.items_of(windows))
             yield pa.RecordBatch.from_arrays(
@@ -147,27 +159,28 @@ def _scan(shared):
 
 def _candidates(lengths: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (row_id, n_words, print, places, lengths, windows): for each
-        fingerprint, the windows that cover it; for a short length (print
+        """Rows (row_id, n_words, print, places, length, windows, proofs): for
+        each fingerprint, the windows that cover it; for a short length (print
         null), every window. A document without either gives one bare row."""
         for b in slices(batches, "text"):
             w = Words(*text_buffer(b.column(1)), NON_WORD)
             out = []
             for i in range(b.num_rows):
-                words, row = w.hash[w.first[i] : w.first[i + 1]], b.column(0)[i].as_py()
-                out.append((row, len(words), None, [], 0, []))
+                words, row = w.of(i), b.column(0)[i].as_py()
+                n = words.shape[1]
+                out.append((row, n, None, [], 0, [], []))
                 for length in lengths:
-                    h = _window_hash(words, length).view(np.int64)
-                    out.append((row, len(words), None, list(range(len(h))), length, h.tolist()))
-                if len(words) >= WINDOW:
-                    g, h = grams(words, K).view(np.int64), _window_hash(words, WINDOW).view(np.int64)
-                    for p in fingerprints(words).tolist():
+                    h, c = _windows(words, length).view(np.int64).tolist()
+                    out.append((row, n, None, list(range(len(h))), length, h, c))
+                if n >= WINDOW:
+                    g, (h, c) = grams(words[0], K).view(np.int64), _windows(words, WINDOW).view(np.int64)
+                    for p in fingerprints(words[0]).tolist():
                         a, z = max(0, p - WINDOW + K), min(len(h), p + 1)
-                        out.append((row, len(words), int(g[p]), list(range(a, z)), WINDOW, h[a:z].tolist()))
+                        out.append((row, n, int(g[p]), list(range(a, z)), WINDOW, h[a:z].tolist(), c[a:z].tolist()))
             cols = list(zip(*out))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
-                                             ["row_id", "n_words", "print", "places", "length", "windows"])
+                                             ["row_id", "n_words", "print", "places", "length", "windows", "proofs"])
 
     return run
 
@@ -177,15 +190,17 @@ def _by_shuffles(src: DataFrame, windows: DataFrame) -> DataFrame:
     the items' fingerprints, the windows around hits join the items' windows."""
     lengths = sorted(r[0] for r in windows.where(F.col("length") < WINDOW).select("length").distinct().collect())
     rows = written(src.withColumn("row_id", F.monotonically_increasing_id()), "decontamination_rows")
-    kinds = "row_id bigint, n_words bigint, print bigint, places array<int>, length int, windows array<bigint>"
+    kinds = "row_id bigint, n_words bigint, print bigint, places array<int>, length int, windows array<bigint>, proofs array<bigint>"
+    same = ["window", "proof", "length"]
     cand = written(rows.select("row_id", "text").mapInArrow(_candidates(lengths), kinds), "decontamination_windows")
     prints = windows.select(F.explode("prints").alias("print")).distinct()
     near = cand.where("print IS NULL").unionByName(cand.join(prints, "print", "left_semi"))
-    spots = near.select("row_id", "length", F.inline(F.arrays_zip(F.col("places").alias("place"), F.col("windows").alias("window")))).distinct()
-    found = written(spots.join(windows.select("window", "length").distinct(), ["window", "length"], "left_semi"), "decontamination_spots")
+    spots = near.select("row_id", "length", F.inline(F.arrays_zip(
+        F.col("places").alias("place"), F.col("windows").alias("window"), F.col("proofs").alias("proof")))).distinct()
+    found = written(spots.join(windows.select(*same).distinct(), same, "left_semi"), "decontamination_spots")
     words = found.select("row_id", F.explode(F.sequence(F.col("place"), F.col("place") + F.col("length") - 1)).alias("word")).distinct()
     hits = words.groupBy("row_id").agg(F.count(F.lit(1)).alias("n_hit"))
-    items = found.select("row_id", "window", "length").distinct().join(windows.select("window", "length", "item_id"), ["window", "length"])
+    items = found.select("row_id", *same).distinct().join(windows.select(*same, "item_id"), same)
     items = items.groupBy("row_id").agg(F.collect_set("item_id").alias("items"))
     sizes = cand.where("length = 0").select("row_id", "n_words")
     return rows.select("row_id", "doc_id").join(sizes, "row_id").join(hits, "row_id", "left").join(items, "row_id", "left").select(

@@ -1,17 +1,26 @@
-"""Words of whole text batches as 64-bit hashes, without a Python loop per word.
+"""Words of whole text batches and their hashes.
 
-A word never crosses a text's end. Hashes are taken from a polynomial prefix
-sum over the bytes (mod 2^64) and then mixed, so equal words have equal hashes
-wherever they stand.
+A word never crosses a text's end. Words of up to ``SHORT`` bytes are hashed in
+blocks of eight bytes, each mixed into two 64-bit states before the next one
+(no sum over the bytes, whose structure would let different words collide);
+longer ones with BLAKE2b. ``hash`` is the first state; ``check``, the second,
+tells words apart where hashes are compared between all texts.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+from hashlib import blake2b
+
 import numpy as np
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+SHORT = 64
+# Words hashed at once.
+_PIECE = 1 << 20
+# First bytes of a block of eight, by their number.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_START = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+_STEP = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 # Byte classes: white space, and everything but letters, digits and non-ASCII.
 SPACES = np.zeros(256, bool)
@@ -29,35 +38,61 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for i, base in enumerate((_BASE, _INV)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _POWERS[i] = np.cumprod(p)
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
 class Words:
-    """Words of a batch: ``hash``, ``start`` and ``end`` (byte places) per word,
-    ``first[i]:first[i + 1]`` the words of text i."""
+    """Words of a batch: ``start`` and ``end`` (byte places) and ``hash`` and
+    ``check`` per word, ``first[i]:first[i + 1]`` the words of text i. A-Z and
+    a-z are the same letters to the hashes."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray):
-        data = LOWER[data]
-        inside = ~separators[data]
-        before = np.concatenate(([False], inside[:-1])) if len(data) else inside
-        after = np.concatenate((inside[1:], [False])) if len(data) else inside
-        edge = offsets[:-1][offsets[:-1] < len(data)]
-        before[edge] = False
-        after[offsets[1:][offsets[1:] > 0] - 1] = False
-        start = np.flatnonzero(inside & ~before)
-        end = np.flatnonzero(inside & ~after) + 1
-        self.start, self.end = start, end
-        self.first = np.searchsorted(start, offsets)
-        up, down = _powers(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-        self.hash = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+        self._data = data
+        inside = ~separators[LOWER[data]]
+        edge = inside.copy()
+        edge[1:] &= ~inside[:-1]
+        begin = offsets[:-1][offsets[:-1] < len(data)]
+        edge[begin] = inside[begin]
+        self.start = np.flatnonzero(edge)
+        edge[:] = inside
+        edge[:-1] &= ~inside[1:]
+        stop = offsets[1:][offsets[1:] > 0] - 1
+        edge[stop] = inside[stop]
+        self.end = np.flatnonzero(edge) + 1
+        self.first = np.searchsorted(self.start, offsets)
+
+    @cached_property
+    def _both(self) -> np.ndarray:
+        out = np.empty((2, len(self.start)), np.uint64)
+        low = np.concatenate((LOWER[self._data], np.zeros(8, np.uint8)))
+        block = np.ndarray((len(self._data) + 1,), "<u8", low, strides=(1,))
+        for a in range(0, len(self.start), _PIECE):
+            self._hash(out[:, a : a + _PIECE], block, self.start[a : a + _PIECE], self.end[a : a + _PIECE])
+        for k in np.flatnonzero(self.end - self.start > SHORT):
+            out[:, k] = np.frombuffer(blake2b(low[self.start[k] : self.end[k]], digest_size=16).digest(), np.uint64)
+        return out
+
+    @staticmethod
+    def _hash(out: np.ndarray, block: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        size = np.minimum(end - start, SHORT)
+        out[:] = _START[:, None] * (size + 1).astype(np.uint64)
+        at = np.arange(len(start))
+        for done in range(0, SHORT, 8):
+            at = at[size[at] > done] if done else at
+            if not len(at):
+                break
+            eight = block[start[at] + done] & _KEEP[np.minimum(size[at] - done, 8)]
+            for state, step in zip(out, _STEP):
+                state[at] = mix((state[at] ^ eight) * step + np.uint64(done))
+
+    @property
+    def hash(self) -> np.ndarray:
+        return self._both[0]
+
+    @property
+    def check(self) -> np.ndarray:
+        return self._both[1]
+
+    def of(self, i: int) -> np.ndarray:
+        """``hash`` and ``check`` of the words of text i, one row each."""
+        return self._both[:, self.first[i] : self.first[i + 1]]
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -72,5 +107,6 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h) - k + 1
     out = h[:n] + np.uint64(k)
     for j in range(1, k):
-        out = out * np.uint64(0xD1342543DE82EF95) + h[j : j + n]
+        out *= np.uint64(0xD1342543DE82EF95)
+        out += h[j : j + n]
     return mix(out)
