@@ -21,7 +21,12 @@ def test_neighbours_do_not_depend_on_the_files_layout(spark):
 
 def test_text_neighbours_match_brute_force(spark):
     idx, (got, _) = answers(spark, 2)
-    docs = {r["id"]: dict(zip(r["tokens"], r["weights"])) for r in idx.text_rows.collect()}
+    docs = {}
+    postings = idx.text_vectors.postings.collect()
+    ids = {r["block"]: r["ids"] for r in postings}
+    for r in postings:
+        for row, w in zip(r["rows"], r["weights"]):
+            docs.setdefault(ids[r["block"]][row], {})[r["token"]] = w
     text_of = {r["id"]: r["text"] for r in idx.text_docs.collect()}
     q = questions(spark, SMOKE)
     vectors = {r["id"]: dict(zip(r["tokens"], r["weights"])) for r in cx._encode_questions(q, idx.text_idf).collect()}
@@ -44,6 +49,16 @@ def test_long_reviews_are_cut_at_words_and_found(spark):
     assert "word333" in got[1, 1] and got[2, 1] == "Hotel: Alpha. Review: short one" and len(got) == 6
 
 
+def test_reviews_without_ids_are_told_apart_by_their_text(spark):
+    hotels = spark.createDataFrame([(1, "Alpha")], "hotel_id bigint, hotel_name string")
+    reviews = spark.range(2000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'r' || (id % 7) END AS review_id", "1L AS hotel_id", "'text ' || (id % 900) AS review_text",
+        *[f"CAST(9 AS DOUBLE) AS {c}" for _, c in FEATURE_FIELDS])
+    docs = cx._chunks(cx.review_docs(reviews, hotels))
+    n, ids = docs.selectExpr("count(DISTINCT COALESCE(review_id, ''), chunk_no, text)", "count(DISTINCT id)").first()
+    assert n == ids and docs.where("length(id) < 64").count() == 0
+
+
 def test_stored_models_answer_by_short_name(spark, tmp_path):
     import pytest
 

@@ -211,9 +211,10 @@ def _block_pairs(queries: DataFrame, corpus: DataFrame, cols: list[str], query_r
     return both.select("qb", "cb", "kind", "row", F.struct("query_id", "neighbor_id").alias("ids"), *cols).repartition("qb", "cb").sortWithinPartitions("qb", "cb", "kind")
 
 
-def _knn(queries: DataFrame, corpus: DataFrame, k: int, cols: list[str], scores: Callable, query_rows: int, corpus_rows: int) -> DataFrame:
-    pairs = _block_pairs(queries, corpus, cols, query_rows, corpus_rows)
-    kinds = dict(queries.dtypes)["id"], dict(corpus.dtypes)["id"]
+def _best_in_blocks(pairs: DataFrame, kinds: tuple[str, str], k: int, scores: Callable) -> DataFrame:
+    """(query_row, query_id, neighbor_id, score): each query's k best in every
+    block pair. ``pairs``: qb, cb, kind, row, ids, the vectors' columns; rows of
+    a pair stand together, the queries (kind 0) first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sides = None, ([], [])
@@ -243,7 +244,12 @@ def _knn(queries: DataFrame, corpus: DataFrame, k: int, cols: list[str], scores:
         if sides[0] and sides[1]:
             yield done()
 
-    out = pairs.mapInArrow(run, f"query_row bigint, query_id {kinds[0]}, neighbor_id {kinds[1]}, score double")
+    return pairs.mapInArrow(run, f"query_row bigint, query_id {kinds[0]}, neighbor_id {kinds[1]}, score double")
+
+
+def _knn(queries: DataFrame, corpus: DataFrame, k: int, cols: list[str], scores: Callable, query_rows: int, corpus_rows: int) -> DataFrame:
+    pairs = _block_pairs(queries, corpus, cols, query_rows, corpus_rows)
+    out = _best_in_blocks(pairs, (dict(queries.dtypes)["id"], dict(corpus.dtypes)["id"]), k, scores)
     ranked = top_k_per(out, ["query_row"], [F.desc("score"), F.asc("neighbor_id")], k, "pos")
     return ranked.select("query_id", "pos", "neighbor_id", "score")
 

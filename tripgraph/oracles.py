@@ -389,6 +389,38 @@ SELECT {id_col}, CAST(g // {step} + 1 AS INTEGER) AS chunk_no, piece AS text{kee
 WHERE piece <> ''"""
 
 
+def _recursive_chunks_sql(table: str, id_col: str, keep: str) -> str:
+    """Chunks by recursive splitting, of a table with a text column. Each level
+    splits what the one before left too long; runs of short parts are walked
+    from piece to piece over pointers found by nearest-value joins."""
+    from .operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, WHITE_SPACE
+
+    seps = ["chr(10) || chr(10)", "chr(10)", "' '", "''"]
+    ctes = [f"src AS (SELECT row_number() OVER () AS rid, * FROM {table} WHERE text IS NOT NULL)", "big0 AS (SELECT rid, CAST(0 AS BIGINT) AS a, text AS piece FROM src)"]
+    for k, sep in enumerate(seps):
+        here, none = ("TRUE", "FALSE") if sep == "''" else (f"instr(piece, {sep}) > 0", f"instr(piece, {sep}) = 0")
+        ctes.append(f"""
+cut{k} AS (SELECT rid, a AS parent, n, a + CAST(sum(len) OVER w AS BIGINT) - len AS a, CAST(len AS BIGINT) AS len, part FROM (
+  SELECT rid, a, n, CASE WHEN n = 1 THEN s ELSE {sep} || s END AS part, length(s) + CASE WHEN n = 1 THEN 0 ELSE length({sep}) END AS len FROM (
+    SELECT rid, a, unnest(range(1, len(ps) + 1)) AS n, unnest(ps) AS s FROM (SELECT rid, a, string_split(piece, {sep}) AS ps FROM big{k} WHERE {here}) p0) p1) p2
+  WHERE len > 0 WINDOW w AS (PARTITION BY rid, a ORDER BY n)),
+small{k} AS (SELECT rid, {k} AS lvl, parent, count(*) FILTER (len >= {CHUNK_SIZE}) OVER (PARTITION BY rid, parent ORDER BY n) AS run, a, a + len AS z, len FROM cut{k})""")
+        if k < 3:
+            ctes.append(f"big{k + 1} AS (SELECT rid, a, part AS piece FROM cut{k} WHERE len >= {CHUNK_SIZE} UNION ALL SELECT rid, a, piece FROM big{k} WHERE {none})")
+    parts = " UNION ALL ".join(f"SELECT rid || '/' || lvl || '/' || parent || '/' || run AS run, rid, a, z FROM small{k} WHERE len < {CHUNK_SIZE}" for k in range(4))
+    white = " || ".join(f"chr({ord(c)})" for c in WHITE_SPACE)
+    return f"""
+WITH RECURSIVE {', '.join(ctes)},
+part AS (SELECT *, lead(z) OVER (PARTITION BY run ORDER BY a) AS nz FROM ({parts}) u),
+reach AS (SELECT x.run, x.rid, x.a, y.z, y.nz FROM (SELECT *, a + {CHUNK_SIZE} AS lim FROM part) x ASOF JOIN part y ON x.run = y.run AND x.lim >= y.z),
+hop AS (SELECT x.*, y.a AS na FROM (SELECT *, greatest(z - {CHUNK_OVERLAP}, nz - {CHUNK_SIZE}) AS lim FROM reach) x ASOF LEFT JOIN part y ON x.run = y.run AND x.lim <= y.a),
+walk AS (SELECT run, min(a) AS a FROM part GROUP BY run UNION ALL SELECT h.run, h.na FROM walk w JOIN hop h ON w.run = h.run AND w.a = h.a WHERE h.nz IS NOT NULL),
+cutout AS (SELECT h.rid, h.a, trim(substring(s.text, CAST(h.a + 1 AS BIGINT), CAST(h.z - h.a AS BIGINT)), {white}) AS piece
+  FROM walk w JOIN hop h ON w.run = h.run AND w.a = h.a JOIN src s ON s.rid = h.rid)
+SELECT s.{id_col}, CAST(row_number() OVER (PARTITION BY c.rid ORDER BY c.a) AS INTEGER) AS chunk_no, piece AS text{keep}
+FROM cutout c JOIN src s ON c.rid = s.rid WHERE piece <> ''"""
+
+
 def _documents_sql() -> tuple[str, str]:
     """Review documents and feature documents."""
     from .plans.text import FEATURE_FIELDS
@@ -412,12 +444,12 @@ def _neighbours_sql(review_docs: str, feature_docs: str) -> str:
     from .plans.context import FEATURE_K, TEXT_K
 
     def search(name: str, docs: str, k: int) -> str:
-        chunks = _separator_chunks_sql(f"({docs}) src", "review_id", ", hotel_id")
+        chunks = _recursive_chunks_sql(f"({docs}) docs", "review_id", ", hotel_id")
         def split(text: str) -> str:
             return f"unnest(regexp_split_to_array(lower({text}), '{TOKEN_SPLIT}')) AS token"
 
         return f"""
-{name}_docs AS (SELECT *, COALESCE(review_id, '') || '#' || lpad(CAST(chunk_no AS VARCHAR), 6, '0') || '#' || substring(md5(text), 1, 8) AS id
+{name}_docs AS (SELECT *, COALESCE(review_id, '') || '#' || lpad(CAST(chunk_no AS VARCHAR), 10, '0') || '#' || sha256(text) AS id
   FROM ({chunks}) c),
 {name}_df AS (SELECT token, count(*) AS df FROM (SELECT DISTINCT rid, token FROM (
   SELECT rid, {split('text')} FROM (SELECT row_number() OVER () AS rid, text FROM {name}_docs) z) y) x WHERE token <> '' GROUP BY token),
@@ -448,6 +480,31 @@ feature_lines AS (SELECT question_id, pos, text FROM questions u JOIN (
 """
 
 
+def _approximate_sql(k: int) -> str:
+    """The buckets and probes of the first round by their rules, exact scores of
+    the pairs that meet, and all pairs of the rows that meet too few."""
+    from .operators.approx import BUCKET_ROWS, MOST_BITS, PROBES, TABLES
+
+    x = "((t * 7919 + b * 104729 + d * 1299709 + 12345) % 2147483647)"
+    steps = "".join(f", r{j} AS (SELECT t, b, d, (x * x + 48271 * x + 11) % 2147483647 AS x FROM r{j - 1})" for j in (1, 2, 3))
+    return f"""
+WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+n AS (SELECT count(*) AS n, greatest(1, least({MOST_BITS}, ceil(log2(greatest(count(*), 1) / {BUCKET_ROWS})))) AS bits, max(len(v)) AS dims FROM e),
+r0 AS (SELECT t, b, d, {x} AS x FROM (SELECT unnest(range(0, {TABLES})) AS t) tt, (SELECT unnest(range(0, CAST(bits AS BIGINT))) AS b FROM n) bb,
+  (SELECT unnest(range(0, dims)) AS d FROM n) dd){steps},
+plane AS (SELECT t, b, list(CASE WHEN (x >> 16) & 1 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY d) AS p FROM r3 GROUP BY t, b),
+m AS (SELECT id, t, b, list_dot_product(v, p) AS m FROM e, plane),
+own AS (SELECT id, t, CAST(sum(CASE WHEN m > 0 THEN 1 << b ELSE 0 END) AS BIGINT) AS own FROM m GROUP BY id, t),
+weak AS (SELECT id, t, b FROM m QUALIFY row_number() OVER (PARTITION BY id, t ORDER BY abs(m), b) <= {PROBES - 1}),
+probe AS (SELECT id, t, own FROM own UNION ALL SELECT o.id, o.t, xor(o.own, 1 << w.b) FROM own o JOIN weak w ON o.id = w.id AND o.t = w.t),
+met AS (SELECT DISTINCT q.id AS query_id, o.id AS neighbor_id FROM probe q JOIN own o ON q.t = o.t AND q.own = o.own),
+short AS (SELECT e.id FROM e LEFT JOIN met ON e.id = query_id GROUP BY e.id HAVING count(neighbor_id) < (SELECT least({k}, n) FROM n)),
+pair AS (SELECT * FROM met WHERE query_id NOT IN (SELECT id FROM short) UNION ALL SELECT s.id, e.id FROM short s, e),
+scored AS (SELECT query_id, neighbor_id, list_cosine_similarity(a.v, b.v) AS score FROM pair JOIN e a ON a.id = query_id JOIN e b ON b.id = neighbor_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id) AS INTEGER) AS pos, neighbor_id, {R('score', 6)} AS score
+FROM scored QUALIFY pos <= {k}"""
+
+
 def _text_sql() -> dict[str, str]:
     from .operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE
     from .operators.vectors import TOKEN_SPLIT
@@ -463,7 +520,8 @@ def _text_sql() -> dict[str, str]:
         "text_topk": f"{vec} SELECT question_id, pos, text FROM text_lines",
         "feature_topk": f"{vec} SELECT question_id, pos, text FROM feature_lines",
         "doc_sample": f"SELECT review_id, hotel_id, text FROM ({review_docs}) d ORDER BY md5('{SAMPLE_SEED}:' || review_id), review_id, text LIMIT 1000",
-        "chunk_recursive": _separator_chunks_sql("documents", "doc_id", ""),
+        "chunk_separators": _separator_chunks_sql("documents", "doc_id", ""),
+        "chunk_recursive": f"SELECT * FROM ({_recursive_chunks_sql('documents', 'doc_id', '')}) c",
         "review_docs": "SELECT r.review_id, r.hotel_id, 'Hotel: ' || COALESCE(CAST(h.hotel_name AS VARCHAR), 'nan') || "
                        "'. Review: ' || COALESCE(CAST(r.review_text AS VARCHAR), 'nan') AS text "
                        "FROM reviews r LEFT JOIN hotels h ON r.hotel_id = h.hotel_id",
@@ -488,6 +546,7 @@ SELECT w.id AS doc_id, w.token, {R('w.w / nm.norm', 6)} AS weight FROM w JOIN nm
                       "CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id ASC) AS INTEGER) AS pos "
                       "FROM (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, list_cosine_similarity(a.v, b.v) AS score "
                       "FROM e a, e b) d) x WHERE pos <= 10",
+        "knn_approx": _approximate_sql(10),
         "knn_dedup": f"{cos}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id ASC) AS p FROM nn), "
                      "k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY p) = 1 OR key IS NULL) "
                      "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY p) AS INTEGER) AS pos, neighbor_id, key FROM k",

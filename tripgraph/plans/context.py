@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 
 from ..functions.agg import round_dec
 from ..functions.text import py_list_repr, written
-from ..operators.chunking import chunk_at_separators
+from ..operators.chunking import chunk_recursive
 from ..operators.graph import Graph, writing_stage
+from ..operators.inverted import InvertedIndex, build_index, knn_inverted
 from ..operators.patterns import top_k_per
 from ..operators.encoders import embed
-from ..operators.vectors import dedup_by_key, fit_idf, knn_dense, knn_sparse, tfidf_rows
+from ..operators.vectors import dedup_by_key, fit_idf, knn_dense, tfidf_rows
 from ..session import scratch_path
 from . import retrieval as rt
 from .text import feature_docs, read_vectors, review_docs, write_vectors
@@ -159,20 +160,19 @@ class TextIndex:
     so ties between equal scores do not depend on the files' layout."""
 
     text_idf: DataFrame       # token, df, idf
-    text_rows: DataFrame      # id, tokens, weights
+    text_vectors: InvertedIndex
     text_docs: DataFrame      # id, review_id, hotel_id, chunk_no, text
     feature_idf: DataFrame
-    feature_rows: DataFrame
+    feature_vectors: InvertedIndex
     feature_docs: DataFrame   # id, review_id, hotel_id, chunk_no, text
 
 
 def _document_key() -> Column:
-    return F.concat_ws("#", F.coalesce("review_id", F.lit("")), F.lpad(F.col("chunk_no").cast("string"), 6, "0"),
-                       F.substring(F.md5(F.col("text").cast("binary")), 1, 8))
+    return F.concat_ws("#", F.coalesce("review_id", F.lit("")), F.lpad(F.col("chunk_no").cast("string"), 10, "0"), F.sha2("text", 256))
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
-    chunks = chunk_at_separators(docs, id_col="review_id", keep=["hotel_id"]).withColumnRenamed("doc_id", "review_id")
+    chunks = chunk_recursive(docs, id_col="review_id", keep=["hotel_id"]).withColumnRenamed("doc_id", "review_id")
     return chunks.withColumn("id", _document_key())
 
 
@@ -187,8 +187,8 @@ def build_text_index(spark: SparkSession, reviews: DataFrame, hotels: DataFrame)
         f"{name}_rows": tfidf_rows(w1[f"{name}_docs"].groupBy("id").agg(F.any_value("text").alias("text")), "id", "text", w2[f"{name}_idf"])
         for name in ("text", "feature")
     })
-    return TextIndex(w2["text_idf"], w3["text_rows"], w1["text_docs"], w2["feature_idf"], w3["feature_rows"],
-                     w1["feature_docs"])
+    return TextIndex(w2["text_idf"], build_index(w3["text_rows"]), w1["text_docs"],
+                     w2["feature_idf"], build_index(w3["feature_rows"]), w1["feature_docs"])
 
 
 def _encode_questions(questions: DataFrame, idf: DataFrame) -> DataFrame:
@@ -220,19 +220,21 @@ def _per_question(questions: DataFrame, texts: DataFrame, per_text: DataFrame) -
 
 def _with_text(nn: DataFrame, docs: DataFrame) -> DataFrame:
     """(question_id, pos, text) of (query_id, pos, neighbor_id): k rows a query
-    meet the documents; repeats of a document's key hold the same text."""
-    by_key = docs.select(F.col("id").alias("neighbor_id"), "text")
+    meet those documents that are anyone's neighbours; repeats of a document's
+    key hold the same text."""
+    near = nn.select("neighbor_id").distinct()
+    by_key = docs.select(F.col("id").alias("neighbor_id"), "text").join(near, "neighbor_id", "left_semi")
     return nn.join(by_key, "neighbor_id").groupBy(F.col("query_id").alias("question_id"), "pos").agg(F.any_value("text").alias("text"))
 
 
-def _nearest(texts: DataFrame, idf: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+def _nearest(texts: DataFrame, idf: DataFrame, index: InvertedIndex, k: int) -> DataFrame:
     """(query_id, pos, neighbor_id) of every text. Neighbours depend only on the
     encoded text (words that no document has drop out), so each distinct
     encoding is searched once."""
     pairs = F.array_sort(F.arrays_zip(F.col("tokens"), F.transform("weights", lambda w: F.round(w, 12)).alias("weights")))
     enc = written(_encode_questions(texts, idf).select("id", pairs.alias("encoding")), "question_encodings")
     one = enc.groupBy("encoding").agg(F.min("id").alias("one"))
-    nn = knn_sparse(one.select(F.col("one").alias("id"), F.col("encoding.tokens").alias("tokens"), F.col("encoding.weights").alias("weights")), rows, k)
+    nn = knn_inverted(one.select(F.col("one").alias("id"), F.col("encoding.tokens").alias("tokens"), F.col("encoding.weights").alias("weights")), index, k)
     of = enc.join(one, "encoding").select(F.col("id").alias("question"), F.col("one").alias("query_id"))
     return nn.join(of, "query_id").select(F.col("question").alias("query_id"), "pos", "neighbor_id")
 
@@ -240,7 +242,7 @@ def _nearest(texts: DataFrame, idf: DataFrame, rows: DataFrame, k: int) -> DataF
 def text_neighbours(index: TextIndex, questions: DataFrame, k: int = TEXT_K, texts: DataFrame | None = None) -> DataFrame:
     """(question_id, pos, text): the k most similar review chunks."""
     texts = _distinct_texts(questions) if texts is None else texts
-    nn = written(_nearest(texts, index.text_idf, index.text_rows, k), "text_neighbours")
+    nn = written(_nearest(texts, index.text_idf, index.text_vectors, k), "text_neighbours")
     return _per_question(questions, texts, _with_text(nn, index.text_docs))
 
 
@@ -249,7 +251,7 @@ def feature_neighbours(index: TextIndex, questions: DataFrame, k: int = FEATURE_
     """(question_id, pos, text): the k most similar feature documents, then the
     best one per hotel id (documents without an id are all kept)."""
     texts = _distinct_texts(questions) if texts is None else texts
-    nn = written(_nearest(texts, index.feature_idf, index.feature_rows, k), "feature_neighbours")
+    nn = written(_nearest(texts, index.feature_idf, index.feature_vectors, k), "feature_neighbours")
     near = nn.select("neighbor_id").distinct()
     keys = index.feature_docs.select(F.col("id").alias("neighbor_id"), F.col("hotel_id").cast("string").alias("key"))
     keys = keys.join(near, "neighbor_id", "left_semi").distinct()

@@ -16,7 +16,7 @@ from .plans import analytics, questions as qs, retrieval as rt
 from .plans import context as cx, text as tx
 from .plans.catalog import (driver_table, graph_for, questions, retrieval_index_for, source, text_index_for,
                             understood_for)
-from .operators import chunking, vectors
+from .operators import approx, chunking, vectors
 from .functions.agg import round_dec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,10 +123,12 @@ def queries() -> dict[str, Query]:
     q["doc_sample"] = lambda spark, d: tx.doc_sample(
         tx.review_docs(source(spark, d, "reviews"), source(spark, d, "hotels")), 1000)
     q["chunk_fixed"] = lambda spark, d: chunking.chunk_fixed(driver_table(spark, d, "documents"))
-    q["chunk_recursive"] = lambda spark, d: chunking.chunk_at_separators(driver_table(spark, d, "documents"))
+    q["chunk_separators"] = lambda spark, d: chunking.chunk_at_separators(driver_table(spark, d, "documents"))
+    q["chunk_recursive"] = lambda spark, d: chunking.chunk_recursive(driver_table(spark, d, "documents"))
     q["tfidf_weights"] = _tfidf_weights
     q["knn_l2"] = lambda spark, d: _knn(spark, d, 3, "l2")
     q["knn_cosine"] = lambda spark, d: _knn(spark, d, 10, "cosine")
+    q["knn_approx"] = _knn_approx
     q["knn_dedup"] = _knn_dedup
     q["vec_scan"] = _vec_scan
     q["text_topk"] = lambda spark, d: cx.text_neighbours(text_index_for(spark, d), questions(spark, d))
@@ -153,6 +155,11 @@ def _knn(spark: SparkSession, sf_dir: str, k: int, metric: str) -> DataFrame:
     return out.select("query_id", "pos", "neighbor_id", round_dec("score", 6).alias("score"))
 
 
+def _knn_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _embeddings(spark, sf_dir)
+    return approx.knn_approx(e, e, 10).select("query_id", "pos", "neighbor_id", round_dec("score", 6).alias("score"))
+
+
 def _knn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _embeddings(spark, sf_dir)
     nn = vectors.knn_dense(e, e, 10, "cosine")
