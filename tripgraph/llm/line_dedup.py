@@ -46,7 +46,9 @@ def _row_key(docs: DataFrame) -> list[Column]:
 def document_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(who, version, at, h) of every line whose key has ``min_chars`` code points or more."""
     whole = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("whole"))
-    lines = whole.select(*_row_key(whole), F.posexplode(F.split("whole", "\n", -1)).alias("at", "line"))
+    # The row's key is made before its lines are exploded: once, not for each line.
+    rows = whole.select(*_row_key(whole), F.split("whole", "\n", -1).alias("parts"))
+    lines = rows.select("who", "version", F.posexplode("parts").alias("at", "line"))
     keys = lines.select("who", "version", "at", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     return keys.select("who", "version", "at", _short_hash(F.col("key")).alias("h"))
 
