@@ -57,3 +57,32 @@ def test_age_group_category_not_linked(spark):
     q = questions(spark, ["we are 25-34"])
     cats = {r["category"] for r in link_entities(q, entity_dictionary(g)).collect()}
     assert "Age Group" not in cats
+
+
+def test_linking_equals_all_pairs(spark, monkeypatch):
+    """Against every question with every value; parts of two values split the common keys."""
+    import random
+
+    from pyspark.sql import functions as F
+    from tripgraph.operators import linking
+
+    monkeypatch.setattr(linking, "PART_VALUES", 2)
+    rnd = random.Random(8)
+    syllables = ["pa", "ris", "lon", "don", "é", "x", "hotel ", "ber", "lin", " "]
+    name = lambda n: "".join(rnd.choice(syllables) for _ in range(n))
+    values = {(c, name(rnd.choice([1, 1, 2, 3, 5]))) for c in ("City", "Hotel", "Country") for _ in range(40)}
+    values |= {("City", "x"), ("City", "PA"), ("Hotel", "É"), ("City", "Paris"), ("City", "pARIS"), ("Age Group", "18-24")}
+    values = {(c, v) for c, v in values if v}
+    asked = [(k, name(rnd.choice([0, 1, 4, 12])).title()) for k in range(150)] + [(900, None), (901, ""), (902, "p"), (903, "PARISIAN x 18-24")]
+    d = spark.createDataFrame(sorted(values), "category string, value string")
+    q = spark.createDataFrame(asked, "question_id bigint, user_query string")
+    want = set()
+    for i, t in asked:
+        for c in ("City", "Hotel", "Country"):
+            found = [v for k, v in values if k == c and t is not None and v.lower() in t.lower()]
+            if found:
+                want.add((i, c, min(found, key=lambda v: (-len(v), v))))
+    assert {tuple(r) for r in linking.link_entities(q, d).collect()} == want
+    same = spark.range(50).selectExpr("'c' || id AS category", "'Abc' AS value", "'abc' AS v_lc", "3 AS v_len")
+    assert linking._keyed_values(same).groupBy("gram", "part").count().agg(F.max("count"), F.sum("count")).first()[0] < 10
+    assert linking.link_entities(q, d.limit(0)).collect() == []

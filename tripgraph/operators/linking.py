@@ -2,16 +2,18 @@
 
 Linking finds, per question and category, the longest dictionary value whose
 lower-case form occurs in the lower-cased question (ties: smallest value).
-It is an exact *equi* join, not a nested loop: every distinct question text is
-cut into its substrings of exactly the lengths that dictionary values have,
-and those substrings are joined to the values on equality. Work grows with
-distinct question text length x number of distinct value lengths, never with
-questions x dictionary.
+Every value is filed under one of its trigrams, the one that fewest values
+have; values of one or two characters are their own key. Every distinct
+question text is cut into its distinct trigrams (and shorter grams, if there
+are such values), which are joined to the keys on equality; the pairs that meet
+are verified by a substring test. A text gives at most as many rows as it has
+characters, whatever the dictionary's value lengths. A key of many values is
+split into parts of bounded size, and only texts with that key are repeated.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.broadcast import checked_broadcast
@@ -19,6 +21,9 @@ from ..functions.text import AGE_CATEGORY, written
 from .graph import Graph
 from .patterns import top_k_per
 
+# Characters of a key, and values that one part of a key holds on average, at most.
+GRAM, PART_VALUES = 3, 1000
+
 
 def entity_dictionary(g: Graph) -> DataFrame:
     """(category, value): city, country and hotel names, traveller types, genders
@@ -38,29 +43,45 @@ def entity_dictionary(g: Graph) -> DataFrame:
     return out.where(F.col("value").isNotNull() & (F.col("value") != "")).distinct()
 
 
+def _grams(text: str, n: int) -> Column:
+    """The ``n``-character substrings of a text; none if it is shorter."""
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.col(text).substr(i, F.lit(n)))
+
+
+def _keyed_values(values: DataFrame) -> DataFrame:
+    """``values`` (category, value, v_lc, v_len) with ``gram``, the rarest one of
+    each value, and ``part``: values of one gram in parts of ``PART_VALUES``."""
+    size = F.least(F.length("v_lc"), F.lit(GRAM))
+    each = values.select("v_lc").distinct().withColumn("gram", F.explode(F.array_distinct(
+        F.when(size == GRAM, _grams("v_lc", GRAM)).otherwise(F.array("v_lc")))))
+    rarity = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    key = each.join(rarity, "gram").groupBy("v_lc").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    keyed = values.join(key, "v_lc")
+    many = keyed.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / PART_VALUES).cast("int").alias("parts"))
+    return keyed.join(many, "gram").select("category", "value", "v_lc", "v_len", "gram", F.pmod(F.xxhash64("value", "category"), F.col("parts")).cast("int").alias("part"))
+
+
 def link_entities(questions: DataFrame, dictionary: DataFrame, text_col: str = "user_query") -> DataFrame:
     """(question_id, category, value) for the best match of each category."""
-    # Written: the lengths, the size check and the join all read it.
+    # Written: keys, their counts and the values are all made from it.
     dictionary = written(dictionary, "entity_dictionary")
     d = (
         dictionary.where(F.col("category") != AGE_CATEGORY)
         .select("category", "value", F.lower("value").alias("v_lc"), F.length("value").alias("v_len"))
         .where(F.length("v_lc") > 0)
     )
-    # The distinct value lengths: a list of small integers, at most as many as
-    # the longest value has characters.
-    lengths = sorted(r[0] for r in d.select(F.length("v_lc").alias("L")).distinct().collect())
-    if not lengths:
+    keyed = written(_keyed_values(d), "entity_keys")
+    sizes = sorted(r[0] for r in keyed.select(F.length("gram")).distinct().collect())  # of 1, 2 and 3
+    if not sizes:
         return questions.sparkSession.createDataFrame([], "question_id bigint, category string, value string")
     q = questions.select("question_id", F.lower(F.col(text_col)).alias("q_lc")).where(F.col("q_lc").isNotNull())
     # Links depend only on the text: link each distinct text once.
     texts = q.select("q_lc").distinct()
-    subs = (
-        texts.withColumn("L", F.explode(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("q_lc"))))
-        .withColumn("pos", F.explode(F.sequence(F.lit(1), F.length("q_lc") - F.col("L") + 1)))
-        .select("q_lc", F.col("q_lc").substr(F.col("pos"), F.col("L")).alias("sub"))
-    )
-    cand = subs.join(checked_broadcast(d), subs["sub"] == d["v_lc"]).select("q_lc", "category", "value", "v_len")
+    grams = texts.select("q_lc", F.explode(F.array_distinct(F.flatten(F.array(*[_grams("q_lc", n) for n in sizes])))).alias("gram"))
+    parts = keyed.groupBy("gram").agg((F.max("part") + 1).alias("parts"))
+    asked = grams.join(checked_broadcast(parts), "gram").select("q_lc", "gram", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    cand = asked.join(checked_broadcast(keyed), ["gram", "part"]).where(F.contains("q_lc", "v_lc"))
     best = top_k_per(cand, ["q_lc", "category"], [F.desc("v_len"), F.asc("value")], 1, "_rk").select(
         "q_lc", "category", "value")
     # Back to questions; a text shared by a third of all questions is a hot key
