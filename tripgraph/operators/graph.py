@@ -255,10 +255,16 @@ def _one_row(label: str, n_in: DataFrame, n_out: DataFrame) -> DataFrame:
 def check_unique(graph: Graph) -> DataFrame:
     """Uniqueness constraints as a quality job: (label, key, n) for every
     vertex key that occurs more than once. Empty when the graph is sound."""
+    return repeated_keys({label: getattr(graph, label) for label in VERTEX_KEYS})
+
+
+def repeated_keys(tables: dict[str, DataFrame]) -> DataFrame:
+    """(label, key, n) for every key that occurs more than once in a table of vertices (or of their source rows)."""
     out = None
-    for label, key in VERTEX_KEYS.items():
+    for label, table in tables.items():
+        key = VERTEX_KEYS[label]
         v = (
-            getattr(graph, label)
+            table.where(F.col(key).isNotNull())
             .groupBy(F.col(key).cast("string").alias("key"))
             .count()
             .where("count > 1")

@@ -182,6 +182,19 @@ GRAPH_SQL = {
     "edge_reviewed": "SELECT * FROM reviewed",
     "edge_stayed_at": "SELECT * FROM stayed_at",
     "edge_needs_visa": "SELECT * FROM needs_visa",
+    "check_unique_sources": " UNION ALL ".join(
+        f"SELECT '{label}' AS label, CAST({key} AS VARCHAR) AS key, count(*) AS n FROM {table} WHERE {key} IS NOT NULL GROUP BY {key} HAVING count(*) > 1"
+        for label, key, table in (("hotel", "hotel_id", "hotels"), ("traveller", "user_id", "users"), ("review", "review_id", "reviews"))),
+    "merge_hotel": "SELECT * FROM hotel",
+    "merge_review": "SELECT * FROM review",
+    "merge_stayed_at": "SELECT * FROM stayed_at",
+    "merge_hotel_place": "SELECT h.hotel_id, h.city, c.country FROM hotel_in_city h JOIN city_in_country c ON h.city = c.city",
+    "merge_segments": "SELECT d.hotel_id, t.age, t.type, t.gender, count(*) AS paths, "
+                      "CAST(sum(CAST(r.score_overall AS DECIMAL(18,6))) AS DOUBLE) AS score_overall_sum, count(r.score_overall) AS score_overall_n, "
+                      "CAST(sum(CAST(r.score_cleanliness + r.score_comfort + r.score_facilities AS DECIMAL(18,6))) AS DOUBLE) AS base3_sum, "
+                      "count(r.score_cleanliness + r.score_comfort + r.score_facilities) AS base3_n "
+                      "FROM review r JOIN reviewed d ON r.review_id = d.review_id JOIN wrote w ON r.review_id = w.review_id "
+                      "JOIN traveller t ON w.user_id = t.user_id GROUP BY d.hotel_id, t.age, t.type, t.gender",
     "hotel_avg_score": "SELECT hotel_id, average_reviews_score FROM hotel",
     "check_unique": "SELECT CAST(NULL AS VARCHAR) AS label, CAST(NULL AS VARCHAR) AS key, CAST(NULL AS BIGINT) AS n WHERE false",
     "merge_nodes": "SELECT 'Hotel' AS label, (SELECT count(*) FROM hotels WHERE hotel_id IS NOT NULL) AS input_rows, "
@@ -268,8 +281,37 @@ def _retrieval_sql() -> dict[str, str]:
     return out
 
 
+def _best_answers_sql() -> str:
+    """Hotels of every dimension and place, or the dimension's message."""
+    from .plans.retrieval import DIMENSIONS
+
+    r = _retrieval_sql()
+    best = " UNION ALL ".join(
+        f"SELECT '{dim}' AS sort_by, '{scope}' AS scope, COALESCE(scope_key, '') AS key, pos, 'Hotel: ' || COALESCE(Hotel, 'None') || ' ({v[2]}: ' || "
+        f"COALESCE(CAST({R('AvgScore', 2)} AS VARCHAR), 'None') || ')' AS line FROM ({r[f'r{n}_{dim.lower()}_{scope}']}) b{n}{scope}"
+        for n, (dim, v) in zip((8, 9, 10, 11), DIMENSIONS.items()) for scope in ("global", "city", "country"))
+    dims = ", ".join(f"('{d}', '{v[3]}')" for d, v in DIMENSIONS.items())
+    return f"""
+SELECT q.sort_by || '/' || COALESCE(q.city, '') || '/' || COALESCE(q.country, '') AS request_id, COALESCE(best.pos, 1) AS pos,
+       COALESCE(best.line, replace(q.message, '{{scope}}', COALESCE('in ' || COALESCE(q.city, q.country), 'Globally'))) AS line
+FROM (SELECT * FROM (VALUES {dims}) d(sort_by, message),
+      (SELECT name AS city, CAST(NULL AS VARCHAR) AS country FROM city UNION ALL SELECT NULL, name FROM country UNION ALL SELECT NULL, NULL) p) q
+LEFT JOIN ({best}) best ON q.sort_by = best.sort_by AND COALESCE(lower(q.city), lower(q.country), '') = best.key
+  AND CASE WHEN q.city IS NOT NULL THEN 'city' WHEN q.country IS NOT NULL THEN 'country' ELSE 'global' END = best.scope"""
+
+
+_RANGE_OVERLAP_SQL = """
+WITH o AS (SELECT o_orderkey, c_nationkey, CAST(o_orderdate AS DATE) AS placed FROM orders JOIN customer ON o_custkey = c_custkey),
+s AS (SELECT c_nationkey, CAST(year(placed) AS INTEGER) AS year, min(placed) AS first, max(placed) AS last FROM o GROUP BY 1, 2),
+r AS (SELECT l_orderkey, max(CAST(l_shipdate AS DATE)) AS shipped FROM lineitem GROUP BY 1),
+w AS (SELECT o_orderkey, placed, COALESCE(shipped, DATE '9999-01-01') AS shipped FROM o LEFT JOIN r ON o_orderkey = l_orderkey)
+SELECT c_nationkey, year, count(*) AS n_orders, CAST(sum(o_orderkey) AS BIGINT) AS order_keys
+FROM s JOIN w ON w.placed <= s.last AND s.first <= w.shipped GROUP BY c_nationkey, year"""
+
+
 def all_oracles() -> dict[str, str]:
-    out = {k: with_graph(v) for k, v in Q_SQL.items()}
+    out = {"best_hotel_answers": with_graph(_best_answers_sql()), "range_overlap": _RANGE_OVERLAP_SQL}
+    out |= {k: with_graph(v) for k, v in Q_SQL.items()}
     out.update({k: with_graph(v) for k, v in _graph_sql().items()})
     out.update({k: with_graph(v) for k, v in _retrieval_sql().items()})
     z = _z_sql()

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.agg import avg_of, merge_sum_count
+from ..functions.agg import avg_of, merge_sum_count, round_dec
 from ..operators.graph import Graph
 from ..operators.patterns import hotel_states, merge_by, top_k, top_k_per, with_hotel_name, with_place
 
@@ -197,6 +197,45 @@ def best_hotels(g: Graph, dim: str, city: str | None = None, country: str | None
     return out.orderBy("pos").select("Hotel", "AvgScore")
 
 
+def best_hotel_answers(g: Graph, requests: DataFrame, k: int = HOTELS_K) -> DataFrame:
+    """(request_id, pos, line): what a request for the best hotels is answered.
+    ``requests``: (request_id, sort_by, city, country); a city wins over a
+    country, without either all hotels are asked for. A request that finds
+    nothing gets one row, the dimension's message with the scope's name."""
+    scope = F.when(F.col("city").isNotNull(), "city").when(F.col("country").isNotNull(), "country").otherwise("global")
+    place = F.coalesce("city", "country")
+    asked = requests.where(F.col("sort_by").isin(list(DIMENSIONS))).select(
+        "request_id", "sort_by", scope.alias("scope"), F.coalesce(F.lower(place), F.lit("")).alias("key"),
+        F.coalesce(F.concat(F.lit("in "), place), F.lit("Globally")).alias("where"))
+    best = None
+    for name in ("global", "city", "country"):
+        part = best_hotels_of(g, name, k).select("sort_by", F.lit(name).alias("scope"), F.coalesce("scope_key", F.lit("")).alias("key"), "pos", "Hotel", "AvgScore")
+        best = part if best is None else best.unionByName(part)
+    label, message = (F.create_map(*[x for dim, v in DIMENSIONS.items() for x in (F.lit(dim), F.lit(v[i]))])[F.col("sort_by")] for i in (2, 3))
+    score = F.coalesce(round_dec("AvgScore", 2).cast("string"), F.lit("None"))
+    found = F.concat(F.lit("Hotel: "), F.coalesce("Hotel", F.lit("None")), F.lit(" ("), label, F.lit(": "), score, F.lit(")"))
+    missing = F.replace(message, F.lit("{scope}"), F.col("where"))
+    return asked.join(best, ["sort_by", "scope", "key"], "left").select(
+        "request_id", F.coalesce("pos", F.lit(1)).alias("pos"), F.when(F.col("pos").isNotNull(), found).otherwise(missing).alias("line"))
+
+
+def best_hotel_lines(g: Graph, dim: str, city: str | None = None, country: str | None = None, k: int = HOTELS_K) -> DataFrame:
+    """(line) of one request in order: the best hotels, or the message that there are none."""
+    if dim not in DIMENSIONS:
+        raise ValueError(dim)
+    one = g.hotel.sparkSession.createDataFrame([(0, dim, city or None, country or None)], "request_id int, sort_by string, city string, country string")
+    return best_hotel_answers(g, one, k).orderBy("pos").select("line")
+
+
+def place_requests(g: Graph) -> DataFrame:
+    """Requests for every dimension and every city, every country and all hotels."""
+    places = (g.city.select(F.col("name").alias("city"), F.lit(None).cast("string").alias("country"))
+              .unionByName(g.country.select(F.lit(None).cast("string").alias("city"), F.col("name").alias("country")))
+              .unionByName(g.hotel.sparkSession.range(1).select(F.lit(None).cast("string").alias("city"), F.lit(None).cast("string").alias("country"))))
+    each = places.withColumn("sort_by", F.explode(F.array(*map(F.lit, DIMENSIONS))))
+    return each.select(F.concat_ws("/", "sort_by", F.coalesce("city", F.lit("")), F.coalesce("country", F.lit(""))).alias("request_id"), "sort_by", "city", "country")
+
+
 def best_hotels_global(g: Graph, dim: str, k: int = HOTELS_K) -> DataFrame:
     """Global form as a single top-k (TakeOrderedAndProject, no window)."""
     metric = DIMENSIONS[dim][0]

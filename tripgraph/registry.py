@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .functions.text import py_list_repr
-from .operators.graph import check_unique, merge_summary
+from .operators.graph import check_unique, merge_summary, repeated_keys
 from .operators.linking import entity_dictionary, link_entities
 from .plans import analytics, questions as qs, retrieval as rt
 from .plans import context as cx, text as tx
-from .plans.catalog import (driver_table, graph_for, questions, retrieval_index_for, source, text_index_for,
+from .plans.catalog import (driver_table, graph_for, merged_for, questions, retrieval_index_for, source, text_index_for,
                             understood_for)
-from .operators import approx, chunking, vectors
+from .operators import approx, chunking, ranges, vectors
 from .functions.agg import round_dec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,9 +77,20 @@ def queries() -> dict[str, Query]:
         q[f"edge_{edge}"] = _table(table)
     q["hotel_avg_score"] = _table("hotel", ["hotel_id", "average_reviews_score"])
     q["check_unique"] = _on_graph(check_unique)
+    # The same job over the source rows, which repeat keys on purpose.
+    q["check_unique_sources"] = lambda spark, d: repeated_keys(
+        {label: source(spark, d, n) for label, n in (("hotel", "hotels"), ("traveller", "users"), ("review", "reviews"))})
+    q["best_hotel_answers"] = _on_graph(lambda g: rt.best_hotel_answers(g, rt.place_requests(g)))
+    q["range_overlap"] = _range_overlap
     q["merge_nodes"] = lambda spark, d: merge_summary(
         graph_for(spark, d), {n: source(spark, d, n) for n in ("hotels", "users", "reviews")})
 
+    for table in ("hotel", "review", "stayed_at", "hotel_place"):
+        q[f"merge_{table}"] = lambda spark, d, _t=table: getattr(merged_for(spark, d), _t)
+    q["merge_segments"] = lambda spark, d: merged_for(spark, d).segment_stats.select(
+        "hotel_id", "age", "type", "gender", "paths", F.col("score_overall_sum").cast("double").alias("score_overall_sum"), "score_overall_n",
+        F.col("base3_sum").cast("double").alias("base3_sum"), "base3_n")
+
     for name in ("q1_visa_free_travellers", "q1_by_home_country", "q2_top_business_hotels", "q3_couples_per_hotel",
                  "q4_least_clean", "q5_best_location_women", "q6_improvement_rule"):
         q[name] = _on_graph(getattr(analytics, name))
@@ -155,6 +166,20 @@ def _knn(spark: SparkSession, sf_dir: str, k: int, metric: str) -> DataFrame:
     return out.select("query_id", "pos", "neighbor_id", round_dec("score", 6).alias("score"))
 
 
+def _range_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per nation and year: how many orders were under way (from their date to
+    the last shipment of a line) at some time while that nation's orders of the
+    year were placed."""
+    day = lambda c: F.unix_date(F.col(c).cast("date")).cast("bigint")
+    orders = driver_table(spark, sf_dir, "orders").join(driver_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    orders = orders.select("o_orderkey", "c_nationkey", day("o_orderdate").alias("placed"))
+    seasons = orders.groupBy("c_nationkey", F.year(F.date_from_unix_date(F.col("placed").cast("int"))).alias("year")).agg(F.min("placed").alias("first"), F.max("placed").alias("last"))
+    shipped = driver_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max(day("l_shipdate")).alias("shipped"))
+    under_way = orders.join(shipped, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "placed", "shipped")
+    met = ranges.overlap_join(under_way, seasons, ("placed", "shipped"), ("first", "last"))
+    return met.groupBy("c_nationkey", "year").agg(F.count(F.lit(1)).alias("n_orders"), F.sum("o_orderkey").alias("order_keys"))
+
+
 def _knn_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _embeddings(spark, sf_dir)
     return approx.knn_approx(e, e, 10).select("query_id", "pos", "neighbor_id", round_dec("score", 6).alias("score"))

@@ -11,11 +11,13 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.broadcast import checked_broadcast
 from . import schemas
+from .records import csv_records
 
 # The default missing-value tokens of pandas.read_csv.
 NA_TOKENS = [
@@ -72,19 +74,46 @@ def nan_to_null(df: DataFrame, cols) -> DataFrame:
     return df.withColumns({c: F.when(F.isnan(c), F.lit(None)).otherwise(F.col(c)) for c in present})
 
 
-def _raw_csv(spark: SparkSession, kind: str, path: str, multi_line: bool | None) -> DataFrame:
+def _header(kind: str) -> list[str]:
     renames = _CSV_HEADER_RENAMES.get(kind, {})
-    fields = schemas.SOURCES[kind].fields
-    header = [next((k for k, v in renames.items() if v == f.name), f.name) for f in fields]
-    raw = (
-        spark.read.option("header", True)
-        # A file with quoted line breaks cannot be split: only review texts hold them. Big inputs should be parquet.
-        .option("multiLine", kind == "reviews" if multi_line is None else multi_line)
-        .option("escape", '"')
-        .schema(T.StructType([T.StructField(n, T.StringType()) for n in header]))
-        .csv(path)
-    )
-    return raw.select(*[_null_tokens(F.col(f"`{h}`")).alias(f.name) for h, f in zip(header, fields)])
+    return [next((k for k, v in renames.items() if v == f.name), f.name) for f in schemas.SOURCES[kind].fields]
+
+
+def _raw_csv(spark: SparkSession, kind: str, path: str, multi_line: bool | None) -> DataFrame:
+    """All columns as strings. Where quoted line breaks are looked for (reviews,
+    unless ``multi_line`` says otherwise), records are cut from byte ranges, so
+    that one big file is still read by many tasks."""
+    header = _header(kind)
+    names = [f.name for f in schemas.SOURCES[kind].fields]
+    if kind == "reviews" if multi_line is None else multi_line:
+        rows = _parsed(spark, kind, path).select("place", "row.*")
+        return rows.select(*[_null_tokens(F.col(f"`{h}`")).alias(n) for h, n in zip(header, names)], F.col("place").alias("_place"))
+    raw = spark.read.option("header", True).option("escape", '"').schema(T.StructType([T.StructField(n, T.StringType()) for n in header])).csv(path)
+    return raw.select(*[_null_tokens(F.col(f"`{h}`")).alias(n) for h, n in zip(header, names)])
+
+
+def _parsed(spark: SparkSession, kind: str, path: str) -> DataFrame:
+    """(file, place, record, closed, row, fields) of every record but the files'
+    headers; places order the records of all files, by the files' names."""
+    records = csv_records(spark, path)
+    files = records.groupBy("file").agg(F.min("position").alias("first"))  # one row a file
+    files = files.withColumn("number", F.row_number().over(Window.orderBy("file")).cast("bigint") - 1)
+    body = records.join(checked_broadcast(files), "file").where("position > first")
+    ddl = ", ".join(f"`{h}` STRING" for h in _header(kind))
+    bare = F.regexp_replace("record", '"[^"]*"', "")
+    return body.select("file", (F.col("number") * (1 << 44) + F.col("position")).alias("place"), "record", "closed",
+                       F.from_csv("record", ddl, {"escape": '"', "mode": "PERMISSIVE"}).alias("row"),
+                       (F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1).alias("fields"))
+
+
+def rejected_rows(spark: SparkSession, kind: str, path: str) -> DataFrame:
+    """(file, record, problem) of every record that a scan would not read as it
+    is written: too few or too many fields, or quotes that do not balance (the
+    record then holds the rest of its file). A scan reads missing fields as
+    NULL and drops those that are too many."""
+    width = len(schemas.SOURCES[kind].fields)
+    problem = F.when(~F.col("closed"), "unbalanced quotes").when(F.col("fields") < width, "too few fields").when(F.col("fields") > width, "too many fields")
+    return _parsed(spark, kind, path).withColumn("problem", problem).where("problem IS NOT NULL").select("file", "record", "problem")
 
 
 def read_source(spark: SparkSession, kind: str, path: str, fmt: str = "csv", order_col: str | None = None,
@@ -99,7 +128,10 @@ def read_source(spark: SparkSession, kind: str, path: str, fmt: str = "csv", ord
     if fmt == "csv":
         if order_col and order_col not in schema.fieldNames():
             raise ValueError(f"{order_col} is not a column of {kind}; other order columns need parquet")
-        df = _raw_csv(spark, kind, path, multi_line).select(*[_typed(F.col(f.name), f.dataType).alias(f.name) for f in schema.fields])
+        raw = _raw_csv(spark, kind, path, multi_line)
+        # Records of byte ranges know their place in the file; lines are numbered as they are scanned.
+        place = [F.col("_place").alias("_ord")] if "_place" in raw.columns and not order_col else []
+        df = raw.select(*[_typed(F.col(f.name), f.dataType).alias(f.name) for f in schema.fields], *place)
     else:
         df = spark.read.parquet(path)
         order = [F.col(order_col).alias("_ord")] if order_col and order_col not in schema.fieldNames() else []
