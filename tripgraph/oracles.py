@@ -306,7 +306,7 @@ s AS (SELECT c_nationkey, CAST(year(placed) AS INTEGER) AS year, min(placed) AS
 r AS (SELECT l_orderkey, max(CAST(l_shipdate AS DATE)) AS shipped FROM lineitem GROUP BY 1),
 w AS (SELECT o_orderkey, placed, COALESCE(shipped, DATE '9999-01-01') AS shipped FROM o LEFT JOIN r ON o_orderkey = l_orderkey)
 SELECT c_nationkey, year, count(*) AS n_orders, CAST(sum(o_orderkey) AS BIGINT) AS order_keys
-FROM s JOIN w ON w.placed <= s.last AND s.first <= w.shipped GROUP BY c_nationkey, year"""
+FROM s JOIN w ON w.placed <= s.last AND s.first <= w.shipped AND w.placed <= w.shipped GROUP BY c_nationkey, year"""
 
 
 def all_oracles() -> dict[str, str]:
@@ -592,6 +592,10 @@ SELECT w.id AS doc_id, w.token, {R('w.w / nm.norm', 6)} AS weight FROM w JOIN nm
         "knn_dedup": f"{cos}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id ASC) AS p FROM nn), "
                      "k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY p) = 1 OR key IS NULL) "
                      "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY p) AS INTEGER) AS pos, neighbor_id, key FROM k",
+        "store_topk": f"{cos}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id ASC) AS p FROM nn), "
+                      "k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY p) = 1 OR key IS NULL) "
+                      "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY p) AS INTEGER) AS pos, neighbor_id, CAST(key AS BIGINT) AS key FROM k",
+        "latent_store": "SELECT doc_id, CAST(64 AS INTEGER) AS dims, regexp_matches(COALESCE(text, ''), '[\\p{L}\\p{N}]') AS unit FROM documents",
         "vec_scan": "SELECT vec_id AS doc_id, CAST(label AS BIGINT) AS hotel_id, CAST(len(embedding) AS INTEGER) AS dims FROM embeddings",
     }
 

@@ -16,7 +16,7 @@ from .plans import analytics, questions as qs, retrieval as rt
 from .plans import context as cx, text as tx
 from .plans.catalog import (driver_table, graph_for, merged_for, questions, retrieval_index_for, source, text_index_for,
                             understood_for)
-from .operators import approx, chunking, ranges, vectors
+from .operators import approx, chunking, encoders, latent, ranges, vectors
 from .functions.agg import round_dec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,6 +140,8 @@ def queries() -> dict[str, Query]:
     q["knn_l2"] = lambda spark, d: _knn(spark, d, 3, "l2")
     q["knn_cosine"] = lambda spark, d: _knn(spark, d, 10, "cosine")
     q["knn_approx"] = _knn_approx
+    q["store_topk"] = _store_topk
+    q["latent_store"] = _latent_store
     q["knn_dedup"] = _knn_dedup
     q["vec_scan"] = _vec_scan
     q["text_topk"] = lambda spark, d: cx.text_neighbours(text_index_for(spark, d), questions(spark, d))
@@ -166,6 +168,34 @@ def _knn(spark: SparkSession, sf_dir: str, k: int, metric: str) -> DataFrame:
     return out.select("query_id", "pos", "neighbor_id", round_dec("score", 6).alias("score"))
 
 
+def _store_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours answered from the vector store: the given vectors are written
+    under one model beside another's, and read back by the model's name."""
+    from .session import scratch_path
+
+    path, e = scratch_path(spark, "topk_vectors"), driver_table(spark, sf_dir, "embeddings")
+    rows = e.select(F.col("vec_id").alias("doc_id"), F.col("label").cast("bigint").alias("hotel_id"), F.lit("").alias("text"), "embedding")
+    tx.write_vectors(rows, path, "Given")
+    tx.write_vectors(rows.withColumn("embedding", F.reverse("embedding")), path, "Other")
+    stored = tx.read_vectors(spark, path, "Given (64)")
+    vec = stored.select(F.col("doc_id").alias("id"), F.col("embedding").alias("vec"))
+    nn = vectors.knn_dense(vec, vec, 10, "cosine")
+    keys = stored.select(F.col("doc_id").alias("neighbor_id"), F.col("hotel_id").alias("key"))
+    return vectors.dedup_by_key(nn, keys).select("query_id", "pos", "neighbor_id", "key")
+
+
+def _latent_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's vector by the encoder fitted on all documents, from the store."""
+    from .session import scratch_path
+
+    docs, path = driver_table(spark, sf_dir, "documents"), scratch_path(spark, "latent_vectors")
+    latent.register_latent(docs, "Latent64")
+    ids = docs.select("doc_id", F.lit(None).cast("bigint").alias("hotel_id"), "text")
+    tx.write_vectors(encoders.embed(ids, "text", "Latent64", ["doc_id", "hotel_id"]), path, "Latent64")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    return tx.read_vectors(spark, path, "Latent64").select("doc_id", F.size("embedding").alias("dims"), (F.abs(norm - 1) < 1e-5).alias("unit"))
+
+
 def _range_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per nation and year: how many orders were under way (from their date to
     the last shipment of a line) at some time while that nation's orders of the
