@@ -101,10 +101,11 @@ def _cut_blocks(block_docs: int):
 def build_index(rows: DataFrame, fill: int = 100, block_docs: int = BLOCK_DOCS) -> InvertedIndex:
     """Index of ``rows`` (id, tokens ARRAY<STRING>, weights ARRAY<DOUBLE>, no
     negative ones), written to the shared folder. ``fill``: the greatest k that
-    will be asked for. Null arrays are empty ones."""
-    rows = written(rows.select(
+    will be asked for. Null arrays are empty ones. ``rows`` is read a few times
+    and best a written table."""
+    rows = rows.select(
         "id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"),
-        F.coalesce("weights", F.array().cast("array<double>")).alias("weights")), "index_rows")
+        F.coalesce("weights", F.array().cast("array<double>")).alias("weights"))
     heaviest = F.array_max(F.arrays_zip(F.col("weights").alias("w"), F.col("tokens").alias("t")))["t"]
     dealt = rows.withColumn("main", F.coalesce(heaviest, F.lit(""))).repartitionByRange("main", "id").sortWithinPartitions("main", "id")
     kind = dict(rows.dtypes)["id"]
