@@ -1,4 +1,4 @@
-"""All eleven queries are registered, with the columns that they promise."""
+"""All fourteen queries are registered, with the columns that they promise."""
 
 import __spark_entry__ as E
 
@@ -7,13 +7,16 @@ PROMISED = {
     4: ["doc_id", "held_out", "score", "predicted"], 6: ["doc_id", "held_out", "score", "predicted"],
     7: ["doc_id", "n_shingles", "component_id", "kept"], 9: ["vec_id", "n_links", "component_id", "kept"],
     10: ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+    11: ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"],
+    12: ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
+    13: ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
 }
 
 
 def test_names():
     names = E.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
 
 
