@@ -23,7 +23,7 @@ def test_text_neighbours_match_brute_force(spark):
     idx, (got, _) = answers(spark, 2)
     docs = {}
     postings = idx.text_vectors.postings.collect()
-    ids = {r["block"]: r["ids"] for r in postings}
+    ids = {r["block"]: r["ids"] for r in postings if not r["token"]}
     for r in postings:
         for row, w in zip(r["rows"], r["weights"]):
             docs.setdefault(ids[r["block"]][row], {})[r["token"]] = w
