@@ -1,5 +1,7 @@
 """Main text extraction on pages written by hand, and as a query."""
 
+import time
+
 import pytest
 
 from tripgraph.llm import html_density as H
@@ -29,6 +31,65 @@ def test_pages(page, text):
     assert H.main_text(page) == text
 
 
+NAMES = ("user-comments comment-body post-comments comments-area ad-container advert-slot sidebar-left site-footer newsletter-box related-posts "
+         "cookie-banner-text ad-slot-2 comments comment_list userComments post__comments js-ad site-notice").split()
+
+
+@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("page", [
+    "<article><p>{}</p><div class='{}'><p>{}</p></div></article>", "<article><p>{}</p></article><div id={}><p>{}</p></div>",
+    "<div><p>{}</p><p>And more of it.</p></div><div class='x {}'><p>{}</p></div>",
+])
+def test_longer_names_of_boilerplate(page, name):
+    got = H.main_text("<body>" + page.format(LONG, name, "Said beside the article, in a sentence or two."))
+    assert got.startswith(LONG.strip()) and "beside" not in got
+
+
+def test_comments_longer_than_the_article_go():
+    talk = "".join(f"<div class=comment-body><p>{LONG}{k}</p></div>" for k in range(9))
+    assert H.main_text(f"<article><p>{LONG}</p><section id='post-comments'>{talk}</section></article>") == LONG.strip()
+    assert H.main_text(f"<div><h1>Head</h1><p>{LONG}</p></div><div>{talk}</div>") == f"Head\n{LONG.strip()}"
+    assert H.main_text(f"<body><div class=comment-body><p>{LONG}</p></div></body>") == LONG.strip()
+
+
+@pytest.mark.parametrize("name", "comments-open has-sidebar layout--with-sidebar post-header side-by-side".split())
+def test_names_of_states_and_parts_stay(name):
+    assert H.main_text(f"<article><h1>One</h1><div class={name}><p>{LONG}</p></div><p>Two.</p></article>") == f"One\n{LONG.strip()}\nTwo."
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<article><p><a href="x>link</a> one</p><p class="y z">two</p></article>', "link one\ntwo"),
+    ('<article><p>one <a href="x>link</a></p><p>two</p></article>', "one link\ntwo"),
+    ("<article><p title=it's>one</p><p data-x='<b>no</b>'>two</p></article>", "one\ntwo"),
+    ('<article><p class="a"id="b>c">one</p></article>', "one"),
+    ("<article><p>one<!--> two<!-- <p>no</p> --!> three</p></article>", "one two three"),
+    ("<article><p>one</p><script>'</p>'</script x><p>two</p></article>", "one\ntwo"),
+    ("<article><p>a</p></span></div></p><table><tr><td>b</span></td></tr></table></article>", "a\nb"),
+    ("<article><p>one<", "one<"), ("<article><p>one <b", "one <b"), ("<", "<"), (">", ">"),
+])
+def test_loose_markup(page, text):
+    assert H.main_text(page) == text
+
+
+@pytest.mark.parametrize("piece, before, after", [
+    ("</div>", "", ""), ("</span>", "<span><table>", "</table>"), ("</b>", "<b>" + "<table><tr><td>" * 2_000, ""), ('<a href="', "", ""), ('<a href="', "", ">"),
+    ('<a href="x>', "", "<p>x"), ("<a b='x>\" ", "", ">"), ("<!-", "", ">"), ("<!--", "", ""), ("<a", "", ">"), ("<li>", "<ul>" + "<div>" * 2_000, ""),
+    ("<div class=sidebar>", "", "x"), ("<p>", "<span>" * 2_000, ""), ("<td>", "<table>" + "<b>" * 2_000, ""), ("= ", "<a ", ">"),
+])
+def test_cost_grows_with_the_page(piece, before, after):
+    """Eight times the page takes about eight times the time, not 64 times."""
+    def seconds(n):
+        page = before + piece * n + "text" + after
+        taken = []
+        for _ in range(3):
+            start = time.process_time()
+            H.main_text(page)
+            taken.append(time.process_time() - start)
+        return min(taken)
+
+    assert seconds(64_000) < 24 * max(seconds(8_000), 0.02)
+
+
 def test_density_finds_the_article_without_a_name():
     page = f"<body><div><ul>{LINKS}</ul></div><div><div><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div></div><div><ul>{LINKS}</ul></div></body>"
     assert H.main_text(page) == "\n".join([LONG.strip(), "Short.", LONG.strip()])

@@ -8,7 +8,10 @@ node with the greatest sum holds content. An article that reaches it, or that
 holds the greatest sum, is content as a whole, but for blocks of links. What
 cannot be content by its element or by its class or id (menus, adverts,
 comments, ...) is left out first, unless it holds an article or most of the
-page's text.
+page's text. The words of a name vote by where they stand: one that means
+boilerplate at either end of a name (``user-comments``, ``ad-slot-2``) is
+enough, doubtful ones (``side``, ``share``) go by the block's density against the
+rest of the page, and states of a page (``has-sidebar``) say nothing.
 
 Pages are parsed a row at a time inside ``mapInArrow``: each page is one row,
 and a page's tree is gone before the next is read.
@@ -19,7 +22,9 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,122 +46,223 @@ ENDS = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
 }
-# Words of a class, id or role that name what is not the article.
-BOILERPLATE = frozenset(
-    "ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored sponsors promo promotion banner nav navbar navigation menu menubar "
-    "breadcrumb breadcrumbs sidebar side aside rail footer foot header masthead topbar toolbar cookie cookies consent gdpr notice notices notification "
-    "alert comment comments commentlist disqus reply replies respond discussion share sharing social follow subscribe subscription newsletter signup "
-    "login popup modal overlay widget widgets related recommended recommendations trending pagination pager paging search searchbox skip contentinfo complementary".split())
+# Words of a class, id or role that name what is not the article: alone, or first or last in a longer name.
+READERS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+BOILERPLATE = READERS | frozenset(
+    "ad ads adbox adslot adunit advert adverts advertisement advertising adsense sponsor sponsored sponsors promo nav navbar navigation menu menubar "
+    "breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar cookie cookies consent gdpr notice notices notification notifications "
+    "subscribe subscription newsletter signup login popup modal related recommended recommendations trending pagination pager paging searchbox "
+    "contentinfo complementary".split())
+# Words that do so alone; in a longer name the block's density decides.
+DOUBTFUL = frozenset("alert banner foot follow head header overlay promotion rail search share sharing side skip social widget widgets".split())
+ALONE = BOILERPLATE | DOUBTFUL
+# Words that say no more than that something is a part, a state of the page, or a part of the article.
+PARTS = frozenset("area block bottom box container content inner item left list outer panel right section slot text top unit wrap wrapper".split())
+STATES = frozenset("closed disabled enabled free has hide no off on open show with without".split())
+OWN = frozenset("article content entry post story".split())
 # Of LEFT_OUT, what holds no text of the page; the rest is left out unless it holds the article or most text.
 NO_TEXT = LEFT_OUT - frozenset("nav footer aside form button dialog menu".split())
 KEEPS = frozenset("article body html main".split())
-
-_TOKEN = re.compile(r"<!--(?:.*?--\s*>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# Fewer characters than this beside readers' comments are no article.
+LITTLE = 50
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"<>]*+\"(?=[\s/>])|'[^'<>]*+'(?=[\s/>]))*+)>")
+_HEAD = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_QUOTE = re.compile(r"=\s*+([\"'])|>")
+_COMMENT_END = re.compile(r"--!?\s*>")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
+_NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\shidden(?=[\s=/>]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
+_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "out", "chars", "tags", "link_chars", "link_tags", "density", "total", "boilerplate", "holds")
+    __slots__ = ("name", "parent", "children", "out", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total", "kind", "holds")
 
-    def __init__(self, name: str, parent: "Node | None", out: bool, boilerplate: bool = False):
-        self.name, self.parent, self.out, self.boilerplate = name, parent, out, boilerplate
+    def __init__(self, name: str, parent: "Node | None", out: bool, kind: str = ""):
+        self.name, self.parent, self.out, self.kind = name, parent, out, kind
+        self.inside = parent is not None and (parent.inside or parent.name in ("article", "main"))
         self.children: list[Node | str] = []
 
 
-def _boilerplate(name: str, attributes: str, parent: Node) -> bool:
-    if name in LEFT_OUT or name == "header" and not _inside(parent, "article", "main"):
-        return True
-    if not attributes or name in ("body", "html"):
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    for m in _NAMES.finditer(attributes):
-        for whole in (m[2] or m[3] or m[4] or "").split():
-            words = [w.lower() for w in _WORDS.findall(whole)]
-            if words and ("".join(words) in BOILERPLATE or all(w in BOILERPLATE for w in words)):
-                return True
-    return False
+@lru_cache(65_536)
+def _name_kind(whole: str, inside: bool) -> str:
+    """What one class, id or role says: "readers", "named", "doubtful" or ""."""
+    for part in whole.split("--")[0].split("__"):
+        words = [w.lower() for w in _WORDS.findall(part)]
+        if not words or inside and words[-1] in ("head", "header"):
+            continue  # an article has a head of its own
+        if "".join(words) in ALONE or all(w in ALONE for w in words):
+            return "readers" if READERS.intersection([*words, "".join(words)]) else "named"
+        if STATES.intersection(words):
+            continue
+        while len(words) > 1 and words[-1] in PARTS:
+            words.pop()
+        ends = {words[0], words[-1]}
+        if ends & BOILERPLATE:
+            return "readers" if ends & READERS else "named"
+        if ends & DOUBTFUL and words[0] not in OWN:
+            return "doubtful"
+    return ""
+
+
+def _kind(name: str, attributes: str, parent: Node) -> str:
+    """Why an element may not be content, by its name and its attributes."""
+    inside = parent.inside or parent.name in ("article", "main")
+    kinds = {"named"} if name in LEFT_OUT or name == "header" and not inside else set()
+    if attributes and name not in ("body", "html"):
+        if _HIDDEN.search(attributes):
+            kinds.add("named")
+        for m in _NAMES.finditer(attributes):
+            for whole in (m[1] or m[2] or m[3] or "").split():
+                if name not in KEEPS or "".join(w.lower() for w in _WORDS.findall(whole)) in BOILERPLATE:
+                    kinds.add(_name_kind(whole, inside))
+    return next((k for k in ("readers", "named", "doubtful") if k in kinds), "")
 
 
 def _leave_out(root: Node) -> None:
     """Boilerplate goes, unless it holds an article or main element that is none
     itself, or most of the page's characters outside links (which says nothing
-    of an element outside the page's article: a footer may be longer)."""
+    of an element outside the page's article: a footer may be longer). Readers'
+    comments may be longer than the article as well: they stay only where
+    nothing else is there. Doubtful names go where the block has fewer
+    characters a tag than the rest of the page, or is mostly links."""
     nodes = _post_order(root)
     for n in nodes:
-        n.chars = 0 if n.name == "a" else sum(
-            len("".join(c.split())) if isinstance(c, str) else 0 if c.out else c.chars for c in n.children)
-        n.holds = any(c.holds or c.name in ("article", "main") and not c.boilerplate for c in n.children if not isinstance(c, str) and not c.out)
+        inner = [c for c in n.children if not isinstance(c, str) and not c.out]
+        own = sum(len("".join(c.split())) for c in n.children if isinstance(c, str))
+        n.link_chars = sum(c.link_chars for c in inner)
+        n.chars = own + sum(c.chars for c in inner)
+        if n.name == "a":
+            n.chars, n.link_chars = 0, n.link_chars + n.chars
+        n.tags = 1 + sum(c.tags for c in inner)
+        n.holds = any(c.holds or c.name in ("article", "main") and not c.kind for c in inner)
     for n in nodes:
-        if n.boilerplate and n.name not in KEEPS and not n.holds:
-            most = 2 * n.chars > root.chars and (not root.holds or _inside(n, "article", "main"))
+        if not n.kind or n.name in KEEPS or n.holds:
+            continue
+        rest = root.chars - n.chars
+        most = n.chars > rest and (not root.holds or n.inside)
+        if n.kind == "readers":
+            n.out = not (most and rest < LITTLE)
+        elif n.kind == "named":
             n.out = not most
-
-
-def _inside(node: Node | None, *names: str) -> bool:
-    while node is not None:
-        if node.name in names:
-            return True
-        node = node.parent
-    return False
+        else:
+            thin = n.chars * max(root.tags - n.tags, 1) < rest * n.tags
+            n.out = not most and (thin or n.link_chars > n.chars)
+
+
+def _tag_end(page: str, at: int, last: int, open_quotes: set[str]) -> int:
+    """Where the tag whose attributes begin at ``at`` ends. A quote that is never
+    closed, or whose other end stands inside another tag, is a character as any
+    other. ``last`` is the page's last ">"; quotes that are not closed before it
+    are kept in ``open_quotes`` and not looked for again."""
+    while True:
+        m = _QUOTE.search(page, at)
+        if not m[1]:
+            return m.start()
+        at = m.end()
+        if m[1] in open_quotes:
+            continue
+        close = page.find(m[1], at, last)
+        if close < 0:
+            open_quotes.add(m[1])
+        elif page.find(">", at, close) < 0 or page[close + 1] in "/>" or page[close + 1].isspace():
+            at = close + 1
+
+
+def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """("", "", text), ("", name, attributes) for start tags and ("/", name, "")
+    for end tags; comments and declarations are skipped, and so is what stands
+    in raw elements. One pass: no character is looked at more often than a
+    fixed number of times."""
+    at, text, size, last = 0, 0, len(page), page.rfind(">")
+    open_quotes: set[str] = set()
+    while True:
+        at = page.find("<", at)
+        if at >= 0 and page.startswith("<!--", at):
+            end = _COMMENT_END.search(page, at + 2)
+            stop, token = end.end() if end else size, None
+        elif at < 0 or at > last:
+            break
+        elif m := _TAG.match(page, at):
+            stop, token = m.end(), (m[1], m[2].lower(), m[3])
+        elif m := _HEAD.match(page, at):
+            end = _tag_end(page, m.end(), last, open_quotes)
+            stop, token = end + 1, (m[1], m[2].lower(), page[m.end() : end])
+        elif page[at + 1] in "!?/":
+            stop, token = page.find(">", at) + 1, None
+        else:
+            at += 1
+            continue
+        if at > text:
+            yield "", "", page[text:at]
+        if token is not None:
+            yield token
+            if not token[0] and token[1] in RAW:
+                end = _RAW_END[token[1]].search(page, stop)
+                stop = end.end() if end else size
+        at = text = stop
+    if text < size:
+        yield "", "", page[text:]
 
 
 def parse(page: str) -> Node:
     """The page as a tree; missing end tags are implied as browsers do for
-    paragraphs, list items, cells and options, and stray end tags are dropped."""
-    root = node = Node("html", None, False)
-    at, size = 0, len(page)
-    find = _TOKEN.search
-    while at < size:
-        m = find(page, at)
-        if m is None:
-            node.children.append(page[at:])
-            break
-        if m.start() > at:
-            node.children.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+    paragraphs, list items, cells and options, and stray end tags are dropped.
+
+    The depths of the open elements are kept by name, so that what an end tag
+    closes is found without walking up the tree."""
+    root = Node("html", None, False)
+    path = [root]
+    depths: dict[str, list[int]] = {}
+    walls: list[int] = []  # open tables and articles
+    boxes: list[int] = []  # open block elements but paragraphs
+
+    def close(depth: int) -> None:
+        while len(path) > depth:
+            name = path.pop().name
+            depths[name].pop()
+            for stack in (walls, boxes):
+                if stack and stack[-1] == len(path):
+                    stack.pop()
+
+    def deepest(name: str) -> int:
+        found = depths.get(name)
+        return found[-1] if found else 0
+
+    for slash, name, attributes in _tokens(page):
+        if not name:
+            path[-1].children.append(attributes)
             continue
-        name = m[2].lower()
-        if m[1]:
-            up = node
-            while up is not None and up.name != name:
-                up = None if up.name in ("table", "article", "body") and name not in BLOCK else up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+        if slash:
+            depth = deepest(name)
+            if depth and (name in BLOCK or not walls or walls[-1] < depth):
+                close(depth)
             continue
         if name in ("html", "body"):
             continue
         if name in CLOSES_P or name in ("li", "dd", "dt"):
-            up = node
-            while up.parent is not None and (up.name not in BLOCK or up.name == "p"):
-                if up.name == "p":
-                    node = up.parent
-                    break
-                up = up.parent
+            depth = deepest("p")
+            if depth and (not boxes or boxes[-1] < depth):
+                close(depth)
         if name in ENDS:
             ended, within = ENDS[name]
-            up, last = node, None
-            while up.parent is not None and up.name not in within:
-                if up.name in ended:
-                    last = up
-                up = up.parent
-            if last is not None:
-                node = last.parent
-        new = Node(name, node, node.out or name in NO_TEXT, _boilerplate(name, m[3], node))
-        node.children.append(new)
-        if name in VOID or m[3].endswith("/") and name not in BLOCK:
-            continue
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            new.out = True
-            at = end.end() if end else size
+            floor = max(map(deepest, within))
+            first = [d[k] for d in map(depths.get, ended) if d and (k := bisect_right(d, floor)) < len(d)]
+            if first:
+                close(min(first))
+        parent = path[-1]
+        new = Node(name, parent, parent.out or name in NO_TEXT or name in RAW, _kind(name, attributes, parent))
+        parent.children.append(new)
+        if name in VOID or name in RAW or attributes.endswith("/") and name not in BLOCK:
             continue
-        node = new
+        depths.setdefault(name, []).append(len(path))
+        if name in ("table", "article"):
+            walls.append(len(path))
+        if name in BLOCK and name != "p":
+            boxes.append(len(path))
+        path.append(new)
     _leave_out(root)
     return root
 
