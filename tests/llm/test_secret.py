@@ -58,6 +58,37 @@ def test_whole_runs_and_assigned_values_are_candidates(spark):
     assert got == {i: (v, True) for i, v in want.items()}
 
 
+def test_values_of_longer_names_addresses_headers_and_dotted_tokens(spark):
+    dotted = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dBjftJeZ4CVP-mB92K27uhbUJU1p1r"
+    wanted = [('db_password_prod = "p@ss!w0rd"', "p@ss!w0rd"), ("PASSWORD_HASH_KEY=s3cr3t!x", "s3cr3t!x"), ("client.secret.value: q9!w8@e7#r6$a", "q9!w8@e7#r6$a"),
+              ("tokenValue: abc12", "abc12"), ("open postgres://admin:hunter2xyz@db.host/x now", "hunter2xyz"), ("Authorization: Bearer abc.def.ghi12345", "abc.def.ghi12345"),
+              (f"see {dotted} there", dotted), ("mark \ufdd0 password=hunter2 \ufdd0", "hunter2")]
+    none = ["author: nobody", "AUTHOR: Nobody", "see http://host:8080/x", "mail me@host.org", "the token was lost"]
+    df = spark.createDataFrame(list(enumerate([t for t, _ in wanted] + none)), "doc_id bigint, text string")
+    rows = S.findings(df, []).collect()
+    for k, (text, value) in enumerate(wanted):
+        assert (value, text.index(value), 0.0 if value == dotted else 2.0) in {(r.value, r.start, r.secret_word) for r in rows if r.doc_id == k}, text
+    assert not [r for r in rows if r.doc_id >= len(wanted)]
+
+
+def test_texts_are_searched_once(spark, capsys):
+    df, _ = docs(spark)
+    S.findings(df, []).explain("simple")
+    assert capsys.readouterr().out.count("regexp_replace(coalesce(text") == 1
+
+
+def test_leaves_weigh_labels_by_their_full_counts(spark, monkeypatch):
+    """A feature value that a fifth of its findings share with secrets: not a secret, however few train."""
+    rows = [(k, f"x {'Q' * 16 if k % 10 < 5 else 'q' * 16} y") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    label = lambda f: f.selectExpr("*", "CAST(value RLIKE 'Q' AND doc_id % 10 = 0 AS INT) AS label")
+    for cap in (10_000, 30):
+        monkeypatch.setattr(S, "TRAIN_FINDINGS", cap)
+        got = {r.value: r.score for r in S.scan(df, label=label).collect()}
+        # Trees that draw no telling feature keep the share of secrets in all findings, 0.1.
+        assert abs(got["Q" * 16] - 0.2) < 0.12 and got["q" * 16] < 0.1
+
+
 def test_long_short_and_digitless_secrets_are_redacted_whole(spark):
     rnd = random.Random(4)
     values = ["".join(rnd.sample("abcdefghijklmnopqrstuvwxyz", 9 + k % 9)) for k in range(60)]

@@ -1,7 +1,8 @@
 """Secret scan with a random forest that removes false positives.
 
-Candidates are whole runs of 16 token characters or more, and whatever is
-assigned to a name that means a secret. Each is described by its length, its character transitions, the share of its letters that dictionary
+Candidates are whole runs of 16 token characters or more (the parts of a dotted
+token as one), whatever is assigned to a name that holds a word for a secret,
+passwords in addresses and the credentials of authorization headers. Each is described by its length, its character transitions, the share of its letters that dictionary
 words cover, whether it stands in a path, and the words around it. A random
 forest trained from labelled findings tells secrets from the rest.
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import packed, unpacked, written
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?:eyJ[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]{4,}+){1,2}+|[A-Za-z0-9+/_-]{16,}+={0,2})"
 CONTEXT = 64  # characters looked at on either side
 DICTIONARY = 1_000  # most frequent words (documents that hold them) of DICTIONARY_LETTERS letters
 DICTIONARY_LETTERS = "{4,12}"
@@ -34,13 +35,26 @@ SECRET_WORDS = r"token|secret|passw(?:or)?d|passwd|pwd|api[_ -]?key|access[_ -]?
 HARMLESS_WORDS = r"example|sample|dummy|placeholder|test|sha\d*|md5|hash|commit|uuid|checksum|digest|card|phone|isbn|order|invoice"
 KNOWN_PREFIX = r"^(?:AKIA|ASIA|AIza|ghp_|gho_|ghs_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|eyJ)"
 _ASSIGNED = r"""["'`]?\s*(?:=|:|=>|:=)\s*["'`]?$"""
+# What may follow the word in a name: db_password_prod, client.secret.value, tokenValue, but not author.
+_REST = r"(?:[_.-][\w.-]{0,40}|(?<=[a-z])[A-Z][A-Za-z0-9]{0,20})?"
 
 # A value assigned to a secret name: up to its closing quote, or else up to white space, a quote or a separator and without
 # punctuation at its end. The first two looks behind are cheap and fail nearly everywhere.
 ASSIGNED = (
-    r"""(?<=[=:>\s"'`])(?<=[=:>]\s{0,20}["'`]?)(?<=(?i:""" + SECRET_WORDS + r""")["'`]?\s{0,20}(?:=>|:=|=|:)\s{0,20}["'`]?)"""
+    r"""(?<=[=:>\s"'`])(?<=[=:>]\s{0,20}["'`]?)(?<=(?i:""" + SECRET_WORDS + ")" + _REST + r"""["'`]?\s{0,20}(?:=>|:=|=|:)\s{0,20}["'`]?)"""
     r"""(?:(?<=")[^"\r\n]++(?=")|(?<=')[^'\r\n]++(?=')|(?<=`)[^`\r\n]++(?=`)|(?![=:>])[^\s"'`,;&<>(){}\[\]]*[A-Za-z0-9+/_=-])""")
-_CUT = f"{ASSIGNED}|{CANDIDATE}"
+# The password of scheme://user:password@host, and what follows "Authorization: Bearer ".
+_USER = r"://[^\s/@:]{0,64}:"
+_HEADER = r"""(?i:authorization)["'`]?\s{0,4}[:=]\s{0,4}["'`]?(?i:bearer|basic|token)\s{1,4}"""
+PASSWORD = rf"(?<=:)(?<={_USER})[^\s/@<>\"'`]++(?=@)"
+CREDENTIALS = rf"(?<=\s)(?<={_HEADER})[^\s\"'`,;<>]*[A-Za-z0-9+/_=-]"
+_CUT = f"{PASSWORD}|{CREDENTIALS}|{ASSIGNED}|{CANDIDATE}"
+_MARK = "\ufdd0"  # a noncharacter, set around candidates
+
+
+def _named(before: Column, after: Column) -> Column:
+    """Whether a value stands where a secret is named."""
+    return before.rlike(f"(?i:{SECRET_WORDS}){_REST}{_ASSIGNED}|{_HEADER}$") | before.rlike(f"{_USER}$") & after.startswith("@")
 
 
 def _share(text: Column, pattern: str, total: Column) -> Column:
@@ -67,7 +81,7 @@ FEATURES: list[tuple[str, Callable[[Column, Column, Column, Column], Column], li
     ("slashes", lambda v, b, a, d: F.length(v) - F.length(F.replace(v, F.lit("/"), F.lit(""))), [0.5, 1.5, 3.5]),
     ("assigned", lambda v, b, a, d: F.when(b.rlike(_ASSIGNED) & b.rlike("[=:]"), 1.0).otherwise(0.0), [0.5]),
     ("quoted", lambda v, b, a, d: F.when(b.rlike("[\"'`]$") & a.rlike("^[\"'`]"), 1.0).otherwise(0.0), [0.5]),
-    ("secret_word", lambda v, b, a, d: F.when(b.rlike(rf"(?i)(?:{SECRET_WORDS})\W*$"), 2.0).when(b.rlike(rf"(?i)(?:{SECRET_WORDS})"), 1.0).otherwise(0.0), [0.5, 1.5]),
+    ("secret_word", lambda v, b, a, d: F.when(b.rlike(rf"(?i)(?:{SECRET_WORDS})\W*$") | _named(b, a), 2.0).when(b.rlike(rf"(?i)(?:{SECRET_WORDS})"), 1.0).otherwise(0.0), [0.5, 1.5]),
     ("harmless_word", lambda v, b, a, d: F.when(b.rlike(rf"(?i)\b(?:{HARMLESS_WORDS})\b\W*$"), 2.0).when(
         F.concat(b, F.lit(" "), a).rlike(rf"(?i)\b(?:{HARMLESS_WORDS})\b"), 1.0).otherwise(0.0), [0.5, 1.5]),
     ("prefix", lambda v, b, a, d: F.when(v.rlike(KNOWN_PREFIX), 1.0).otherwise(0.0), [0.5]),
@@ -81,34 +95,40 @@ def dictionary(docs: DataFrame, text_col: str = "text") -> list[str]:
     return [r["word"] for r in counts.orderBy(F.col("count").desc(), "word").limit(DICTIONARY).collect()]
 
 
-def _cut(docs: DataFrame, text: Column) -> DataFrame:
-    """Adds found (candidates) and parts (what stands between them)."""
+def _cut(text: Column) -> Column:
+    """The text in pieces: candidates at the odd places, counted from 0, and
+    what stands between them at the even ones. One search marks the candidates;
+    a text that holds the mark itself is searched twice instead."""
     some = F.coalesce(text, F.lit(""))
-    return docs.withColumns({"found": F.regexp_extract_all(some, F.lit(_CUT), F.lit(0)), "parts": F.split(some, _CUT, -1)})
+    found, parts = F.regexp_extract_all(some, F.lit(_CUT), F.lit(0)), F.split(some, _CUT, -1)
+    pairs = F.flatten(F.zip_with(parts, found, lambda p, f: F.when(f.isNull(), F.array(p)).otherwise(F.array(p, f))))
+    marked = F.split(F.regexp_replace(some, F.lit(_CUT), F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
+    return F.when(F.contains(some, F.lit(_MARK)), pairs).otherwise(marked)
 
 
 def _each(make: Callable[[Column], Column]) -> Column:
-    """``make(i)`` for each candidate number, as an array."""
-    n = F.size("found")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), make))
+    """``make(i)`` for each candidate's place in "pieces", as an array; null without candidates."""
+    n = F.size("pieces")
+    return F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 2, F.lit(2)), make))
 
 
 def _around(i: Column) -> tuple[Column, Column, Column]:
-    before, after = F.element_at("parts", i + 1), F.element_at("parts", i + 2)
-    return F.element_at("found", i + 1), F.right(before, F.lit(CONTEXT)), F.left(after, F.lit(CONTEXT))
+    """The value and what stands before and after it; a name that is a candidate
+    itself (``db_password_prod``) stands before as well."""
+    value, between = F.get("pieces", i), F.get("pieces", i - 1)
+    earlier = F.coalesce(F.right(F.get("pieces", i - 2), F.lit(CONTEXT)), F.lit(""))
+    return value, F.right(F.concat(earlier, F.right(between, F.lit(CONTEXT))), F.lit(CONTEXT)), F.left(F.get("pieces", i + 1), F.lit(CONTEXT))
 
 
 def findings(docs: DataFrame, words: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, finding_no, start, value, before, after, <features>) of every
     candidate; start counts characters from 0."""
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = _cut(src, F.col("text")).where(F.size("found") > 0)
-    n = F.sequence(F.lit(0), F.size("found") - 1)
+    rows = src.select("doc_id", _cut(F.col("text")).alias("pieces"))
     run = F.aggregate(
-        n, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, i: F.struct(
-            (acc["at"] + F.length(F.element_at("parts", i + 1)) + F.length(F.element_at("found", i + 1))).alias("at"),
-            F.array_append(acc["starts"], acc["at"] + F.length(F.element_at("parts", i + 1))).alias("starts")),
+        _each(lambda i: F.struct(F.length(F.get("pieces", i - 1)).alias("gap"), F.length(F.get("pieces", i)).alias("size"))),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+        lambda acc, n: F.struct((acc["at"] + n["gap"] + n["size"]).alias("at"), F.array_append(acc["starts"], acc["at"] + n["gap"]).alias("starts")),
         lambda acc: acc["starts"])
 
     def one(i: Column) -> Column:
@@ -116,7 +136,8 @@ def findings(docs: DataFrame, words: list[str], id_col: str = "doc_id", text_col
         return F.struct(v.alias("value"), b.alias("before"), a.alias("after"))
 
     rows = rows.select("doc_id", run.alias("starts"), _each(one).alias("found"))
-    rows = rows.select("doc_id", F.posexplode(F.arrays_zip("starts", "found"))).select(
+    # The outer form: the inner one would have the texts searched once more, to drop those without candidates.
+    rows = rows.select("doc_id", F.posexplode_outer(F.arrays_zip("starts", "found"))).where("col IS NOT NULL").select(
         "doc_id", F.col("pos").alias("finding_no"), F.col("col.starts").alias("start"), "col.found.*")
     known = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
     return rows.select("*", *[f(F.col("value"), F.col("before"), F.col("after"), known).cast("double").alias(name) for name, f, _ in FEATURES])
@@ -127,7 +148,7 @@ def rule_labels(found: DataFrame) -> DataFrame:
     unquoted words of the dictionary and texts of several words) or of a public
     credential format, 0 for the rest. It stands in for findings that people
     have labelled, where there are none."""
-    named = F.col("before").rlike(rf"(?i)(?:{SECRET_WORDS})\s*{_ASSIGNED}")
+    named = _named(F.col("before"), F.col("after"))
     shaped = (F.col("digits") < 0.95) & (F.col("distinct") * F.col("length") >= 8) & ((F.col("words") < 0.8) | (F.col("quoted") > 0)) & ~F.col("value").rlike(r"\s")
     return found.withColumn("label", ((named & shaped) | (F.col("prefix") > 0)).cast("int"))
 
@@ -171,11 +192,14 @@ def grow_forest(labelled: DataFrame) -> list[Tree]:
     """Trees from (doc_id, finding_no, label, <features>): one aggregate a level
     gives the label counts of every (tree, node, feature, bin), a number of rows
     bound by the parameters; the best split of each node is taken from them.
-    Without both labels there are no trees, and every score is 0."""
+    Leaves count a label's findings as often as there are findings of that label
+    for one that trains, so a score means the same at every size. Without both labels there are no trees, and every score is 0."""
     kinds = [labelled.where(F.col("label") == k).orderBy(F.xxhash64("doc_id", "finding_no"), "doc_id", "finding_no").limit(TRAIN_FINDINGS) for k in (0, 1)]
     rows = written(kinds[0].unionAll(kinds[1]).drop("value", "before", "after", "start"), "labelled_findings")
-    if rows.select("label").distinct().count() < 2:
+    of = {r["label"]: r["n"] for r in labelled.where("label IN (0, 1)").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(of) < 2:
         return []
+    weight = [of[k] / min(of[k], TRAIN_FINDINGS) for k in (0, 1)]
     bins = [sum((F.col(name) > t).cast("int") for t in cuts) for name, _, cuts in FEATURES]
     values = [F.col(name) for name, _, _ in FEATURES]
     trees = [Tree() for _ in range(TREES)]
@@ -191,7 +215,9 @@ def grow_forest(labelled: DataFrame) -> list[Tree]:
             split = _best_split(t, node, by_feature) if level < DEPTH else None
             if split is None:
                 whole = next(iter(by_feature.values())).values()
-                trees[t].leaves[node] = (sum(c[0] for c in whole) + 0.5) / (sum(c[1] for c in whole) + 1)
+                ones = weight[1] * sum(c[0] for c in whole)
+                zeros = weight[0] * sum(c[1] - c[0] for c in whole)
+                trees[t].leaves[node] = (ones + 0.5) / (ones + zeros + 1)
             else:
                 trees[t].splits[node] = split
     return trees
@@ -252,10 +278,10 @@ def redact(docs: DataFrame, trees: list[Tree], words: list[str], text_col: str =
     def piece(i: Column) -> Column:
         v, b, a = _around(i)
         secret = F.round(forest_score(trees, [f(v, b, a, known).cast("double") for _, f, _ in FEATURES]), 9) >= THRESHOLD
-        return F.concat(F.element_at("parts", i + 1), F.when(secret, F.lit(REDACTED)).otherwise(v))
+        return F.concat(F.get("pieces", i - 1), F.when(secret, F.lit(REDACTED)).otherwise(v))
 
-    cut = _cut(docs.select(packed(docs).alias("row")), F.col("row").getField(text_col))
-    whole = F.concat(F.array_join(_each(piece), ""), F.element_at("parts", -1))
     own = F.col("row").getField(text_col)
-    out = cut.withColumn("redacted", F.when(F.size("found") > 0, whole).otherwise(own))
+    cut = docs.select(packed(docs).alias("row")).withColumn("pieces", _cut(own))
+    whole = F.concat(F.array_join(_each(piece), ""), F.element_at("pieces", -1))
+    out = cut.withColumn("redacted", F.when(F.size("pieces") > 1, whole).otherwise(own))
     return out.select(*[F.col("redacted").alias(c) if c == text_col else col for c, col in zip(docs.columns, unpacked(docs.columns))])
