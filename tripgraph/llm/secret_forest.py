@@ -45,9 +45,9 @@ ASSIGNED = (
     r"""(?:(?<=")[^"\r\n]++(?=")|(?<=')[^'\r\n]++(?=')|(?<=`)[^`\r\n]++(?=`)|(?![=:>])[^\s"'`,;&<>(){}\[\]]*[A-Za-z0-9+/_=-])""")
 # The password of scheme://user:password@host, and what follows "Authorization: Bearer ".
 _USER = r"://[^\s/@:]{0,64}:"
-_HEADER = r"""(?i:authorization)["'`]?\s{0,4}[:=]\s{0,4}["'`]?(?i:bearer|basic|token)\s{1,4}"""
+_HEADER = r"""(?i:authorization)["'`]?\s{0,4}[:=]\s{0,4}["'`]?(?i:bearer|basic|token)\s"""
 PASSWORD = rf"(?<=:)(?<={_USER})[^\s/@<>\"'`]++(?=@)"
-CREDENTIALS = rf"(?<=\s)(?<={_HEADER})[^\s\"'`,;<>]*[A-Za-z0-9+/_=-]"
+CREDENTIALS = rf"(?<=[rRcCnN]\s)(?<={_HEADER})[^\s\"'`,;<>]*[A-Za-z0-9+/_=-]"
 _CUT = f"{PASSWORD}|{CREDENTIALS}|{ASSIGNED}|{CANDIDATE}"
 _MARK = "\ufdd0"  # a noncharacter, set around candidates
 
