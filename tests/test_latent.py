@@ -52,3 +52,32 @@ def test_partitions_do_not_matter(spark, parts):
     df = spark.createDataFrame([(t,) for t in corpus(60)], "text string").repartition(parts)
     m = latent.fit_latent(df, dims=2, features=128)
     assert np.allclose(m.strengths, latent.fit_latent(df.coalesce(1), dims=2, features=128).strengths, rtol=1e-9)
+
+
+def test_memory_does_not_grow_with_a_batch(spark):
+    """A batch of many long texts is multiplied in slices of bounded size."""
+    import tracemalloc
+
+    rnd = random.Random(3)
+    texts = [" ".join(f"w{rnd.randrange(20000)}" for _ in range(1500)) for _ in range(200)] + [None, "", "w1"]
+    m = latent.LatentModel(np.ones(1 << 13), np.random.default_rng(1).normal(size=(1 << 13, 64)), np.ones(64))
+    whole = np.zeros((len(texts), 1 << 13))
+    row, col, w = latent.tfidf_matrix(texts, m.idf)
+    whole[row, col] = w
+    want = whole @ m.directions
+    tracemalloc.start()
+    got = m.encode(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-300))
+    assert most < 120e6  # 260,000 entries of 64 numbers take 133 MB, several times over
+
+
+@pytest.mark.parametrize("entries", [1, 7, 64])
+def test_slices_hold_whole_rows(monkeypatch, entries):
+    monkeypatch.setattr(latent, "ENTRIES", entries)
+    row = np.repeat([0, 1, 3, 4, 9], [3, 20, 1, 1, 5])
+    cuts = list(latent._slices(row))
+    assert [a for a, _ in cuts[1:]] == [z for _, z in cuts[:-1]] and cuts[0][0] == 0 and cuts[-1][1] == len(row)
+    assert all(z - a <= entries or len(set(row[a:z])) == 1 for a, z in cuts)
+    assert all(row[z - 1] != row[z] for _, z in cuts[:-1])

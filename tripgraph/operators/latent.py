@@ -5,7 +5,8 @@ of the rows' weight (the leading right singular vectors) are found by subspace
 iteration: every round, each partition adds up X'(XV) over its documents, block
 by block of features, the blocks are summed over the partitions by a shuffle,
 and the driver makes the sum's columns orthonormal. What the driver and each
-task hold is features x dimensions numbers, whatever the corpus.
+task hold is features x dimensions numbers and those of a slice of bounded
+size, whatever the corpus and the texts of a batch.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ from . import encoders
 FEATURES, DIMS, ROUNDS, SEED = 1 << 15, 64, 6, 42
 # Features of one block of a sum: a row of the shuffle.
 BLOCK = 512
+# Entries of TF-IDF rows that are multiplied at once (times the dimensions, 8 bytes each).
+ENTRIES = 1 << 15
 _TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -61,6 +65,31 @@ def _summed(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _slices(row: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of entries that hold whole rows: at most ``ENTRIES``, or one row."""
+    a = 0
+    while a < len(row):
+        z = len(row)
+        if z - a > ENTRIES:
+            z = int(np.searchsorted(row, row[a + ENTRIES]))
+            if z <= a:  # one row alone has more
+                z = int(np.searchsorted(row, row[a], side="right"))
+        yield a, z
+        a = z
+
+
+def _parts(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of a batch in lists of bounded length: 256 texts, and about a
+    million bytes beyond one text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < len(texts):
+        most = (sizes[a - 1] if a else 0) + (1 << 20)
+        z = max(a + 1, min(a + 256, int(np.searchsorted(sizes, most, side="right"))))
+        yield texts.slice(a, z - a).to_pylist()
+        a = z
+
+
 @dataclass
 class LatentModel:
     idf: np.ndarray         # features
@@ -69,8 +98,13 @@ class LatentModel:
 
     def encode(self, texts: list[str | None]) -> np.ndarray:
         """Rows of length 1; zeros for a text without tokens."""
-        row, col, w = tfidf_matrix(texts, self.idf)
-        y = _summed(row, self.directions[col] * w[:, None], len(texts))
+        y = np.zeros((len(texts), self.directions.shape[1]))
+        for first in range(0, len(texts), 256):
+            some = texts[first : first + 256]
+            row, col, w = tfidf_matrix(some, self.idf)
+            for a, z in _slices(row):
+                low, high = row[a], row[z - 1] + 1
+                y[first + low : first + high] = _summed(row[a:z] - low, self.directions[col[a:z]] * w[a:z, None], high - low)
         return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
 
 
@@ -78,9 +112,10 @@ def _document_frequency(docs: DataFrame, text_col: str, features: int) -> tuple[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(features, np.int64), 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                n += 1
-                df[list(_counts(t, features))] += 1
+            for texts in _parts(b.column(0)):
+                for t in texts:
+                    n += 1
+                    df[list(_counts(t, features))] += 1
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(df[seen], n))], ["feature", "n"])
 
@@ -103,9 +138,14 @@ def _round(docs: DataFrame, text_col: str, idf: np.ndarray, v: np.ndarray) -> np
         idf, v = shared.value
         z = np.zeros(shape)
         for b in batches:
-            row, col, w = tfidf_matrix(b.column(0).to_pylist(), idf)
-            y = _summed(row, v[col] * w[:, None], b.num_rows)
-            z += _summed(col, y[row] * w[:, None], shape[0])
+            for texts in _parts(b.column(0)):
+                row, col, w = tfidf_matrix(texts, idf)
+                for first, last in _slices(row):
+                    low, at = row[first], col[first:last]
+                    own, weight = row[first:last] - low, w[first:last, None]
+                    y = _summed(own, v[at] * weight, int(own[-1]) + 1)
+                    features, place = np.unique(at, return_inverse=True)
+                    z[features] += _summed(place, y[own] * weight, len(features))
         blocks = [k for k in range(0, shape[0], BLOCK) if z[k : k + BLOCK].any()]
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([z[k : k + BLOCK].tobytes() for k in blocks], pa.binary())], ["block", "sums"])
 
