@@ -84,3 +84,18 @@ def test_untouched_buckets_are_not_rewritten(spark, tmp_path):
     for name, one in (("review", 1), ("hotel", 1), ("segment_stats", 1), ("traveller", 0)):
         new = files(name)
         assert sum(old[name][b] != new[b] for b in old[name]) == one, name
+
+
+def test_a_store_keeps_only_what_its_tables_need(spark, tmp_path):
+    parts = batches(spark, 11, [30, 12])
+    want = build_graph(*[x.unionByName(y) for x, y in zip(*parts)])
+    live = {"traveller", "hotel", "hotel_raw", "pending"}
+    for table, written, with_text in (("stayed_at", live | {"stayed_at"}, False), ("review", live | {"review_rows", "review"}, True),
+                                      ("segment_stats", live | {"review_rows", "wrote", "segment_stats"}, False)):
+        store = new_store(spark, str(tmp_path / table), buckets=4, tables=(table,))
+        for k, b in enumerate(parts):
+            got = merge_batch(store, *b, batch=k)
+        columns = getattr(want, table).columns
+        assert rows(getattr(got, table), columns) == rows(getattr(want, table), columns), table
+        assert set(os.listdir(store.path)) == written
+        assert ("text" in store.table("pending").columns) == with_text
