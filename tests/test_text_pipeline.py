@@ -1,6 +1,9 @@
 """Text neighbours of the question pipeline vs brute force at sf0.001."""
 
+from pyspark.sql import functions as F
+
 from test_plans import plan
+from tripgraph.operators.vectors import tfidf_rows
 from tripgraph.plans import context as cx
 from tripgraph.plans.catalog import questions, source
 from tripgraph.plans.text import FEATURE_FIELDS, read_vectors
@@ -81,3 +84,18 @@ def test_vector_only_mode_has_only_vector_sections(spark):
     assert rows and all(r["context"].startswith("Relevant Text Reviews:\n") for r in rows)
     assert all("\n\nRelevant Hotel Feature Profiles:\n" in r["context"] for r in rows)
     assert not any("(from KG)" in r["context"] for r in rows)
+
+
+def test_a_search_of_texts_builds_no_features(spark):
+    hotels = spark.createDataFrame([(1, "Alpha")], "hotel_id bigint, hotel_name string")
+    reviews = spark.createDataFrame([("r1", 1, "quiet room"), ("r2", 1, "short one"), ("r2", 1, "short one")], "review_id string, hotel_id bigint, review_text string").selectExpr(
+        "*", *[f"CAST(9 AS DOUBLE) AS {c}" for _, c in FEATURE_FIELDS])
+    idx = cx.build_text_index(spark, reviews, hotels)
+    q = spark.createDataFrame([(1, "quiet"), (2, "short")], "question_id bigint, user_query string")
+    got = {(r["question_id"], r["pos"]): r["text"] for r in cx.text_neighbours(idx, q, 2).collect()}
+    assert "quiet" in got[1, 1] and "short" in got[2, 1] and "feature_docs" not in vars(idx)
+    # Keys are not stored with the texts, and are brought together by one shuffle.
+    assert "id" not in spark.read.parquet(*idx.text_docs.inputFiles()).columns
+    one = idx.text_docs.groupBy("id").agg(F.any_value("text").alias("text"))
+    assert plan(tfidf_rows(one, "id", "text", idx.text_idf, dealt=True)).count("Arguments: hashpartitioning(id") == 1
+    assert [r.id for r in idx.text_vectors.first_ids.collect()] == sorted({r.id for r in idx.text_docs.collect()})
