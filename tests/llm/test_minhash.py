@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from tripgraph.llm import minhash
+from tripgraph.llm import components, minhash
 from tripgraph.llm.components import connected_components
 from tripgraph.llm.words import mix
 
@@ -94,3 +94,25 @@ def test_components(spark):
     want = {**{k: 1 for k in range(1, 41)}, **{k: 100 for k in range(100, 150)}, 200: 200, 201: 200}
     assert {r.node: r.component for r in connected_components(df).collect()} == want
     assert connected_components(df.limit(0)).collect() == []
+
+
+def test_stars_need_no_round_and_edges_are_made_once(spark, monkeypatch):
+    rounds, made = [], spark.sparkContext.accumulator(0)
+    large_star = components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda e: rounds.append(1) or large_star(e))
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    star = spark.createDataFrame([(1, k) for k in range(2, 30)] + [(50, 40)], "u bigint, v bigint").mapInArrow(counted, "u bigint, v bigint")
+    assert {r.node: r.component for r in connected_components(star).collect()} == {**dict.fromkeys(range(1, 30), 1), 40: 40, 50: 40}
+    assert not rounds and made.value == 29
+    path = spark.createDataFrame([(k, k + 1) for k in range(1, 20)], "u bigint, v bigint").mapInArrow(counted, "u bigint, v bigint")
+    assert {r.component for r in connected_components(path).collect()} == {1}
+    assert rounds and made.value == 29 + 19
+
+
+def test_groups_of_a_block_are_stars():
+    assert sorted(minhash.stars([9, 4, 7, 2, 5, 8], [(0, 1), (1, 2), (3, 4), (4, 3)])) == [(5, 2), (7, 4), (9, 4)]

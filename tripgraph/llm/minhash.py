@@ -10,8 +10,8 @@ n balls a round.
 
 Sketches are cut into bands; equal bands make documents candidates. Candidate
 classes are joined to coarse components, whose full sets meet in blocks of
-bounded size; each block pair compares its sets exactly and returns only links
-that still join something, never all pairs.
+bounded size; each block pair compares its sets exactly and returns its linked
+groups as edges to their smallest member, never all pairs.
 """
 
 from __future__ import annotations
@@ -134,9 +134,10 @@ def overlaps(sets: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
     return out
 
 
-def spanning(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
-    """Those of the index pairs that join two groups not joined before."""
-    root = list(range(n))
+def stars(nodes: list[int], pairs: np.ndarray) -> list[tuple[int, int]]:
+    """(node, smallest node of its group) for every other node of the groups
+    that the index pairs join."""
+    root = list(range(len(nodes)))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -144,13 +145,12 @@ def spanning(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
             i = root[i]
         return i
 
-    out = []
     for a, b in pairs:
         x, y = find(int(a)), find(int(b))
         if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((int(a), int(b)))
-    return out
+            low, high = (x, y) if nodes[x] < nodes[y] else (y, x)
+            root[high] = low
+    return [(nodes[i], nodes[find(i)]) for i in range(len(nodes)) if root[i] != i]
 
 
 def _verify(per_cent: int):
@@ -164,9 +164,9 @@ def _verify(per_cent: int):
             if key is not None and key[1] != key[2]:
                 s = np.array(side)
                 a, b = a[s[a] != s[b]], b[s[a] != s[b]]
-            found = spanning(len(sets), np.stack([a, b], 1))
+            found = stars(nodes, np.stack([a, b], 1))
             return pa.RecordBatch.from_arrays(
-                [pa.array([nodes[x] for x, _ in found], pa.int64()), pa.array([nodes[y] for _, y in found], pa.int64())], ["u", "v"])
+                [pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], ["u", "v"])
 
         for batch in batches:
             cols = [batch.column(i).to_pylist() for i in range(5)]
