@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripgraph.operators import inverted
-from tripgraph.operators.inverted import build_index, knn_inverted
-from tripgraph.operators.vectors import knn_sparse
+from tripgraph.operators.inverted import build_index, index_texts, knn_inverted
+from tripgraph.operators.vectors import fit_idf, knn_sparse, tfidf_rows
 
 ROWS = "id string, tokens array<string>, weights array<double>"
 
@@ -76,3 +76,23 @@ def test_corpus_is_not_shuffled_per_query_block(spark):
     pairs = inverted.written(spark.createDataFrame([(0, 0)], "query_row bigint, block bigint"), "p")
     plan = inverted._scored(pairs, q, index, 3, 10)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_texts_are_indexed_where_they_are_read(spark, monkeypatch):
+    """No exchange on the way to the postings; rows that repeat an id, in one
+    partition or several, are one document; texts without a token are none."""
+    rnd, words = random.Random(4), [f"w{j}" for j in range(30)]
+    texts = [(f"d{k:03d}", " ".join(["the", *rnd.choices(words, k=rnd.choice([1, 3, 6]))])) for k in range(200)] + [("e", " . "), ("n", None)]
+    docs = spark.createDataFrame(texts + texts[::3] + texts[::3], "id string, text string").repartition(5)
+    idf = fit_idf(docs, "id", "text")
+    queries = spark.createDataFrame(made(40, 2, [*words, "unknown"], "q"), ROWS)
+    plans, write = {}, inverted.written
+    monkeypatch.setattr(inverted, "written", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().toString()), write(df, name))[1])
+    index = index_texts(inverted.written(docs, "docs"), inverted.written(idf, "idf"), fill=20, block_docs=8)
+    assert "Exchange" not in plans["index_postings"] and "index_rows" not in plans
+    want = answers(knn_sparse(queries, tfidf_rows(docs.dropDuplicates(), "id", "text", idf), 5))
+    assert answers(knn_inverted(queries, index, 5)) == want
+    assert answers(knn_inverted(queries, index_texts(docs, idf, fill=20, block_docs=8, vocabulary_rows=3), 5)) == want
+    ids = index.postings.where("token = ''").select(F.explode("ids").alias("id"))
+    assert ids.distinct().count() == 200 and index.first_ids.count() == 40
+    assert index_texts(docs.limit(0), idf).postings.count() == 0
