@@ -81,3 +81,24 @@ def test_slices_hold_whole_rows(monkeypatch, entries):
     assert [a for a, _ in cuts[1:]] == [z for _, z in cuts[:-1]] and cuts[0][0] == 0 and cuts[-1][1] == len(row)
     assert all(z - a <= entries or len(set(row[a:z])) == 1 for a, z in cuts)
     assert all(row[z - 1] != row[z] for _, z in cuts[:-1])
+
+
+def test_texts_are_cut_into_tokens_once(spark, monkeypatch):
+    """Rounds read written counts, not texts."""
+    seen, whole = [], latent._round
+    monkeypatch.setattr(latent, "_round", lambda counted, *a: (seen.append(counted), whole(counted, *a))[1])
+    latent.fit_latent(spark.createDataFrame([(t,) for t in corpus(30)], "text string").repartition(3), dims=2, features=64, rounds=2)
+    assert len(seen) == 3 and all(d.columns == ["features", "counts"] and d.inputFiles() for d in seen)
+    assert seen[0].count() == 33 and latent._counts("b a B", 1 << 20)[latent.zlib.crc32(b"b") % (1 << 20)] == 2
+
+
+def test_full_matrices_multiply_like_sums(monkeypatch):
+    rng = np.random.default_rng(2)
+    own, at = np.repeat(np.arange(20), 5), np.concatenate([rng.permutation(30)[:5] for _ in range(20)])
+    w, v = rng.normal(size=100), rng.normal(size=(30, 4))
+    got = []
+    for cells in (1 << 22, 0):
+        monkeypatch.setattr(latent, "CELLS", cells)
+        features, times, back = latent._matrix(own, at, w)
+        got.append((features, times(v), back(times(v))))
+    assert all(np.allclose(a, b) for a, b in zip(*got))
