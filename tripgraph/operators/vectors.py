@@ -31,6 +31,9 @@ TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 # Rows of a query block and of a corpus block; scores of so many corpus rows are held at once.
 QUERY_ROWS, CORPUS_ROWS, SCORE_ROWS = 4096, 8192, 512
+# Beyond so many block pairs, blocks of dense vectors are larger (each table travels once per block of
+# the other one), up to so many rows and numbers of a block.
+BLOCK_PAIRS, MOST_ROWS, MOST_NUMBERS = 1024, 16384, 1 << 21
 
 
 # ----------------------------------------------------------------------------- TF-IDF
@@ -139,7 +142,11 @@ def _top(scores: Iterator[tuple[int, np.ndarray]], codes: np.ndarray, k: int) ->
 
 
 def _matrix(parts: list[pa.RecordBatch]) -> np.ndarray:
-    return np.array([v for p in parts for v in p.column(5).to_pylist()], dtype=np.float64)
+    lists = pa.chunked_array([p.column(5) for p in parts])
+    flat, sizes = pc.list_flatten(lists), pc.unique(pc.list_value_length(lists))
+    if lists.null_count or flat.null_count or len(sizes) != 1:
+        return np.array(lists.to_pylist(), dtype=np.float64)
+    return flat.to_numpy().astype(np.float64).reshape(len(lists), -1)
 
 
 def _dense_scores(metric: str, q: np.ndarray, d: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -192,9 +199,34 @@ def _nearest(q: np.ndarray, d: np.ndarray, codes: np.ndarray, k: int) -> tuple[n
     return row, col, value
 
 
+def _best_cosine(q: np.ndarray, d: np.ndarray, codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_top`` of the cosines. Once a query has k candidates, only scores that
+    reach its k-th best one so far are looked at; parts with many of them (ties),
+    and vectors that are not finite, go the plain way."""
+    if not (np.isfinite(q).all() and np.isfinite(d).all()):
+        return _top(_dense_scores("cosine", q, d), codes, k)
+    row, col, value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    floor, chosen = np.full(len(q), -np.inf), 0
+    for a, s in _dense_scores("cosine", q, d):
+        wanted = s >= floor[:, None]
+        if np.count_nonzero(wanted) > max(wanted.size // 8, k * len(q)):
+            r, c, v = _top(iter([(0, s)]), codes[a : a + s.shape[1]], k)
+        else:
+            r, c = np.divmod(np.flatnonzero(wanted), s.shape[1])
+            v = s[r, c]
+        row, col, value = np.concatenate([row, r]), np.concatenate([col, c + a]), np.concatenate([value, v])
+        if len(row) - chosen >= 2 * len(q) or a + s.shape[1] == len(d):
+            best = _select_top(row, codes[col], value, k)
+            row, col, value, chosen = row[best], col[best], value[best], len(best)
+            least = np.full(len(q), np.inf)
+            np.minimum.at(least, row, value)
+            floor = np.where(np.bincount(row, minlength=len(q)) >= k, least, -np.inf)
+    return row, col, value
+
+
 def _best_dense(metric: str, queries: list[pa.RecordBatch], corpus: list[pa.RecordBatch], codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     q, d = _matrix(queries), _matrix(corpus)
-    return _nearest(q, d, codes, k) if metric == "l2" else _top(_dense_scores(metric, q, d), codes, k)
+    return _nearest(q, d, codes, k) if metric == "l2" else _best_cosine(q, d, codes, k)
 
 
 def _postings(parts: list[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -231,6 +263,20 @@ def _sparse_scores(queries: list[pa.RecordBatch], corpus: list[pa.RecordBatch])
         yield a, np.round(s, 6)
 
 
+def _block_rows(n_queries: int, n_docs: int, corpus: DataFrame, query_rows: int, corpus_rows: int) -> tuple[int, int]:
+    """Rows of a block of queries and of the corpus, doubled while there are too many pairs."""
+    if n_queries * n_docs <= BLOCK_PAIRS * query_rows * corpus_rows:
+        return query_rows, corpus_rows
+    dims = corpus.agg(F.max(F.size("vec"))).first()[0] or 1
+    most = min(MOST_ROWS, MOST_NUMBERS // max(1, dims))
+    while n_queries * n_docs > BLOCK_PAIRS * query_rows * corpus_rows and 2 * min(query_rows, corpus_rows) <= most:
+        if query_rows <= corpus_rows:
+            query_rows *= 2
+        else:
+            corpus_rows *= 2
+    return query_rows, corpus_rows
+
+
 def _block_pairs(queries: DataFrame, corpus: DataFrame, cols: list[str], query_rows: int, corpus_rows: int) -> DataFrame:
     """(qb, cb, kind, row, id, cols...): both tables dealt to block pairs, the
     queries (kind 0) first. Both are written first: their row numbers must not
@@ -240,7 +286,10 @@ def _block_pairs(queries: DataFrame, corpus: DataFrame, cols: list[str], query_r
     sides = []
     for df, name in ((queries, "knn_queries"), (corpus, "knn_corpus")):
         sides.append(written(df.select("id", *cols).withColumn("row", F.monotonically_increasing_id()), name))
-    nq, nc = (max(1, math.ceil(df.count() / most)) for df, most in zip(sides, (query_rows, corpus_rows)))
+    counts = [df.count() for df in sides]
+    if cols == ["vec"]:
+        query_rows, corpus_rows = _block_rows(*counts, sides[1], query_rows, corpus_rows)
+    nq, nc = (max(1, math.ceil(n / most)) for n, most in zip(counts, (query_rows, corpus_rows)))
 
     def dealt(df: DataFrame, kind: int) -> DataFrame:
         own, other = (nq, nc) if kind == 0 else (nc, nq)
