@@ -146,7 +146,7 @@ def _matrix(parts: list[pa.RecordBatch]) -> np.ndarray:
     flat, sizes = pc.list_flatten(lists), pc.unique(pc.list_value_length(lists))
     if lists.null_count or flat.null_count or len(sizes) != 1:
         return np.array(lists.to_pylist(), dtype=np.float64)
-    return flat.to_numpy().astype(np.float64).reshape(len(lists), -1)
+    return flat.to_numpy().astype(np.float64).reshape(len(lists), sizes[0].as_py())
 
 
 def _dense_scores(metric: str, q: np.ndarray, d: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
